@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings that can be changed on a running session.
 RUNTIME_SETTINGS = {
@@ -54,3 +55,13 @@ def shared_folder(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="liftloom-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that is read more than once to the shared folder, and return it as a table read from there.
+
+    This computes it once, cuts its lineage, and survives the loss of the executors that made it.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -168,21 +168,23 @@ def _likelihoods(spark: SparkSession, folder: str, shape: str) -> DataFrame:
     counted = written(_counts(spark, folder), "counts")
     pairs = counted.where(F.col("goal") != ALL).where(shape).select("project_id", "goal", "action", "leaf").distinct()
     lookups = pairs.join(_spans(spark, folder).distinct(), "project_id")
-    return scoring.likelihoods(lookups, counted).selectExpr(
-        *scoring.LOOKUP, *"stab", "round(lt, 6) AS log_true", "round(lf, 6) AS log_false"
-    )
+    return scoring.likelihoods(lookups, counted)
+
+
+def _rounded_logs(df: DataFrame) -> DataFrame:
+    return df.selectExpr(*scoring.LOOKUP, *"stab", "round(lt, 6) AS log_true", "round(lf, 6) AS log_false")
 
 
 def class_prior(spark: SparkSession, folder: str) -> DataFrame:
-    return _likelihoods(spark, folder, f"action = '{NO_ACTION}' AND leaf = '{SESSION_TOTAL}'")
+    return _rounded_logs(_likelihoods(spark, folder, f"action = '{NO_ACTION}' AND leaf = '{SESSION_TOTAL}'"))
 
 
 def event_likelihood(spark: SparkSession, folder: str) -> DataFrame:
-    return _likelihoods(spark, folder, f"action = '{NO_ACTION}' AND leaf LIKE '%#%'")
+    return _rounded_logs(_likelihoods(spark, folder, f"action = '{NO_ACTION}' AND leaf LIKE '%#%'"))
 
 
 def action_likelihood(spark: SparkSession, folder: str) -> DataFrame:
-    return _likelihoods(spark, folder, f"action <> '{NO_ACTION}' AND leaf LIKE '%#%'")
+    return _rounded_logs(_likelihoods(spark, folder, f"action <> '{NO_ACTION}' AND leaf LIKE '%#%'"))
 
 
 def action_class_prior(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,8 +213,8 @@ def predict_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 def rank_predictors(spark: SparkSession, folder: str) -> DataFrame:
     """Per goal and span, what speaks for it most: leaves by likelihood ratio."""
-    known = event_likelihood(spark, folder).where("log_true IS NOT NULL")
-    ranked = known.withColumn("ratio", F.round(F.col("log_true") - F.col("log_false"), 5))
+    known = _likelihoods(spark, folder, f"action = '{NO_ACTION}' AND leaf LIKE '%#%'").where("lt IS NOT NULL")
+    ranked = known.withColumn("ratio", F.round(F.col("lt") - F.col("lf"), 6))
     return rank_within(ranked, [*scoring.SPAN, "goal"], F.col("ratio"), ["leaf"]).select(
         *scoring.SPAN, "goal", "leaf", "ratio", "rank"
     )

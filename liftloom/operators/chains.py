@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from liftloom.config import HotKeys
@@ -113,8 +113,13 @@ def _sliced_keys(df: DataFrame, keys: list[str], ts: str, columns: list[str], sl
     return _chain_columns(joined, columns)
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot: HotKeys) -> DataFrame:
-    """The largest keys above the limit, at most ``hot.max_keys`` of them. Counts are combined before the shuffle."""
+def busiest_keys(df: DataFrame, keys: list[str], hot: HotKeys | None) -> list[Row]:
+    """The largest keys above the limit, at most ``hot.max_keys`` of them.
+
+    Runs a job over the key columns alone; rows are counted before the shuffle, and only this short list comes back.
+    """
+    if hot is None:
+        return []
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -122,6 +127,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot: HotKeys) -> DataFrame:
         .orderBy(F.col("_rows").desc(), *keys)
         .limit(hot.max_keys)
         .select(*keys)
+        .collect()
     )
 
 
@@ -134,6 +140,7 @@ def gap_chains(
     rank: str = "0",
     weight: str = "1",
     hot: HotKeys | None = None,
+    busiest: list[Row] | None = None,
     then: Callable[[DataFrame], DataFrame] = lambda part: part,
 ) -> DataFrame:
     """Add the chain of every row. ``end``, ``row_id``, ``rank`` and ``weight`` are SQL expressions.
@@ -142,6 +149,8 @@ def gap_chains(
     :param row_id: a number that no two rows of a key share; orders rows of equal ``ts`` and ``rank``
     :param rank: 0 or 1, orders rows of equal ``ts`` before ``row_id`` does
     :param weight: what ``chain_seq`` adds up; 1 by default, so that it is the place of the row in its chain
+    :param hot: when and how to cut large keys into slots; None treats all keys alike
+    :param busiest: the keys to cut, where the caller has looked for them before
     :param then: further work per part; hot and other keys are joined up only after it, which spares the keys that are
         not hot a second shuffle when ``then`` groups inside a chain
 
@@ -155,9 +164,10 @@ def gap_chains(
         f"cast({rank} AS int) AS _rank",
         f"cast({weight} AS bigint) AS _weight",
     )
-    if hot is None:
+    found = busiest_keys(df, keys, hot) if busiest is None else busiest
+    if not found:
         return then(_whole_keys(prepared, keys, ts, df.columns))
-    busiest = F.broadcast(hot_keys(df, keys, hot))
-    rest = then(_whole_keys(prepared.join(busiest, keys, "left_anti"), keys, ts, df.columns))
-    sliced = then(_sliced_keys(prepared.join(busiest, keys, "left_semi"), keys, ts, df.columns, hot.slot_rows))
+    listed = F.broadcast(df.sparkSession.createDataFrame(found, df.select(*keys).schema))
+    rest = then(_whole_keys(prepared.join(listed, keys, "left_anti"), keys, ts, df.columns))
+    sliced = then(_sliced_keys(prepared.join(listed, keys, "left_semi"), keys, ts, df.columns, hot.slot_rows))
     return rest.unionByName(sliced)

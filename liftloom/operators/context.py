@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftloom.config import HotKeys
-from liftloom.operators.chains import gap_chains
+from liftloom.operators.chains import busiest_keys, gap_chains
 
 # Length and life of the kept lists, default number of tokens asked for.
 KEPT = 50
@@ -41,6 +41,16 @@ def lists(
     request ever touches a whole session.
     """
     steps = _kept_steps(events)
+    asks = requests.selectExpr(
+        "project_id",
+        "session_id",
+        "explode(array('evt', 'atr')) AS kind",
+        "ts_ms",
+        "request_id AS row_id",
+        f"cast(least(take, {int(kept)}) AS bigint) AS take",
+    )
+    both = steps.drop("x").withColumn("take", F.lit(None).cast("bigint")).unionByName(asks)
+    busiest = busiest_keys(both, _KEYS, hot)
     blocks = gap_chains(
         steps,
         _KEYS,
@@ -48,23 +58,14 @@ def lists(
         f"ts_ms + {int(expiry_ms)}",
         "row_id",
         hot=hot,
+        busiest=busiest,
         then=lambda part: part.groupBy(*_KEYS, "chain_start", F.expr(f"(chain_seq - 1) div {int(kept)} AS block")).agg(
             F.expr("sort_array(collect_list(named_struct('seq', chain_seq, 'x', x))) AS held")
         ),
     )
-    asks = requests.selectExpr(
-        "project_id",
-        "session_id",
-        "explode(array('evt', 'atr')) AS kind",
-        "ts_ms",
-        "request_id AS row_id",
-        f"least(take, {int(kept)}) AS take",
-    )
     # a request neither extends a list (its end is its own time) nor counts as a step (weight 0)
     placed = gap_chains(
-        steps.selectExpr("project_id", "session_id", "kind", "ts_ms", "row_id", "cast(null AS bigint) AS take").unionByName(
-            asks.selectExpr("project_id", "session_id", "kind", "ts_ms", "row_id", "cast(take AS bigint) AS take")
-        ),
+        both,
         _KEYS,
         "ts_ms",
         f"CASE WHEN take IS NULL THEN ts_ms + {int(expiry_ms)} ELSE ts_ms END",
@@ -72,6 +73,7 @@ def lists(
         rank="CASE WHEN take IS NULL THEN 0 ELSE 1 END",
         weight="CASE WHEN take IS NULL THEN 1 ELSE 0 END",
         hot=hot,
+        busiest=busiest,
         then=lambda part: part.where("take > 0 AND chain_seq > 0"),
     )
     wanted = placed.selectExpr(

@@ -27,8 +27,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def build(name: str, cpus: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session, for tests and the bench. On a cluster use its own session and :func:`tune`."""
+def build(name: str, cpus: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A local session, for tests and the bench. On a cluster use its own session and :func:`tune`.
+
+    ``shared`` is the folder for written intermediate results.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -37,24 +40,30 @@ def build(name: str, cpus: int = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.driver.extraJavaOptions", "-Duser.timezone=UTC")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = tune(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every node can reach: ``spark.checkpoint.dir`` where the session names one.
 
     Only a local session without that setting gets a folder of its own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-    folder = tempfile.mkdtemp(prefix="liftloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="liftloom-")
+    return _own_folders[context.applicationId]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

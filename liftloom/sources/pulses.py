@@ -80,7 +80,7 @@ def check_requests(requests: DataFrame) -> DataFrame:
         .selectExpr(
             "request_id", "project_id", "session_id", "session_conf", "ts_ms", "listed", "request_reason",
             "cast(array_position(transform(reasons, r -> r IS NOT NULL), true) AS int) AS first_bad",
-            "filter(reasons, r -> r IS NOT NULL)[0] AS bad_reason",
+            "get(filter(reasons, r -> r IS NOT NULL), 0) AS bad_reason",
         )
     )
 

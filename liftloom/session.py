@@ -20,10 +20,23 @@ RUNTIME_SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings the jobs rely on to a session somebody else made."""
+#: shuffle bytes per task that leave room for sorting in memory
+TASK_BYTES = 256 * 1024 * 1024
+
+
+def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the settings the jobs rely on to a session somebody else made.
+
+    Tell the input size of a large run: shuffles then start with a task per 256 MB of it, and adaptive execution merges
+    those that turn out small. It can merge tasks but not split them, so starting too low costs more than too high.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    if input_bytes:
+        now = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(now, -(-input_bytes // TASK_BYTES))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(tasks))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES // 2))
     return spark
 
 

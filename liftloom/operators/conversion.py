@@ -25,6 +25,9 @@ FAMILIES = frozenset({EVENT, SESSION, GOAL, ACTION, GOAL_ACTION})
 _ALL, _NONE, _TS = f"'{ALL}'", f"'{NO_ACTION}'", f"'{SESSION_TOTAL}'"
 
 
+_GOAL_FACTS = "'any_local', exists(g.all, o -> o.local), 'last', array_max(transform(g.all, o -> o.t))"
+
+
 def _item(goal: str, action: str, leaf: str, n: str) -> str:
     return f"named_struct('goal', {goal}, 'action', {action}, 'leaf', {leaf}, 'n', cast({n} AS bigint))"
 
@@ -39,9 +42,12 @@ def _reach(marker: str, ts: str) -> str:
     return f"coalesce(array_max(transform({marked}, e -> e.i)), -1)"
 
 
-def _by_token(instances: str) -> str:
+def _by_token(instances: str, more: str = "") -> str:
     tokens = f"array_distinct(transform({instances}, o -> o.x))"
-    return f"transform({tokens}, x -> named_struct('x', x, 'all', filter({instances}, o -> o.x = x)))"
+    grouped = f"transform({tokens}, x -> named_struct('x', x, 'all', filter({instances}, o -> o.x = x)))"
+    if not more:
+        return grouped
+    return f"transform({grouped}, g -> named_struct('x', g.x, 'all', g.all, {more}))"
 
 
 def _base_items(families: frozenset[str]) -> str:
@@ -61,21 +67,26 @@ def _base_items(families: frozenset[str]) -> str:
 
 
 def _goals_after(hint_ms: int) -> str:
-    """For one action token and each goal token: running goal counts at every action instance and at every step."""
+    """For one action token and each goal token that follows it: goal counts at every action instance that has one.
+
+    ``free`` and ``cut`` count later goals without and with a label. Local goals are kept as running counts at the
+    actions and, only where there are any, at the steps.
+    """
 
     def later(labelled: bool) -> str:
-        return f"size(filter(g.all, o -> NOT o.local AND o.labelled = {labelled} AND o.t > a.t))"
+        return f"size(filter(g.all, o -> o.t > a.t AND NOT o.local AND o.labelled = {labelled}))"
 
     def upto(ts: str, labelled: bool) -> str:
-        return f"size(filter(g.all, o -> o.local AND o.labelled = {labelled} AND o.t <= {ts}))"
+        counted = f"size(filter(g.all, o -> o.local AND o.labelled = {labelled} AND o.t <= {ts}))"
+        return f"CASE WHEN g.any_local THEN {counted} ELSE 0 END"
 
-    takes = f"""transform(act.all, a -> named_struct('t', a.t, 'reach', a.reach,
+    takes = f"""filter(transform(act.all, a -> named_struct('t', a.t, 'reach', a.reach,
         'free', {later(False)}, 'cut', {later(True)}, 'near_free', {upto('a.t', False)},
-        'near_cut', {upto('a.t', True)}, 'any', size(filter(g.all, o -> o.t > a.t))))"""
-    steps = f"""transform(steps, e -> named_struct('i', e.i, 't', e.t, 'x', e.x,
-        'near_free', {upto(f'e.t + {hint_ms}', False)}, 'near_cut', {upto(f'e.t + {hint_ms}', True)}))"""
-    followed = "filter(goals, g -> exists(g.all, o -> exists(act.all, a -> o.t > a.t)))"
-    return f"transform({followed}, g -> named_struct('x', g.x, 'takes', {takes}, 'steps', {steps}))"
+        'near_cut', {upto('a.t', True)}, 'any', size(filter(g.all, o -> o.t > a.t)))), a -> a.any > 0)"""
+    steps = f"""CASE WHEN g.any_local THEN transform(steps, e -> named_struct('i', e.i, 't', e.t, 'x', e.x,
+        'near_free', {upto(f'e.t + {hint_ms}', False)}, 'near_cut', {upto(f'e.t + {hint_ms}', True)})) END"""
+    followed = "filter(goals, g -> g.last > array_min(transform(act.all, a -> a.t)))"
+    return f"transform({followed}, g -> named_struct('x', g.x, 'takes', {takes}, 'near', {steps}))"
 
 
 def _action_items(families: frozenset[str]) -> str:
@@ -89,13 +100,19 @@ def _action_items(families: frozenset[str]) -> str:
     if GOAL_ACTION in families:
         # goals later than the action and, if local, not too late for the step; a labelled goal sees no step that lies
         # before the action's own marker
-        weight = """CASE WHEN a.t > e.t THEN a.free + greatest(0, e.near_free - a.near_free)
-            + CASE WHEN a.reach <= e.i THEN a.cut + greatest(0, e.near_cut - a.near_cut) ELSE 0 END ELSE 0 END"""
-        total = f"aggregate(p.takes, 0L, (n, a) -> n + {weight})"
-        steps = f"transform(p.steps, e -> {_item('p.x', 'act.x', 'e.x', total)})"
+        plain = "a.free + CASE WHEN a.reach <= e.i THEN a.cut ELSE 0 END"
+        local = """greatest(0, e.near_free - a.near_free)
+            + CASE WHEN a.reach <= e.i THEN greatest(0, e.near_cut - a.near_cut) ELSE 0 END"""
+        last = "array_max(transform(p.takes, a -> a.t))"
+
+        def weighed(steps: str, weight: str) -> str:
+            total = f"aggregate(p.takes, 0L, (n, a) -> n + CASE WHEN a.t > e.t THEN {weight} ELSE 0 END)"
+            return f"transform(filter({steps}, e -> e.t < {last}), e -> {_item('p.x', 'act.x', 'e.x', total)})"
+
+        steps = f"CASE WHEN p.near IS NULL THEN {weighed('steps', plain)} ELSE {weighed('p.near', f'{plain} + {local}')} END"
         any_goal = "aggregate(p.takes, 0L, (n, a) -> n + a.any)"
         traits = f"transform(traits, x -> {_item('p.x', 'act.x', 'x', any_goal)})"
-        hits = _item("p.x", "act.x", _TS, "size(filter(p.takes, a -> a.any > 0))")
+        hits = _item("p.x", "act.x", _TS, "size(p.takes)")
         parts.append(f"flatten(transform(goals_after, p -> concat({_positive(steps)}, {traits}, array({hits}))))")
     return f"concat({', '.join(parts)})"
 
@@ -121,7 +138,7 @@ def leaf_counts(
         'reach', {_reach('a.x', 'a.t')}))"""
     instances = split.selectExpr("*", f"{goal_rows} AS goal_rows", f"{act_rows} AS act_rows")
     grouped = instances.selectExpr(
-        *split.columns, f"{_by_token('goal_rows')} AS goals", f"{_by_token('act_rows')} AS acts"
+        *split.columns, f"{_by_token('goal_rows', _GOAL_FACTS)} AS goals", f"{_by_token('act_rows')} AS acts"
     )
     base = _base_items(families)
     if families & {ACTION, GOAL_ACTION}:

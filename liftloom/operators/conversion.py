@@ -1,12 +1,12 @@
 """What preceded which goal and action: pane records to counts.
 
-All counting happens inside the pane record with array functions. Instances are first grouped by token, then each row
-of the pane is asked how many instances reach back to it, so one number per (token, row) leaves the record and never
-one row per pair. For goals after an action the instances are not even paired: goals later than an action, and goals
+All counting happens inside the pane record with array functions. Rows are first grouped by token, then each row of the
+pane is asked how many instances reach back to it, so one number per pair of tokens leaves the record and never one row
+per pair of rows. For goals after an action the instances are not even paired: goals later than an action, and goals
 near enough to a row, are differences of two running counts.
 
 Names inside the record: ``rows`` all rows in order, ``steps`` those with a time meaning (all but ATR), ``traits`` the
-ATR tokens, ``goals`` and ``acts`` one entry per token with ``all`` its instances. An instance has ``reach``, the place
+ATR tokens, ``goals``, ``acts`` and ``leaves`` (all steps) one entry per token with ``all`` its instances. An instance has ``reach``, the place
 of the step where its marker cuts the view (-1 for none), and a goal ``since``, the earliest time it looks back to.
 """
 
@@ -32,6 +32,10 @@ def _item(goal: str, action: str, leaf: str, n: str) -> str:
     return f"named_struct('goal', {goal}, 'action', {action}, 'leaf', {leaf}, 'n', cast({n} AS bigint))"
 
 
+def _sum_over(steps: str, per_step: str) -> str:
+    return f"aggregate({steps}, 0L, (total, e) -> total + {per_step})"
+
+
 def _positive(items: str) -> str:
     return f"filter({items}, q -> q.n > 0)"
 
@@ -59,8 +63,8 @@ def _base_items(families: frozenset[str]) -> str:
         parts.append(f"array({_item(_ALL, _NONE, _TS, '1')})")
         parts.append(f"transform(goals, g -> {_item('g.x', _NONE, _TS, '1')})")
     if GOAL in families:
-        seen = "size(filter(g.all, o -> o.t > e.t AND o.reach <= e.i AND o.since <= e.t))"
-        steps = f"transform(steps, e -> {_item('g.x', _NONE, 'e.x', seen)})"
+        seen = _sum_over("s.all", "size(filter(g.all, o -> o.t > e.t AND o.reach <= e.i AND o.since <= e.t))")
+        steps = f"transform(leaves, s -> {_item('g.x', _NONE, 's.x', seen)})"
         traits = f"transform(traits, x -> {_item('g.x', _NONE, 'x', 'size(g.all)')})"
         parts.append(f"flatten(transform(goals, g -> concat({_positive(steps)}, {traits})))")
     return f"concat({', '.join(parts)})"
@@ -83,18 +87,19 @@ def _goals_after(hint_ms: int) -> str:
     takes = f"""filter(transform(act.all, a -> named_struct('t', a.t, 'reach', a.reach,
         'free', {later(False)}, 'cut', {later(True)}, 'near_free', {upto('a.t', False)},
         'near_cut', {upto('a.t', True)}, 'any', size(filter(g.all, o -> o.t > a.t)))), a -> a.any > 0)"""
-    steps = f"""CASE WHEN g.any_local THEN transform(steps, e -> named_struct('i', e.i, 't', e.t, 'x', e.x,
-        'near_free', {upto(f'e.t + {hint_ms}', False)}, 'near_cut', {upto(f'e.t + {hint_ms}', True)})) END"""
+    near = f"""CASE WHEN g.any_local THEN transform(leaves, s -> named_struct('x', s.x, 'all', transform(s.all,
+        e -> named_struct('i', e.i, 't', e.t, 'near_free', {upto(f'e.t + {hint_ms}', False)},
+            'near_cut', {upto(f'e.t + {hint_ms}', True)})))) END"""
     followed = "filter(goals, g -> g.last > array_min(transform(act.all, a -> a.t)))"
-    return f"transform({followed}, g -> named_struct('x', g.x, 'takes', {takes}, 'near', {steps}))"
+    return f"transform({followed}, g -> named_struct('x', g.x, 'takes', {takes}, 'near', {near}))"
 
 
 def _action_items(families: frozenset[str]) -> str:
     """Counts of one action token."""
     parts = []
     if ACTION in families:
-        seen = "size(filter(act.all, a -> a.t > e.t AND a.reach <= e.i))"
-        parts.append(_positive(f"transform(steps, e -> {_item(_ALL, 'act.x', 'e.x', seen)})"))
+        seen = _sum_over("s.all", "size(filter(act.all, a -> a.t > e.t AND a.reach <= e.i))")
+        parts.append(_positive(f"transform(leaves, s -> {_item(_ALL, 'act.x', 's.x', seen)})"))
         parts.append(f"transform(traits, x -> {_item(_ALL, 'act.x', 'x', 'size(act.all)')})")
         parts.append(f"array({_item(_ALL, 'act.x', _TS, 'size(act.all)')})")
     if GOAL_ACTION in families:
@@ -103,13 +108,12 @@ def _action_items(families: frozenset[str]) -> str:
         plain = "a.free + CASE WHEN a.reach <= e.i THEN a.cut ELSE 0 END"
         local = """greatest(0, e.near_free - a.near_free)
             + CASE WHEN a.reach <= e.i THEN greatest(0, e.near_cut - a.near_cut) ELSE 0 END"""
-        last = "array_max(transform(p.takes, a -> a.t))"
 
-        def weighed(steps: str, weight: str) -> str:
-            total = f"aggregate(p.takes, 0L, (n, a) -> n + CASE WHEN a.t > e.t THEN {weight} ELSE 0 END)"
-            return f"transform(filter({steps}, e -> e.t < {last}), e -> {_item('p.x', 'act.x', 'e.x', total)})"
+        def weighed(leaves: str, weight: str) -> str:
+            per_step = f"aggregate(p.takes, 0L, (n, a) -> n + CASE WHEN a.t > e.t THEN {weight} ELSE 0 END)"
+            return f"transform({leaves}, s -> {_item('p.x', 'act.x', 's.x', _sum_over('s.all', per_step))})"
 
-        steps = f"CASE WHEN p.near IS NULL THEN {weighed('steps', plain)} ELSE {weighed('p.near', f'{plain} + {local}')} END"
+        steps = f"CASE WHEN p.near IS NULL THEN {weighed('leaves', plain)} ELSE {weighed('p.near', f'{plain} + {local}')} END"
         any_goal = "aggregate(p.takes, 0L, (n, a) -> n + a.any)"
         traits = f"transform(traits, x -> {_item('p.x', 'act.x', 'x', any_goal)})"
         hits = _item("p.x", "act.x", _TS, "size(p.takes)")
@@ -138,13 +142,16 @@ def leaf_counts(
         'reach', {_reach('a.x', 'a.t')}))"""
     instances = split.selectExpr("*", f"{goal_rows} AS goal_rows", f"{act_rows} AS act_rows")
     grouped = instances.selectExpr(
-        *split.columns, f"{_by_token('goal_rows', _GOAL_FACTS)} AS goals", f"{_by_token('act_rows')} AS acts"
+        *split.columns,
+        f"{_by_token('goal_rows', _GOAL_FACTS)} AS goals",
+        f"{_by_token('act_rows')} AS acts",
+        f"{_by_token('steps')} AS leaves",
     )
     base = _base_items(families)
     if families & {ACTION, GOAL_ACTION}:
         # one work item per action token of the pane, and one (null) for everything without an action
         work = grouped.selectExpr(
-            *split.columns, "goals", "explode(concat(array(CAST(NULL AS struct<x:string,all:array<struct<x:string,t:bigint,reach:int>>>)), acts)) AS act"
+            *split.columns, "goals", "leaves", "explode(concat(array(CAST(NULL AS struct<x:string,all:array<struct<x:string,t:bigint,reach:int>>>)), acts)) AS act"
         )
         if GOAL_ACTION in families:
             work = work.selectExpr("*", f"CASE WHEN act IS NOT NULL THEN {_goals_after(hint_ms)} END AS goals_after")

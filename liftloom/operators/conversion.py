@@ -3,7 +3,7 @@
 All counting happens inside the pane record with array functions. Rows are first grouped by token, then each row of the
 pane is asked how many instances reach back to it, so one number per pair of tokens leaves the record and never one row
 per pair of rows. For goals after an action the instances are not even paired: goals later than an action, and goals
-near enough to a row, are differences of two running counts.
+near enough to a row, are differences of two running counts, and what lies before an action is counted once for all goals.
 
 Names inside the record: ``rows`` all rows in order, ``steps`` those with a time meaning (all but ATR), ``traits`` the
 ATR tokens, ``goals``, ``acts`` and ``leaves`` (all steps) one entry per token with ``all`` its instances. An instance has ``reach``, the place
@@ -84,12 +84,11 @@ def _goals_after(hint_ms: int) -> str:
         counted = f"size(filter(g.all, o -> o.local AND o.labelled = {labelled} AND o.t <= {ts}))"
         return f"CASE WHEN g.any_local THEN {counted} ELSE 0 END"
 
-    takes = f"""filter(transform(act.all, a -> named_struct('t', a.t, 'reach', a.reach,
-        'free', {later(False)}, 'cut', {later(True)}, 'near_free', {upto('a.t', False)},
+    takes = f"""filter(transform(act.all, a -> named_struct('t', a.t, 'reach', a.reach, 'before', a.before,
+        'within', a.within, 'free', {later(False)}, 'cut', {later(True)}, 'near_free', {upto('a.t', False)},
         'near_cut', {upto('a.t', True)}, 'any', size(filter(g.all, o -> o.t > a.t)))), a -> a.any > 0)"""
-    near = f"""CASE WHEN g.any_local THEN transform(leaves, s -> named_struct('x', s.x, 'all', transform(s.all,
-        e -> named_struct('i', e.i, 't', e.t, 'near_free', {upto(f'e.t + {hint_ms}', False)},
-            'near_cut', {upto(f'e.t + {hint_ms}', True)})))) END"""
+    near = f"""CASE WHEN g.any_local THEN transform(leaves, s -> transform(s.all, e -> named_struct('i', e.i, 't', e.t,
+        'near_free', {upto(f'e.t + {hint_ms}', False)}, 'near_cut', {upto(f'e.t + {hint_ms}', True)}))) END"""
     followed = "filter(goals, g -> g.last > array_min(transform(act.all, a -> a.t)))"
     return f"transform({followed}, g -> named_struct('x', g.x, 'takes', {takes}, 'near', {near}))"
 
@@ -98,22 +97,19 @@ def _action_items(families: frozenset[str]) -> str:
     """Counts of one action token."""
     parts = []
     if ACTION in families:
-        seen = _sum_over("s.all", "size(filter(act.all, a -> a.t > e.t AND a.reach <= e.i))")
-        parts.append(_positive(f"transform(leaves, s -> {_item(_ALL, 'act.x', 's.x', seen)})"))
+        seen = "aggregate(act.all, 0L, (n, a) -> n + a.within[j])"
+        parts.append(_positive(f"transform(leaves, (s, j) -> {_item(_ALL, 'act.x', 's.x', seen)})"))
         parts.append(f"transform(traits, x -> {_item(_ALL, 'act.x', 'x', 'size(act.all)')})")
         parts.append(f"array({_item(_ALL, 'act.x', _TS, 'size(act.all)')})")
     if GOAL_ACTION in families:
-        # goals later than the action and, if local, not too late for the step; a labelled goal sees no step that lies
-        # before the action's own marker
-        plain = "a.free + CASE WHEN a.reach <= e.i THEN a.cut ELSE 0 END"
-        local = """greatest(0, e.near_free - a.near_free)
-            + CASE WHEN a.reach <= e.i THEN greatest(0, e.near_cut - a.near_cut) ELSE 0 END"""
-
-        def weighed(leaves: str, weight: str) -> str:
-            per_step = f"aggregate(p.takes, 0L, (n, a) -> n + CASE WHEN a.t > e.t THEN {weight} ELSE 0 END)"
-            return f"transform({leaves}, s -> {_item('p.x', 'act.x', 's.x', _sum_over('s.all', per_step))})"
-
-        steps = f"CASE WHEN p.near IS NULL THEN {weighed('leaves', plain)} ELSE {weighed('p.near', f'{plain} + {local}')} END"
+        # goals later than the action see all steps before it, labelled ones only those within its marker; local goals
+        # are asked step by step, as they must also not be too late for the step
+        plain = "aggregate(p.takes, 0L, (n, a) -> n + a.free * a.before[j] + a.cut * a.within[j])"
+        weight = """CASE WHEN a.t > e.t THEN greatest(0, e.near_free - a.near_free)
+            + CASE WHEN a.reach <= e.i THEN greatest(0, e.near_cut - a.near_cut) ELSE 0 END ELSE 0 END"""
+        local = _sum_over("p.near[j]", f"aggregate(p.takes, 0L, (n, a) -> n + {weight})")
+        total = f"{plain} + CASE WHEN p.near IS NULL THEN 0L ELSE {local} END"
+        steps = f"transform(leaves, (s, j) -> {_item('p.x', 'act.x', 's.x', total)})"
         any_goal = "aggregate(p.takes, 0L, (n, a) -> n + a.any)"
         traits = f"transform(traits, x -> {_item('p.x', 'act.x', 'x', any_goal)})"
         hits = _item("p.x", "act.x", _TS, "size(p.takes)")
@@ -153,6 +149,13 @@ def leaf_counts(
         work = grouped.selectExpr(
             *split.columns, "goals", "leaves", "explode(concat(array(CAST(NULL AS struct<x:string,all:array<struct<x:string,t:bigint,reach:int>>>)), acts)) AS act"
         )
+        # per action instance and leaf: the steps before it, and those of them within its marker
+        before = "transform(leaves, s -> size(filter(s.all, e -> e.t < a.t)))"
+        within = "transform(leaves, s -> size(filter(s.all, e -> e.t < a.t AND e.i >= a.reach)))"
+        seen = f"transform(act.all, a -> named_struct('t', a.t, 'reach', a.reach, 'before', {before}, 'within', {within}))"
+        work = work.selectExpr(
+            *split.columns, "goals", "leaves", f"CASE WHEN act IS NOT NULL THEN named_struct('x', act.x, 'all', {seen}) END AS act"
+        )
         if GOAL_ACTION in families:
             work = work.selectExpr("*", f"CASE WHEN act IS NOT NULL THEN {_goals_after(hint_ms)} END AS goals_after")
         item = f"CASE WHEN act IS NULL THEN {base} ELSE {_action_items(families)} END"

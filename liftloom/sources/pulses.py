@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from liftloom.functions.tokens import CLIENT_TYPES
-from liftloom.schemas import EVENT_MESSAGE, PULSE_BODY
+from liftloom.schemas import ACTION_BODY, EVENT_MESSAGE, PREDICT_BODY, PULSE_BODY
 
 # Request limits.
 MAX_EVENTS = 25
@@ -41,6 +41,26 @@ def decode_bodies(raw: DataFrame, schema: T.StructType = PULSE_BODY) -> DataFram
     )
 
 
+def decode_predicts(raw: DataFrame) -> DataFrame:
+    """Bodies of predict requests, in the columns scoring takes; bodies that cannot be parsed are left out."""
+    return _requests(raw, PREDICT_BODY)
+
+
+def decode_actions(raw: DataFrame) -> DataFrame:
+    """Bodies of action requests, likewise."""
+    return (
+        _requests(raw, ACTION_BODY)
+        .withColumnRenamed("anchorid", "anchor_id")
+        .fillna(False, ["gainonly", "mute", "detail"])
+        .fillna("", ["explore", "anchor_id", "label", "goal"])
+    )
+
+
+def _requests(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    whole = decode_bodies(raw, schema).where("body_ok").drop("body_ok")
+    return whole.fillna(0, ["window", "ctxlength"])
+
+
 def check_requests(requests: DataFrame) -> DataFrame:
     """Judge pulse requests: ``request_reason`` for a request refused as a whole, else ``first_bad`` (place, from 1, of
     the first bad event; 0 for none) and ``bad_reason``. Works inside the record: no shuffle, nothing exploded yet.

@@ -91,3 +91,20 @@ def test_admission(spark):
     assert {r.request_id: (r.status, r.session_conf) for r in got.collect()} == {
         1: (200, "standard"), 2: (200, "lab"), 3: (401, "lab"), 4: (403, "lab"), 5: (403, "lab"), 6: (404, None), 7: (404, None), 8: (200, "lab"),
     }
+
+
+def test_predict_and_action_bodies(spark):
+    columns = "request_id long, project_id string, session_id string, session_conf string, ts_ms long, as_of date, encoded boolean, body string"
+    bodies = [
+        '{"goal":"g","actions":[{"name":"x","cost":0.5},{"name":"y"}],"reward":2,"anchorid":"a","explore":"S","states":[{"name":"e","type":"event"}]}',
+        '{"goal":"g","window":5,"actions":[{"name":"x"}],"mute":true,"ctxlength":-1}',
+        '{"goal":',
+    ]
+    raw = spark.createDataFrame([(n, "p", "s", "standard", 0, None, False, b) for n, b in enumerate(bodies)], columns)
+    one_, two = pulses.decode_actions(raw).orderBy("request_id").collect()
+    assert (one_.goal, one_.anchor_id, one_.explore, one_.reward, one_.window, one_.mute, one_.ctxlength) == ("g", "a", "S", 2.0, 0, False, 0)
+    assert [tuple(a) for a in one_.actions] == [("x", 0.5), ("y", None)] and [tuple(s) for s in one_.states] == [("e", "event")]
+    assert (two.anchor_id, two.window, two.mute, two.ctxlength, two.gainonly) == ("", 5, True, -1, False)
+    predicts = spark.createDataFrame([(7, "p", "s", "standard", 0, None, True, base64.b64encode(b'{"goals":["a","b"]}').decode())], columns)
+    [row] = pulses.decode_predicts(predicts).collect()
+    assert row.goals == ["a", "b"] and row.window == 0

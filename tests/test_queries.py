@@ -10,7 +10,7 @@ STATEMENTS = entry.oracle_sql()
 
 
 def test_every_query_has_its_statement():
-    assert set(STATEMENTS) == set(entry.queries())
+    assert set(catalog.QUERIES) <= set(STATEMENTS) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))

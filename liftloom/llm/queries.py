@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftloom.llm import setsketch_dedup
+from liftloom.llm import ann_graph, curriculum, cutting_stock, impact_topk, langid_bloom, pii_crf, setsketch_dedup, url_rules
 from liftloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,48 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_graph_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_graph.nearest(_table(spark, folder, "embeddings"))
+
+
+def op2_pii_tagger(spark: SparkSession, folder: str) -> DataFrame:
+    return pii_crf.detect(_table(spark, folder, "documents"))
+
+
+def op3_language_bloom(spark: SparkSession, folder: str) -> DataFrame:
+    return langid_bloom.identify(_table(spark, folder, "documents"))
+
+
+def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return curriculum.mix(_table(spark, folder, "documents"))
+
+
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(_table(spark, folder, "pages")).drop("rules_run")
+
+
 def op8_setsketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch_dedup.near_duplicates(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {query.__name__: query for query in (op8_setsketch_dedup,)}
+def op9_impact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return impact_topk.exact_top(_table(spark, folder, "embeddings"))
+
+
+def op10_cutting_stock(spark: SparkSession, folder: str) -> DataFrame:
+    return cutting_stock.pack(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    query.__name__: query
+    for query in (
+        op1_graph_search,
+        op2_pii_tagger,
+        op3_language_bloom,
+        op4_curriculum_mix,
+        op6_url_rules,
+        op8_setsketch_dedup,
+        op9_impact_topk,
+        op10_cutting_stock,
+    )
+}

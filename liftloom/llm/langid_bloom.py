@@ -153,7 +153,7 @@ def train(labelled: DataFrame, settings: BloomSettings = BloomSettings()) -> Lan
 
     counted = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     sampled = {r["lang"]: min(r["count"], settings.sample_per_language) for r in sizes}
-    least = {lang: max(settings.least_share * n, min(settings.least_documents, n)) for lang, n in sampled.items()}
+    least = {lang: float(max(settings.least_share * n, min(settings.least_documents, n))) for lang, n in sampled.items()}
     bounds = spark.createDataFrame(list(least.items()), "lang string, least double")
     ranked = counted.join(F.broadcast(bounds), "lang").where("docs >= least")
     top = ranked.selectExpr("lang", "gram", "row_number() over (partition by lang order by docs desc, gram) as place")

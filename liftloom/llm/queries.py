@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftloom.llm import ann_graph, curriculum, cutting_stock, impact_topk, langid_bloom, pii_crf, setsketch_dedup, url_rules
+from liftloom.llm import ann_graph, curriculum, cutting_stock, impact_topk, langid_bloom, pii_crf, setsketch_dedup, toxicity_cnn, url_rules
 from liftloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op4_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     return curriculum.mix(_table(spark, folder, "documents"))
 
 
+def op5_toxicity_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity_cnn.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(_table(spark, folder, "pages")).drop("rules_run")
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
         op2_pii_tagger,
         op3_language_bloom,
         op4_curriculum_mix,
+        op5_toxicity_cnn,
         op6_url_rules,
         op8_setsketch_dedup,
         op9_impact_topk,

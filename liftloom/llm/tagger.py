@@ -148,10 +148,10 @@ class Tagger:
 
 
 class Adam:
-    """Adam steps over a dictionary of weights."""
+    """Adam steps over a dictionary of weights. A larger ``floor`` slows weights whose gradients are rare or small."""
 
-    def __init__(self, weights: dict[str, np.ndarray], rate: float) -> None:
-        self.weights, self.rate, self.step = weights, rate, 0
+    def __init__(self, weights: dict[str, np.ndarray], rate: float, floor: float = 1e-8) -> None:
+        self.weights, self.rate, self.floor, self.step = weights, rate, floor, 0
         self.first = {name: np.zeros_like(value) for name, value in weights.items()}
         self.second = {name: np.zeros_like(value) for name, value in weights.items()}
 
@@ -164,4 +164,4 @@ class Adam:
             self.first[name] += 0.1 * (gradient - self.first[name])
             self.second[name] += 0.001 * (gradient * gradient - self.second[name])
             first, second = self.first[name] / (1 - 0.9**self.step), self.second[name] / (1 - 0.999**self.step)
-            self.weights[name] -= (self.rate * first / (np.sqrt(second) + 1e-8)).astype(self.weights[name].dtype)
+            self.weights[name] -= (self.rate * first / (np.sqrt(second) + self.floor)).astype(self.weights[name].dtype)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from liftloom.llm import words as W
 
@@ -171,17 +172,17 @@ def train(labelled: DataFrame, settings: BloomSettings = BloomSettings()) -> Lan
     return LanguageFilter(languages, slices, rates, settings)
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``score`` behind them."""
+def predict(docs: DataFrame, model: LanguageFilter, text: str = "text", added: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score, named as ``added``, behind them."""
     names = docs.columns
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField(added[0], StringType()), StructField(added[1], DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in W.slices(whole, text):
                 langs, shares = model.predict(batch.column(text))
                 columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(shares, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *added])
 
     return docs.mapInArrow(run, schema)
 

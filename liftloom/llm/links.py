@@ -28,6 +28,12 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node is linked down to one other, which is linked down to none."""
+    ends = links.selectExpr("a as node", "1 as down", "0 as up").union(links.selectExpr("b as node", "0 as down", "1 as up"))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node that each linked node can reach: columns ``node`` and ``root``.
 
@@ -37,12 +43,7 @@ def components(links: DataFrame) -> DataFrame:
     that adaptive execution can split; its own minimum is taken before the shuffle.
     """
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while True:
+    while not _settled(now):
         now = written(_small_star(_large_star(now)).distinct(), "links")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
-        if seen == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        state = seen
+    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

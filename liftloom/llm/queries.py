@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from liftloom.llm import ann_graph, curriculum, cutting_stock, impact_topk, langid_bloom, pii_crf, setsketch_dedup, toxicity_cnn, url_rules
+from liftloom.llm import ann_graph, curriculum, cutting_stock, impact_topk, langid_bloom, license_patience, pii_crf, setsketch_dedup, toxicity_cnn, url_rules
 from liftloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(_table(spark, folder, "pages")).drop("rules_run")
 
 
+def op7_license_patience(spark: SparkSession, folder: str) -> DataFrame:
+    return license_patience.scan(_table(spark, folder, "documents"))
+
+
 def op8_setsketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch_dedup.near_duplicates(_table(spark, folder, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Query] = {
         op4_curriculum_mix,
         op5_toxicity_cnn,
         op6_url_rules,
+        op7_license_patience,
         op8_setsketch_dedup,
         op9_impact_topk,
         op10_cutting_stock,

@@ -5,10 +5,11 @@ hash values as the set has members, on a logarithmic scale and cut to sixteen bi
 larger value of each register. Bands of registers propose pairs, the likelihood of the registers' order estimates their
 similarity, and full shingle sets decide.
 
-A bucket of documents that share a band is never turned into all its pairs. Each round picks a few hubs in every bucket and
-tests the others against them; then the components found so far are looked up, and only buckets in which untested members
-lie in different components go on, with twice as many hubs. When none is left, every pair of a bucket has been tested or
-joined by a chain of confirmed links.
+A bucket of documents that share a band is never turned into all its pairs. First each bucket tests its members against one
+of them. Then the components found so far are looked up, and only members outside the largest component of their bucket
+are compared with the other components' members. Of such pairs, those that look most alike for their two components are
+verified first, then more of them round by round, until each pair is verified or its ends are joined by a chain of confirmed
+links.
 
 Defined results: a null or empty text, or one of white space, has no shingles, stands alone and is kept; repeated rows and
 rows with equal sets form one class; a null ``doc_id`` never names a component unless its class has no other, and ``kept``
@@ -43,7 +44,7 @@ class SketchSettings:
     #: links need ``100 * intersection >= percent * union``
     percent: int = 75
     #: pairs estimated this many standard deviations below the limit are not verified
-    deviations: float = 6.0
+    deviations: float = 5.0
     #: so many ids are sent to all tasks at most to pick the texts to verify
     broadcast_ids: int = 200_000
 
@@ -146,7 +147,7 @@ def estimate_similarity(one: np.ndarray, two: np.ndarray, size_one: np.ndarray,
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, settings: SketchSettings) -> DataFrame:
-    """The pairs whose sizes and registers do not speak against a link."""
+    """The pairs whose sizes and registers do not speak against a link, with their estimated similarity ``alike``."""
     side = classes.select("cid", "n_shingles", "sketch")
     sized = (
         pairs.join(side.toDF("a", "na", "sa"), "a")
@@ -163,91 +164,100 @@ def _likely(pairs: DataFrame, classes: DataFrame, settings: SketchSettings) -> D
                 shape = (part.num_rows, settings.registers)
                 one, two = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(shape) for c in ("sa", "sb"))
                 sizes = (part.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-                likely = estimate_similarity(one, two, *sizes, settings.base) >= floor
-                yield part.select(["a", "b"]).filter(pa.array(likely))
+                alike = estimate_similarity(one, two, *sizes, settings.base)
+                found = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(alike)], names=["a", "b", "alike"])
+                yield found.filter(pa.array(alike >= floor))
 
-    return sized.mapInArrow(run, "a long, b long")
+    return sized.mapInArrow(run, "a long, b long, alike double")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: SketchSettings) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. ``pairs`` is read more than once."""
-    names = classes.select("cid", "rep", "d1", "d2")
+def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: SketchSettings) -> DataFrame:
+    """The text of every class in ``pairs``, written once: ``cid``, the class's digests, ``text``."""
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    needed = written(ids.join(names, "cid"), "needed")
-    small = needed.count() <= settings.broadcast_ids
-    own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    own = own.withColumnRenamed("rep", "doc_id")
-    wanted = F.broadcast(needed) if small else needed
-    texts = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "d1", "d2", "text")
-    one = texts.toDF("a", "a1", "a2", "text_a")
-    two = texts.toDF("b", "b1", "b2", "text_b")
-    joined = pairs.join(one, "a").join(two, "b").select("a", "a1", "a2", "text_a", "b", "b1", "b2", "text_b")
+    needed = written(ids.join(classes.select("cid", "rep", "d1", "d2"), "cid"), "needed")
+    if needed.count() <= settings.broadcast_ids:
+        needed = F.broadcast(needed)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(own.join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "d1", "d2", "text"), "texts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, np.ndarray] = (None, np.zeros(0, np.uint64))
 
-        def members(text: str) -> np.ndarray:
-            nonlocal last
-            if last[0] != text:
-                column = pa.array([text], pa.large_string())
-                last = (text, next(W.shingle_sets(*W.word_hashes(*W.buffer_of(column)))))
-            return last[1]
+def _confirmed(pairs: DataFrame, texts: DataFrame, settings: SketchSettings) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
+    one, two = texts.toDF("a", "a1", "a2", "text_a"), texts.toDF("b", "b1", "b2", "text_b")
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "a1", "a2", "text_a", "b", "b1", "b2", "text_b")
 
-        for batch in batches:
-            linked = []
-            for row in range(batch.num_rows):
-                a1, a2, b1, b2, text_a, text_b = (batch.column(c)[row].as_py() for c in ("a1", "a2", "b1", "b2", "text_a", "text_b"))
-                of_a = next(W.shingle_sets(*W.word_hashes(*W.buffer_of(pa.array([text_a], pa.large_string())))))
-                of_b = members(text_b or "")
-                both = len(np.intersect1d(of_a, of_b, assume_unique=True))
-                either = len(of_a) + len(of_b) - both
-                # a doc_id can stand for several texts: only the one with the class's digests counts
-                named = _digests(of_a) == (a1, a2) and _digests(of_b) == (b1, b2)
-                linked.append(named and either > 0 and 100 * both >= settings.percent * either)
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for half in W.slices(whole, "text_a"):
+                for batch in W.slices(half, "text_b"):
+                    sets = [list(W.shingle_sets(*W.word_hashes(*W.buffer_of(batch.column(c))))) for c in ("text_a", "text_b")]
+                    digests = zip(*(batch.column(c).to_pylist() for c in ("a1", "a2", "b1", "b2")), strict=True)
+                    linked = []
+                    for of_a, of_b, (a1, a2, b1, b2) in zip(*sets, digests, strict=True):
+                        both = len(of_a) + len(of_b) - len(np.unique(np.concatenate([of_a, of_b])))
+                        either = len(of_a) + len(of_b) - both
+                        enough = either > 0 and 100 * both >= settings.percent * either
+                        # a doc_id can stand for several texts: only the one with the class's digests counts
+                        linked.append(enough and _digests(of_a) == (a1, a2) and _digests(of_b) == (b1, b2))
+                    yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs that no chain of links joins yet, with the roots of both ends."""
+    return (
+        pairs.join(roots.toDF("a", "root_a"), "a", "left")
+        .join(roots.toDF("b", "root_b"), "b", "left")
+        .withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+        .where("root_a <> root_b")
+    )
+
+
 def class_components(docs: DataFrame, classes: DataFrame, settings: SketchSettings) -> DataFrame:
     """Columns ``node`` and ``root`` over linked classes."""
-    # only buckets with two classes or more can propose anything
     buckets = _buckets(classes, settings)
-    shared = buckets.groupBy("bucket").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi").select("bucket")
-    open_rows = written(buckets.join(shared, "bucket"), "buckets")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    hubs_each = 1
-    while not open_rows.isEmpty():
-        hubs = open_rows.selectExpr("bucket", "cid", "row_number() over (partition by bucket order by cid) as place").where(f"place <= {hubs_each}")
-        hubs = hubs.select("bucket", F.col("cid").alias("hub"))
-        tested = (
-            open_rows.join(hubs, "bucket")
-            .where("cid <> hub")
-            .select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b"))
-            .distinct()
-        )
-        tested = _apart(tested, roots)
-        likely = written(_likely(tested, classes, settings), "likely")
-        links = written(links.union(_confirmed(likely, classes, docs, settings)), "confirmed")
-        roots = written(components(links), "roots")
-        left = open_rows.join(hubs.withColumnRenamed("hub", "cid"), ["bucket", "cid"], "left_anti")
-        rooted = left.join(roots, left.cid == roots.node, "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
-        undecided = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        open_rows = written(left.join(undecided, "bucket"), "buckets")
-        hubs_each *= 2
+    # the hub is drawn anew in each bucket, so that documents that share many bands meet many hubs
+    drawn = F.struct(F.xxhash64("cid", "bucket").alias("draw"), F.col("cid").alias("cid"))
+    hubs = buckets.groupBy("bucket").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high")).where("low.cid <> high.cid")
+    rows = written(buckets.join(hubs.selectExpr("bucket", "low.cid as hub"), "bucket"), "buckets")
+    tested = rows.where("cid <> hub").select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
+    likely = written(_likely(tested, classes, settings), "likely")
+    links = written(_confirmed(likely, _texts(likely, classes, docs, settings), settings), "confirmed")
+    roots = written(components(links), "roots")
+
+    rooted = rows.join(roots, rows.cid == roots.node, "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+    counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = counts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
+    mixed = largest.where("roots > 1").selectExpr("bucket", "most.root as most")
+    apart = written(rooted.join(mixed, "bucket"), "apart")
+    # each member outside the largest component meets the other components' members; of two such, the smaller is hub
+    hubs = apart.where("root <> most").selectExpr("bucket", "cid as hub", "root as hub_root")
+    met = apart.join(hubs, "bucket").where("root <> hub_root and (root = most or cid > hub)")
+    met = met.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
+    pool = written(_likely(met, classes, settings).join(likely.select("a", "b"), ["a", "b"], "left_anti"), "pool")
+    texts, most = None, 1
+    while not pool.isEmpty():
+        texts = texts or _texts(pool, classes, docs, settings)
+        ranked = pool.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
+        ends = "least(coalesce(root_a, a), coalesce(root_b, b)), greatest(coalesce(root_a, a), coalesce(root_b, b))"
+        ranked = ranked.selectExpr("a", "b", "alike", f"row_number() over (partition by {ends} order by alike desc, a, b) as nth")
+        now = written(ranked, "ranked")
+        new = written(_confirmed(now.where(f"nth <= {most}"), texts, settings), "confirmed")
+        if not new.isEmpty():
+            roots = _joined_up(roots, new)
+        pool = written(_with_roots(now.where(f"nth > {most}").select("a", "b", "alike"), roots).select("a", "b", "alike"), "pool")
+        most *= 8
     return roots
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs that no chain of links joins yet."""
-    joined = (
-        pairs.join(roots.toDF("a", "root_a"), "a", "left")
-        .join(roots.toDF("b", "root_b"), "b", "left")
-        .where("coalesce(root_a, a) <> coalesce(root_b, b)")
-    )
-    return joined.select("a", "b")
+def _joined_up(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots after some more links, which are followed from root to root only."""
+    ends = _with_roots(links, roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    moved = components(ends).toDF("old", "new")
+    known = roots.join(moved, roots.root == moved.old, "left").select("node", F.coalesce("new", "root").alias("root"))
+    single = moved.join(roots, moved.old == roots.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return written(known.union(single), "roots")
 
 
 def near_duplicates(docs: DataFrame, settings: SketchSettings = SketchSettings()) -> DataFrame:

@@ -75,9 +75,9 @@ def _time_due(share: str, knots: tuple[float, ...]) -> str:
         low, slope = knots[number], (knots[number + 1] - knots[number]) / width
         rest = f"greatest({share} * {total!r}d - {before!r}d, 0d)"
         root = f"sqrt(greatest({low * low!r}d + 2 * ({slope!r}d) * {rest}, 0d))"
-        time = f"{number * width!r}d + least(2 * {rest} / ({low!r}d + {root}), {width!r}d)"
+        time = f"{number * width!r}d + least(coalesce(try_divide(2 * {rest}, {low!r}d + {root}), 0d), {width!r}d)"
         before += area
-        cases.append(f"when {share} * {total!r}d <= {before!r}d then {time}" if number + 1 < len(areas) else f"else {time}")
+        cases.append(f"when {share} * {total!r}d <= {before!r}d or {number + 1 == len(areas)} then {time}")
     return f"case {' '.join(cases)} end"
 
 

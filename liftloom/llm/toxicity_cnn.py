@@ -127,11 +127,13 @@ class Classifier:
             first, last = np.searchsorted(begins, begin, side="right") - 1, np.searchsorted(begins, end, side="left")
             cuts = np.maximum(begins[first:last] - begin, 0)
             piece = np.concatenate([spaced[begin : end + most], np.full(most, none, np.int32)])[: end - begin + most]
+            gaps = piece[: end - begin] == none  # a filter that began here would read the next document
             for number, width in enumerate(settings.widths):
                 found = self._kept[number][0][piece[: end - begin]]
                 for place in range(1, width):
                     found = found + self._kept[number][place][piece[place : place + end - begin]]
                 found = np.maximum(found + self.weights[f"shift_{width}"], 0)
+                found[gaps] = 0
                 columns = slice(number * settings.filters, (number + 1) * settings.filters)
                 features[first:last, columns] = np.maximum(features[first:last, columns], np.maximum.reduceat(found, cuts, axis=0))
         features[counts == 0] = 0

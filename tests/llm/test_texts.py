@@ -129,9 +129,9 @@ def test_best_path_is_the_likeliest():
 
 
 def test_personal_data(spark):
-    settings = PiiSettings(epochs=5)
-    rows = [(n, f"{prose(n, 30)} reach me at jo{n}@mail.example.com or +1 (555) 123-4{n:03d} ok") for n in range(20, 60)]
-    rows += [(200, "write to anna.bell [at] mail.example.com please"), (201, prose(3, 50)), *ODD]
+    settings = PiiSettings()
+    rows = [(n, f"{shuffled(EN, n)} reach me at jo{n}@mail.example.com or +1 (555) 123-4{n:03d} ok") for n in range(20, 60)]
+    rows += [(200, "write to anna.bell [at] mail.example.com please"), (201, shuffled(EN, 3)), *ODD]
     docs = documents(spark, rows)
     model = pii_crf.train(docs, settings)
     texts = {}
@@ -148,12 +148,11 @@ def test_personal_data(spark):
     for number in range(200):
         kind, span = pii_crf._made_up(random)
         if kind:
-            text = f"{prose(number, 12)} {span} {prose(number + 1, 12)}"
-            text = re.sub(r"(?<=[a-z])[0-9]+", "", text) if "@" not in span else text
-            begin = text.index(span) if span in text else -1
-            total += begin >= 0
-            hits += begin >= 0 and (kind, begin, begin + len(span)) in pii_crf.tagged_spans([text], model, settings)[0]
-    assert hits >= 0.6 * total
+            text = f"{shuffled(EN, number)} {span} {shuffled(EN, number + 1)}"
+            begin = text.index(span)
+            total += 1
+            hits += (kind, begin, begin + len(span)) in pii_crf.tagged_spans([text], model, settings)[0]
+    assert hits >= 0.5 * total
     clean = {r.doc_id: r.text for r in pii_crf.redact(docs, model, settings).collect()}
     assert "@" not in clean[20] and "[EMAIL]" in clean[20] and "[PHONE]" in clean[20]
     assert clean[1] is None and clean[2] == "" and clean[5] == "x" * 200_000

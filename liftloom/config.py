@@ -32,11 +32,10 @@ class HotKeys:
     max_keys: int = 4096
 
 
-# Session settings, hint and pane defaults that results depend on.
+# Session settings and hint that results depend on.
 DEFAULT_GAPS = "standard:1800,lab:120"
 DEFAULT_CONF = "standard"
 LOCAL_HINT_MS = 60_000
-PANE_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -46,7 +45,8 @@ class SessionSettings:
     gaps: dict[str, int] = field(default_factory=lambda: parse_gaps(DEFAULT_GAPS))
     default_conf: str = DEFAULT_CONF
     local_hint_ms: int = LOCAL_HINT_MS
-    pane_rows: int = PANE_ROWS
+    #: count every run of so many rows as a session of its own, as early output of a stream would; None counts whole sessions
+    pane_rows: int | None = None
     hot_keys: HotKeys | None = HotKeys()
 
     def __post_init__(self) -> None:
@@ -54,5 +54,5 @@ class SessionSettings:
             raise ValueError(f"default session setting {self.default_conf!r} has no gap")
         if any(seconds <= 0 for seconds in self.gaps.values()):
             raise ValueError("session gaps must be positive")
-        if self.pane_rows < 1:
-            raise ValueError("pane_rows must be positive")
+        if self.pane_rows is not None and self.pane_rows < 1:
+            raise ValueError("pane_rows must be positive or None")

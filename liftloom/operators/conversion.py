@@ -1,13 +1,15 @@
-"""What preceded which goal and action: pane records to counts.
-
-All counting happens inside the pane record with array functions. Rows are first grouped by token, then each row of the
-pane is asked how many instances reach back to it, so one number per pair of tokens leaves the record and never one row
-per pair of rows. For goals after an action the instances are not even paired: goals later than an action, and goals
-near enough to a row, are differences of two running counts, and what lies before an action is counted once for all goals.
-
-Names inside the record: ``rows`` all rows in order, ``steps`` those with a time meaning (all but ATR), ``traits`` the
-ATR tokens, ``goals``, ``acts`` and ``leaves`` (all steps) one entry per token with ``all`` its instances. An instance has ``reach``, the place
-of the step where its marker cuts the view (-1 for none), and a goal ``since``, the earliest time it looks back to.
+"""What preceded which goal and action: session rows to counts, for sessions of any length.
+
+No session is ever held as one value. A row knows its ``place`` in its session; an instance of a goal or an action looks
+back over an interval of places, from ``lo`` (its marker, or the earliest time it looks back to) up to ``hi`` (the first row
+of its own time). For each token an instance adds its weight where its interval begins and takes it off where it ends; the
+running sum over the places is what a step at that place is counted for. So rows are never paired with rows: the work
+grows with the rows times the different tokens of their session.
+
+For goals after an action the weight of an action is the number of goals that follow it. Local goals see a step only if it
+is near enough in time. For a step at ``t`` and an action after it, these are the local goals up to ``t`` plus the hint less those
+up to the action, so two more running sums, of the actions whose interval holds the step and of the local goals up to
+them, give all of them at once.
 """
 
 from __future__ import annotations
@@ -17,151 +19,184 @@ from pyspark.sql import functions as F
 
 from liftloom.config import SessionSettings
 from liftloom.functions.tokens import ALL, NO_ACTION, SESSION_TOTAL, day_of_ms
+from liftloom.session import written
 
 #: families of count keys; each can be left out when it is not asked for
 EVENT, SESSION, GOAL, ACTION, GOAL_ACTION = "event", "session", "goal", "action", "goal_action"
 FAMILIES = frozenset({EVENT, SESSION, GOAL, ACTION, GOAL_ACTION})
 
-_ALL, _NONE, _TS = f"'{ALL}'", f"'{NO_ACTION}'", f"'{SESSION_TOTAL}'"
-
-
-_GOAL_FACTS = "'any_local', exists(g.all, o -> o.local), 'last', array_max(transform(g.all, o -> o.t))"
-
-
-def _item(goal: str, action: str, leaf: str, n: str) -> str:
-    return f"named_struct('goal', {goal}, 'action', {action}, 'leaf', {leaf}, 'n', cast({n} AS bigint))"
-
-
-def _sum_over(steps: str, per_step: str) -> str:
-    return f"aggregate({steps}, 0L, (total, e) -> total + {per_step})"
-
-
-def _positive(items: str) -> str:
-    return f"filter({items}, q -> q.n > 0)"
+_PANE = ["project_id", "session_id", "session_start", "pane"]
+_IN_PANE = ", ".join(_PANE)
+_KEY = ["project_id", "day", "goal", "action", "leaf"]
+#: what running sums are kept of: steps seen, and for local goals the actions whose interval holds the step and the goals up
+#: to these actions, each without and with a label
+_SUMS = ["n", "free_acts", "free_before", "cut_acts", "cut_before"]
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Rows with their token, day, and how many rows of their pane are earlier (``hi``)."""
+    return (
+        rows.selectExpr(
+            *_PANE,
+            "cast(place AS bigint) AS place",
+            "ts_ms",
+            "event_type AS kind",
+            "concat_ws('#', event_type, event_name) AS x",
+            "coalesce(label, '') AS label",
+            "coalesce(hint, '') = 'local' AS local",
+            f"max(run_end) OVER (PARTITION BY {_IN_PANE}) AS pane_end",
+            f"rank() OVER (PARTITION BY {_IN_PANE} ORDER BY ts_ms) - 1L AS hi",
+        )
+        .withColumn("day", day_of_ms(F.col("pane_end")))
+        .drop("pane_end")
+    )
 
 
-def _reach(marker: str, ts: str) -> str:
-    """Place of the last plain event before ``ts`` whose label is the marker."""
-    marked = f"filter(steps, e -> e.kind = 'EVENT' AND e.label = {marker} AND e.t < {ts})"
-    return f"coalesce(array_max(transform({marked}, e -> e.i)), -1)"
+def _instances(rows: DataFrame, hint_ms: int) -> DataFrame:
+    """Goals and actions with ``reach``, the place of their marker (0 for none), and ``near``, the first place that is not
+    further back than the hint. A labelled goal is cut at its label, an action at the event whose label names its token."""
+    nearby = f"count(1) OVER (PARTITION BY {_IN_PANE} ORDER BY ts_ms RANGE BETWEEN UNBOUNDED PRECEDING AND {hint_ms + 1} PRECEDING) AS near"
+    marked = rows.selectExpr("*", nearby, "CASE WHEN kind = 'ACT' THEN x WHEN kind IN ('EVENT', 'GOAL') THEN label END AS marker").where(
+        "kind IN ('GOAL', 'ACT') OR marker <> ''"
+    )
+    last = (
+        f"max(CASE WHEN kind = 'EVENT' THEN place END) OVER (PARTITION BY {_IN_PANE}, marker ORDER BY ts_ms"
+        " RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    return marked.selectExpr("*", f"CASE WHEN marker <> '' THEN coalesce({last}, 0L) ELSE 0L END AS reach").where("kind IN ('GOAL', 'ACT')")
 
 
-def _by_token(instances: str, more: str = "") -> str:
-    tokens = f"array_distinct(transform({instances}, o -> o.x))"
-    grouped = f"transform({tokens}, x -> named_struct('x', x, 'all', filter({instances}, o -> o.x = x)))"
-    if not more:
-        return grouped
-    return f"transform({grouped}, g -> named_struct('x', g.x, 'all', g.all, {more}))"
+def _changes(rows: DataFrame, goal: str, action: str, *parts: tuple[str, dict[str, str]]) -> DataFrame:
+    """Changes of the running sums at places: for each part, an SQL place and what it adds to each sum."""
+    structs = [
+        f"named_struct('place', {place}, " + ", ".join(f"'{name}', cast({sums.get(name, '0')} AS bigint)" for name in _SUMS) + ")"
+        for place, sums in parts
+    ]
+    return rows.selectExpr(*_PANE, f"{goal} AS goal", f"{action} AS action", f"inline(array({', '.join(structs)}))")
 
 
-def _base_items(families: frozenset[str]) -> str:
-    """Counts that involve no action."""
-    parts = ["cast(array() AS array<struct<goal:string,action:string,leaf:string,n:bigint>>)"]
-    if EVENT in families:
-        parts.append(f"transform(rows, r -> {_item(_ALL, _NONE, 'r.x', '1')})")
-    if SESSION in families:
-        parts.append(f"array({_item(_ALL, _NONE, _TS, '1')})")
-        parts.append(f"transform(goals, g -> {_item('g.x', _NONE, _TS, '1')})")
-    if GOAL in families:
-        seen = _sum_over("s.all", "size(filter(g.all, o -> o.t > e.t AND o.reach <= e.i AND o.since <= e.t))")
-        steps = f"transform(leaves, s -> {_item('g.x', _NONE, 's.x', seen)})"
-        traits = f"transform(traits, x -> {_item('g.x', _NONE, 'x', 'size(g.all)')})"
-        parts.append(f"flatten(transform(goals, g -> concat({_positive(steps)}, {traits})))")
-    return f"concat({', '.join(parts)})"
+def _seen(steps: DataFrame, changes: DataFrame, local: DataFrame, hint_ms: int) -> DataFrame:
+    """Every step once for each key of its pane whose intervals it can lie in, and how often it counts for the key.
 
-
-def _goals_after(hint_ms: int) -> str:
-    """For one action token and each goal token that follows it: goal counts at every action instance that has one.
-
-    ``free`` and ``cut`` count later goals without and with a label. Local goals are kept as running counts at the
-    actions and, only where there are any, at the steps.
+    ``local`` has the local goals of each key that asks for them: the pane's columns, the key, ``labelled`` and ``ts_ms``.
     """
+    keys = [*_PANE, "goal", "action"]
+    summed = changes.groupBy(*keys, "place").agg(*[F.sum(name).alias(name) for name in _SUMS])
+    asked = summed.groupBy(*keys).agg(F.min("place").alias("lo"), F.max("place").alias("up"))
+    zeros = [f"0L AS {name}" for name in _SUMS]
+    unknown = "cast(NULL AS boolean) AS labelled"
+    nothing = ["cast(NULL AS date) AS day", "cast(NULL AS string) AS x"]
+    here = steps.join(asked, _PANE).where("place >= lo AND place < up").selectExpr(*keys, "place", "day", "x", "ts_ms", *zeros, unknown)
+    there = summed.selectExpr(*keys, "place", *nothing, "cast(NULL AS bigint) AS ts_ms", *_SUMS, unknown)
+    shown = local.selectExpr(*keys, "cast(NULL AS bigint) AS place", *nothing, "ts_ms", *zeros, "labelled")
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY"
+    upto = f"{over} ts_ms RANGE BETWEEN UNBOUNDED PRECEDING AND {hint_ms} FOLLOWING)"
+    running = here.union(there).union(shown).selectExpr(
+        *["project_id", "day", "goal", "action", "x AS leaf"],
+        *[f"sum({name}) {over} place) AS {name}" for name in _SUMS],
+        f"count_if(NOT labelled) {upto} AS free_seen",
+        f"count_if(labelled) {upto} AS cut_seen",
+    )
+    n = "n + free_acts * free_seen - free_before + cut_acts * cut_seen - cut_before AS n"
+    return running.where("leaf IS NOT NULL").selectExpr(*_KEY, n)
 
-    def later(labelled: bool) -> str:
-        return f"size(filter(g.all, o -> o.t > a.t AND NOT o.local AND o.labelled = {labelled}))"
 
-    def upto(ts: str, labelled: bool) -> str:
-        counted = f"size(filter(g.all, o -> o.local AND o.labelled = {labelled} AND o.t <= {ts}))"
-        return f"CASE WHEN g.any_local THEN {counted} ELSE 0 END"
+def _followed(acts: DataFrame, goals: DataFrame) -> DataFrame:
+    """Actions once for each goal token that follows them: later goals by kind, and local goals up to the action.
 
-    takes = f"""filter(transform(act.all, a -> named_struct('t', a.t, 'reach', a.reach, 'before', a.before,
-        'within', a.within, 'free', {later(False)}, 'cut', {later(True)}, 'near_free', {upto('a.t', False)},
-        'near_cut', {upto('a.t', True)}, 'any', size(filter(g.all, o -> o.t > a.t)))), a -> a.any > 0)"""
-    near = f"""CASE WHEN g.any_local THEN transform(leaves, s -> transform(s.all, e -> named_struct('i', e.i, 't', e.t,
-        'near_free', {upto(f'e.t + {hint_ms}', False)}, 'near_cut', {upto(f'e.t + {hint_ms}', True)}))) END"""
-    followed = "filter(goals, g -> g.last > array_min(transform(act.all, a -> a.t)))"
-    return f"transform({followed}, g -> named_struct('x', g.x, 'takes', {takes}, 'near', {near}))"
+    ``free`` and ``cut`` count later goals that are not local, without and with a label, ``later`` all later goals;
+    ``free_upto`` and ``cut_upto`` count local goals up to the action.
+    """
+    asked = acts.withColumnRenamed("x", "act").join(goals.selectExpr(*_PANE, "x AS goal").distinct(), _PANE)
+    fields = [*_PANE, "goal", "ts_ms", "act", "day", "reach", "near", "hi"]
+    one = asked.selectExpr(*fields, "cast(NULL AS boolean) AS local", "cast(NULL AS boolean) AS labelled")
+    two = goals.selectExpr(
+        *_PANE, "x AS goal", "ts_ms", "cast(NULL AS string) AS act", "day", "reach", "near", "hi", "local", "label <> '' AS labelled"
+    )
+    by_time = f"PARTITION BY {_IN_PANE}, goal ORDER BY ts_ms"
+    after = f"OVER ({by_time} RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    upto = f"OVER ({by_time} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return (
+        one.union(two)
+        .selectExpr(
+            *fields,
+            f"count_if(local IS NOT NULL) {after} AS later",
+            f"count_if(NOT local AND NOT labelled) {after} AS free",
+            f"count_if(NOT local AND labelled) {after} AS cut",
+            f"count_if(local) {after} AS local_later",
+            f"count_if(local AND NOT labelled) {upto} AS free_upto",
+            f"count_if(local AND labelled) {upto} AS cut_upto",
+        )
+        .where("act IS NOT NULL AND later > 0")
+    )
 
 
-def _action_items(families: frozenset[str]) -> str:
-    """Counts of one action token."""
+def leaf_counts(rows: DataFrame, settings: SessionSettings, families: frozenset[str] = FAMILIES) -> DataFrame:
+    """Session rows to ``(project_id, day, goal, action, leaf, n)``, without the ``[TE]`` sums."""
+    hint_ms = int(settings.local_hint_ms)
+    prepared = _prepared(rows)
+    every, none, whole = f"'{ALL}'", f"'{NO_ACTION}'", f"'{SESSION_TOTAL}'"
+    leaves = ["array(x)"] if EVENT in families else []
+    if SESSION in families:
+        leaves.append(f"if(place = 0, array({whole}), cast(array() AS array<string>))")
     parts = []
+    if leaves:
+        opened = f"explode(concat({', '.join(leaves)})) AS leaf"
+        parts.append(prepared.selectExpr("project_id", "day", f"{every} AS goal", f"{none} AS action", opened, "1L AS n"))
+    if not families - {EVENT}:
+        return _summed(parts)
+
+    # goals and actions only; read several times, so written once
+    instances = written(_instances(prepared, hint_ms), "instances")
+    goals, acts = instances.where("kind = 'GOAL'"), instances.where("kind = 'ACT'")
+    many = [*_PANE, "day", "x"]
+    changes: list[DataFrame] = []
+    sums: list[DataFrame] = []
+    local = goals.where("false").selectExpr(*_PANE, "x AS goal", "x AS action", "local AS labelled", "ts_ms")
+    if families & {SESSION, GOAL}:
+        counted = goals.groupBy(*many).agg(F.count(F.lit(1)).alias("many"))
+        once, by_trait = ("1L" if SESSION in families else "0L"), ("many" if GOAL in families else "0L")
+        sums.append(counted.selectExpr(*_PANE, "day", "x AS goal", f"{none} AS action", f"{once} AS total", f"{by_trait} AS by_trait"))
+    if GOAL in families:
+        looking = goals.selectExpr("*", "greatest(reach, if(local, near, 0L)) AS lo").where("lo < hi")
+        changes.append(_changes(looking, "x", none, ("lo", {"n": "1"}), ("hi", {"n": "-1"})))
     if ACTION in families:
-        seen = "aggregate(act.all, 0L, (n, a) -> n + a.within[j])"
-        parts.append(_positive(f"transform(leaves, (s, j) -> {_item(_ALL, 'act.x', 's.x', seen)})"))
-        parts.append(f"transform(traits, x -> {_item(_ALL, 'act.x', 'x', 'size(act.all)')})")
-        parts.append(f"array({_item(_ALL, 'act.x', _TS, 'size(act.all)')})")
+        changes.append(_changes(acts.where("reach < hi"), every, "x", ("reach", {"n": "1"}), ("hi", {"n": "-1"})))
+        counted = acts.groupBy(*many).agg(F.count(F.lit(1)).alias("many"))
+        sums.append(counted.selectExpr(*_PANE, "day", f"{every} AS goal", "x AS action", "many AS total", "many AS by_trait"))
     if GOAL_ACTION in families:
-        # goals later than the action see all steps before it, labelled ones only those within its marker; local goals
-        # are asked step by step, as they must also not be too late for the step
-        plain = "aggregate(p.takes, 0L, (n, a) -> n + a.free * a.before[j] + a.cut * a.within[j])"
-        weight = """CASE WHEN a.t > e.t THEN greatest(0, e.near_free - a.near_free)
-            + CASE WHEN a.reach <= e.i THEN greatest(0, e.near_cut - a.near_cut) ELSE 0 END ELSE 0 END"""
-        local = _sum_over("p.near[j]", f"aggregate(p.takes, 0L, (n, a) -> n + {weight})")
-        total = f"{plain} + CASE WHEN p.near IS NULL THEN 0L ELSE {local} END"
-        steps = f"transform(leaves, (s, j) -> {_item('p.x', 'act.x', 's.x', total)})"
-        any_goal = "aggregate(p.takes, 0L, (n, a) -> n + a.any)"
-        traits = f"transform(traits, x -> {_item('p.x', 'act.x', 'x', any_goal)})"
-        hits = _item("p.x", "act.x", _TS, "size(p.takes)")
-        parts.append(f"flatten(transform(goals_after, p -> concat({_positive(steps)}, {traits}, array({hits}))))")
-    return f"concat({', '.join(parts)})"
-
-
-def leaf_counts(
-    panes: DataFrame, settings: SessionSettings, families: frozenset[str] = FAMILIES
-) -> DataFrame:
-    """Pane records to ``(project_id, day, goal, action, leaf, n)``, without the ``[TE]`` sums."""
-    hint_ms = int(settings.local_hint_ms)
-    split = panes.select(
-        "project_id",
-        day_of_ms(F.col("pane_end")).alias("day"),
-        "rows",
-        F.expr("filter(rows, r -> r.kind <> 'ATR') AS steps"),
-        F.expr("transform(filter(rows, r -> r.kind = 'ATR'), r -> r.x) AS traits"),
-    )
-    # a labelled goal is cut at its label; an action is cut at the event whose label names the action's own token
-    goal_rows = f"""transform(filter(steps, e -> e.kind = 'GOAL'), g -> named_struct('x', g.x, 't', g.t,
-        'local', g.local, 'labelled', g.label <> '',
-        'since', CASE WHEN g.local THEN g.t - {hint_ms} ELSE -9223372036854775807L END,
-        'reach', CASE WHEN g.label <> '' THEN {_reach('g.label', 'g.t')} ELSE -1 END))"""
-    act_rows = f"""transform(filter(steps, e -> e.kind = 'ACT'), a -> named_struct('x', a.x, 't', a.t,
-        'reach', {_reach('a.x', 'a.t')}))"""
-    instances = split.selectExpr("*", f"{goal_rows} AS goal_rows", f"{act_rows} AS act_rows")
-    grouped = instances.selectExpr(
-        *split.columns,
-        f"{_by_token('goal_rows', _GOAL_FACTS)} AS goals",
-        f"{_by_token('act_rows')} AS acts",
-        f"{_by_token('steps')} AS leaves",
-    )
-    base = _base_items(families)
-    if families & {ACTION, GOAL_ACTION}:
-        # one work item per action token of the pane, and one (null) for everything without an action
-        work = grouped.selectExpr(
-            *split.columns, "goals", "leaves", "explode(concat(array(CAST(NULL AS struct<x:string,all:array<struct<x:string,t:bigint,reach:int>>>)), acts)) AS act"
-        )
-        # per action instance and leaf: the steps before it, and those of them within its marker
-        before = "transform(leaves, s -> size(filter(s.all, e -> e.t < a.t)))"
-        within = "transform(leaves, s -> size(filter(s.all, e -> e.t < a.t AND e.i >= a.reach)))"
-        seen = f"transform(act.all, a -> named_struct('t', a.t, 'reach', a.reach, 'before', {before}, 'within', {within}))"
-        work = work.selectExpr(
-            *split.columns, "goals", "leaves", f"CASE WHEN act IS NOT NULL THEN named_struct('x', act.x, 'all', {seen}) END AS act"
+        pairs = _followed(acts, goals)
+        plain = ("0L", {"n": "free"}), ("reach", {"n": "cut"}), ("hi", {"n": "- free - cut"})
+        changes.append(_changes(pairs.where("free + cut > 0"), "goal", "act", *plain))
+        nearby = pairs.where("local_later > 0 AND near < hi")
+        close = (
+            ("near", {"free_acts": "1", "free_before": "free_upto"}),
+            ("least(greatest(near, reach), hi)", {"cut_acts": "1", "cut_before": "cut_upto"}),
+            ("hi", {"free_acts": "-1", "free_before": "- free_upto", "cut_acts": "-1", "cut_before": "- cut_upto"}),
         )
-        if GOAL_ACTION in families:
-            work = work.selectExpr("*", f"CASE WHEN act IS NOT NULL THEN {_goals_after(hint_ms)} END AS goals_after")
-        item = f"CASE WHEN act IS NULL THEN {base} ELSE {_action_items(families)} END"
-        items = work.selectExpr("project_id", "day", f"explode({item}) AS item")
-    else:
-        items = grouped.selectExpr("project_id", "day", f"explode({base}) AS item")
-    return items.groupBy("project_id", "day", "item.goal", "item.action", "item.leaf").agg(
-        F.sum("item.n").alias("n")
-    )
+        changes.append(_changes(nearby, "goal", "act", *close))
+        asking = nearby.selectExpr(*_PANE, "goal", "act AS action").distinct()
+        shown = goals.where("local").selectExpr(*_PANE, "x AS goal", "label <> '' AS labelled", "ts_ms")
+        local = shown.join(asking, [*_PANE, "goal"]).select(*_PANE, "goal", "action", "labelled", "ts_ms")
+        counted = pairs.groupBy(*_PANE, "day", "goal", "act").agg(F.count(F.lit(1)).alias("many"), F.sum("later").alias("later"))
+        sums.append(counted.selectExpr(*_PANE, "day", "goal", "act AS action", "many AS total", "later AS by_trait"))
+    together = _union(sums) if sums else None
+    if families & {SESSION, ACTION, GOAL_ACTION}:
+        parts.append(together.where("total > 0").selectExpr(*_KEY[:-1], f"{whole} AS leaf", "total AS n"))
+    if changes:
+        steps = prepared.where("kind <> 'ATR'").select(*_PANE, "place", "day", "x", "ts_ms")
+        parts.append(_seen(steps, _union(changes), local, hint_ms).where("n > 0"))
+        traits = prepared.where("kind = 'ATR'").groupBy(*_PANE, F.col("x").alias("leaf")).agg(F.count(F.lit(1)).alias("held"))
+        parts.append(together.where("by_trait > 0").join(traits, _PANE).selectExpr(*_KEY, "by_trait * held AS n"))
+    return _summed(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part)
+    return together
+
+
+def _summed(parts: list[DataFrame]) -> DataFrame:
+    return _union(parts).groupBy(*_KEY).agg(F.sum("n").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from liftloom.config import SessionSettings
 from liftloom.functions.tokens import ALL, EVENT_TOTAL, NO_ACTION, SESSION_TOTAL, rec_key
 from liftloom.operators.conversion import FAMILIES, leaf_counts
-from liftloom.operators.sessions import panes
+from liftloom.operators.sessions import session_rows
 
 KEY = ["goal", "action", "leaf"]
 
@@ -27,7 +27,7 @@ def daily_counts(
     events: DataFrame, settings: SessionSettings, families: frozenset[str] = FAMILIES
 ) -> DataFrame:
     """Canonical events to one count per (project, day, key)."""
-    return with_event_totals(leaf_counts(panes(events, settings), settings, families))
+    return with_event_totals(leaf_counts(session_rows(events, settings), settings, families))
 
 
 def merge_counts(counts: DataFrame) -> DataFrame:
@@ -68,12 +68,13 @@ def distribution(counts: DataFrame) -> DataFrame:
 def window_counts(counts: DataFrame, spans: DataFrame) -> DataFrame:
     """Counts summed over day spans.
 
-    ``spans`` holds ``(project_id, start_day, end_day)``, both days included. Each different span is opened into its days
+    ``spans`` holds ``(project_id, start_day, end_day)``, both days included; one that ends before it starts has no counts. Each different span is opened into its days
     once, so the join is an equi-join on (project, day): it prunes day partitions of a stored table, and a project with
     very many counts is spread by day.
     """
     days = (
         spans.select("project_id", "start_day", "end_day")
+        .where("start_day <= end_day")
         .distinct()
         .withColumn("day", F.explode(F.sequence("start_day", "end_day")))
     )

@@ -17,6 +17,8 @@ PREDICT_DAYS = 3
 ACTION_DAYS = 7
 MAX_GOALS = 5
 MAX_ACTIONS = 10
+#: longest window
+MOST_DAYS = 36_525
 # Status texts, by failing step.
 NO_GOAL = {"predict": "No Goal event can be referenced. Reason: 101", "action": "No Goal event can be referenced. Reason: 201"}
 NO_STATE = {
@@ -29,9 +31,13 @@ LOOKUP = [*SPAN, "goal", "action", "leaf"]
 
 
 def day_span(default_days: int) -> list[str]:
-    """Select list for the days a request looks at: ``window`` days up to and including ``as_of``."""
+    """Select list for the days a request looks at: ``window`` days up to and including ``as_of``.
+
+    A negative window gives a span that ends before it starts, which has no counts; beyond a century either way a window
+    is held at that.
+    """
     days = f"CASE WHEN coalesce(`window`, 0) = 0 THEN {default_days} ELSE `window` END"
-    return [f"date_sub(as_of, cast({days} AS int) - 1) AS start_day", "as_of AS end_day"]
+    return [f"date_sub(as_of, cast(greatest(least({days}, {MOST_DAYS}), -{MOST_DAYS}) AS int) - 1) AS start_day", "as_of AS end_day"]
 
 
 def looked_up(lookups: DataFrame, counts: DataFrame) -> DataFrame:
@@ -137,6 +143,16 @@ def status_columns(kind: str) -> list[str]:
     ]
 
 
+def request_rejects(requests: DataFrame, api: str) -> DataFrame:
+    """Requests that ``api`` (predict or action) does not answer, with the first reason: ``(request_id, reason)``."""
+    checks = {
+        "predict": [("goals", f"size(coalesce(goals, array())) NOT BETWEEN 1 AND {MAX_GOALS}")],
+        "action": [("goal", "coalesce(goal, '') = ''"), ("actions", f"size(coalesce(actions, array())) NOT BETWEEN 1 AND {MAX_ACTIONS}")],
+    }[api] + [("ctxlength", "ctxlength < -1")]
+    reason = " ".join(f"WHEN {bad} THEN '{name}'" for name, bad in checks)
+    return requests.selectExpr("request_id", f"CASE {reason} END AS reason").where("reason IS NOT NULL")
+
+
 def valid_predicts(requests: DataFrame) -> DataFrame:
     return requests.where(f"size(coalesce(goals, array())) BETWEEN 1 AND {MAX_GOALS}")
 

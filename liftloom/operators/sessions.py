@@ -1,4 +1,4 @@
-"""Gap-based sessions, and the panes that keep them small."""
+"""Gap-based sessions, and panes where they are asked for."""
 
 from __future__ import annotations
 
@@ -53,10 +53,13 @@ def session_rows(
 ) -> DataFrame:
     """Every event with its session (``session_start``), pane and place in the pane.
 
-    A pane is a run of ``pane_rows`` consecutive rows of a session and is counted as a session of its own. ``run_end``
-    is the session's end as known up to the row, in the form of :func:`sessions`.
+    Where ``pane_rows`` is set, a pane is a run of that many consecutive rows of a session and is counted as a session of
+    its own; otherwise a session is one pane, however long. ``run_end`` is the session's end as known up to the row, in the
+    form of :func:`sessions`.
     """
     routed = route(events, settings)
+    length = settings.pane_rows
+    pane, place = (f"(chain_seq - 1) div {length}", f"(chain_seq - 1) % {length}") if length else ("0L", "chain_seq - 1")
 
     def paned(part: DataFrame) -> DataFrame:
         return then(
@@ -64,24 +67,11 @@ def session_rows(
                 *routed.columns,
                 "chain_start AS session_start",
                 "chain_end - 1 AS run_end",
-                f"(chain_seq - 1) div {settings.pane_rows} AS pane",
-                f"cast((chain_seq - 1) % {settings.pane_rows} AS int) AS place",
+                f"{pane} AS pane",
+                f"cast({place} AS bigint) AS place",
             )
         )
 
     return gap_chains(
         routed, SESSION_KEYS, "ts_ms", "ts_ms + gap_ms", "event_id", hot=settings.hot_keys, then=paned
     )
-
-
-def collect_panes(rows: DataFrame) -> DataFrame:
-    """One record per pane, holding its rows in order. The pane length bounds the array."""
-    row = """named_struct('i', place, 't', ts_ms, 'kind', event_type, 'x', concat_ws('#', event_type, event_name),
-             'label', coalesce(label, ''), 'local', coalesce(hint, '') = 'local')"""
-    return rows.groupBy(*SESSION_KEYS, "session_start", "pane").agg(
-        F.max("run_end").alias("pane_end"), F.expr(f"sort_array(collect_list({row})) AS rows")
-    )
-
-
-def panes(events: DataFrame, settings: SessionSettings) -> DataFrame:
-    return session_rows(events, settings, then=collect_panes)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from liftloom.streaming import jobs
 # The test table is sparse, so gaps, hint and expiry are longer than the defaults.
 SETTINGS = SessionSettings(gaps=parse_gaps("standard:21600, lab:3600"), local_hint_ms=7_200_000)
 EXPIRY_MS = 43_200_000
-KEPT = 4
+KEPT = context.KEPT
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +120,44 @@ def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     return _flat(_counts(spark, folder))
 
 
+def daily_counts_paned(spark: SparkSession, folder: str) -> DataFrame:
+    """Every three rows of a session counted as one of its own."""
+    return _flat(counts.daily_counts(_events(spark, folder), replace(SETTINGS, pane_rows=3)))
+
+
+# Users merged into few long sessions.
+_LONG = replace(SETTINGS, gaps=parse_gaps("standard:259200, lab:259200"))
+
+
+def _long_sessions(spark: SparkSession, folder: str, users: int) -> DataFrame:
+    number = f"concat('s', cast(substr(session_id, 2) AS bigint) % {users})"
+    return _events(spark, folder).withColumns({"project_id": F.lit("p"), "session_id": F.expr(number)})
+
+
+def long_session_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of thousands of rows, without counts of goals after actions."""
+    families = frozenset({conversion.EVENT, conversion.SESSION, conversion.GOAL, conversion.ACTION})
+    return _flat(counts.daily_counts(_long_sessions(spark, folder, 5), _LONG, families))
+
+
+def long_session_goal_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Goals after actions in sessions of hundreds of rows."""
+    return _flat(counts.daily_counts(_long_sessions(spark, folder, 30), _LONG, frozenset({conversion.GOAL_ACTION})))
+
+
+def request_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that are not answered: too many goals or actions, no goal, or a list length that is not valid."""
+    asked = _requests(spark, folder).selectExpr(
+        "request_id",
+        "CASE WHEN request_id % 11 = 3 THEN array_repeat('g', cast(request_id % 8 AS int)) ELSE goals END AS goals",
+        "CASE WHEN request_id % 13 = 4 THEN '' ELSE goal END AS goal",
+        "CASE WHEN request_id % 17 = 5 THEN array_repeat('a', cast(request_id % 14 AS int)) ELSE transform(actions, a -> a.name) END AS actions",
+        "CASE WHEN request_id % 7 = 2 THEN -(request_id % 5) ELSE ctxlength END AS ctxlength",
+    )
+    parts = [scoring.request_rejects(asked, api).withColumn("api", F.lit(api)) for api in ("predict", "action")]
+    return parts[0].unionByName(parts[1])
+
+
 def outcome_tally(spark: SparkSession, folder: str) -> DataFrame:
     """Successes and total of a yes/no outcome per key: did the event carry a label."""
     marked = _events(spark, folder).selectExpr("project_id", "event_name", "label <> '' AS hit")
@@ -289,6 +328,10 @@ QUERIES: dict[str, Query] = {
     "session_route": session_route,
     "sessions": session_list,
     "session_panes": session_panes,
+    "daily_counts_paned": daily_counts_paned,
+    "long_session_counts": long_session_counts,
+    "long_session_goal_actions": long_session_goal_actions,
+    "request_rejects": request_rejects,
     "event_totals": event_totals,
     "session_totals": session_totals,
     "goal_event_counts": goal_event_counts,

@@ -9,9 +9,8 @@ import re
 
 GAP = {"standard": 21_600_000, "lab": 3_600_000}
 HINT = 7_200_000
-PANE = 500
 EXPIRY = 43_200_000
-KEPT = 4
+KEPT = 50
 
 STEPS: dict[str, str] = {}
 
@@ -32,8 +31,9 @@ STEPS["ev"] = f"""SELECT event_id, 'p' || (user_id % 3) AS project_id, 'u' || us
     k, src FROM raw"""
 
 
-def _place_rows(pane: int) -> tuple[str, str, str, str]:
+def _place_rows(rows_each: int | None) -> tuple[str, str, str, str]:
     """Steps from events to rows with session, pane and place."""
+    pane, place = (f"seq // {rows_each}", f"seq % {rows_each}") if rows_each else ("0", "seq")
     ended = """SELECT *, max(ts_ms + gap_ms) OVER (PARTITION BY project_id, session_id ORDER BY ts_ms, event_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS end_before FROM ev"""
     numbered = """SELECT *, sum(CASE WHEN end_before IS NULL OR ts_ms >= end_before THEN 1 ELSE 0 END) OVER (
@@ -41,13 +41,13 @@ def _place_rows(pane: int) -> tuple[str, str, str, str]:
     placed = """SELECT *, row_number() OVER w - 1 AS seq, min(ts_ms) OVER w AS session_start,
         max(ts_ms + gap_ms) OVER w - 1 AS run_end FROM numbered
         WINDOW w AS (PARTITION BY project_id, session_id, sno ORDER BY ts_ms, event_id)"""
-    rows = f"""SELECT *, seq // {pane} AS pane, seq % {pane} AS place, event_type || '#' || event_name AS x,
-        CAST(make_timestamp(1000 * max(run_end) OVER (PARTITION BY project_id, session_id, sno, seq // {pane})) AS DATE) AS day
+    rows = f"""SELECT *, {pane} AS pane, {place} AS place, event_type || '#' || event_name AS x,
+        CAST(make_timestamp(1000 * max(run_end) OVER (PARTITION BY project_id, session_id, sno, {pane})) AS DATE) AS day
         FROM placed"""
     return ended, numbered, placed, rows
 
 
-STEPS["ended"], STEPS["numbered"], STEPS["placed"], STEPS["rows_"] = _place_rows(PANE)
+STEPS["ended"], STEPS["numbered"], STEPS["placed"], STEPS["rows_"] = _place_rows(None)
 _, _, _, STEPS["rows_of_three"] = _place_rows(3)
 
 STEPS["session_list"] = """SELECT project_id, session_id, min(ts_ms) AS start_ms, max(run_end) AS end_ms,
@@ -87,13 +87,17 @@ STEPS["all_leaves"] = """SELECT * FROM event_leaves UNION ALL SELECT * FROM sess
     SELECT * FROM goal_leaves UNION ALL SELECT * FROM action_leaves UNION ALL SELECT * FROM goal_action_leaves"""
 
 
+STEPS["few_leaves"] = """SELECT * FROM event_leaves UNION ALL SELECT * FROM session_leaves UNION ALL
+    SELECT * FROM goal_leaves UNION ALL SELECT * FROM action_leaves"""
+
+
 def _counted(leaves: str) -> str:
     return f"""SELECT project_id, day, goal, action, leaf, CAST(count(*) AS BIGINT) AS n FROM {leaves}
         GROUP BY ALL UNION ALL SELECT project_id, day, goal, action, '[TE]', CAST(count(*) AS BIGINT) FROM {leaves}
         WHERE leaf <> '[TS]' GROUP BY ALL"""
 
 
-for _name in ("event", "session", "goal", "action", "goal_action", "all"):
+for _name in ("event", "session", "goal", "action", "goal_action", "few", "all"):
     STEPS[f"{_name}_counts"] = _counted(f"{_name}_leaves")
 
 
@@ -111,8 +115,11 @@ STEPS["req"] = """SELECT event_id AS request_id, project_id, session_id, session
     ([0, -1, 3, 2, 10, 0])[k % 6 + 1] AS ctxlength, 'L' || (k % 2) AS label, k % 2 = 0 AS detail,
     'purchase_' || (k % 2) AS goal,
     CASE WHEN k % 9 = 0 THEN ['EVENT#view_' || (k % 4), '', ''] ELSE ['EVENT#view_' || (k % 4), 'ATR#signup_' || (k % 4)] END AS sent
-    FROM ev WHERE src = 'view'"""
+    FROM ev"""
 
+STEPS["odd_requests"] = """SELECT request_id, CASE WHEN request_id % 11 = 3 THEN request_id % 8 ELSE 3 END AS goals,
+    request_id % 13 = 4 AS no_goal, CASE WHEN request_id % 17 = 5 THEN request_id % 14 ELSE 4 END AS actions,
+    CASE WHEN request_id % 7 = 2 THEN -(request_id % 5) ELSE ctxlength END AS ctx FROM req"""
 STEPS["action_span"] = """SELECT request_id, project_id,
     CAST(as_of - CAST(CASE WHEN days = 0 THEN 7 ELSE days END - 1 AS INTEGER) AS DATE) AS start_day, as_of AS end_day FROM req"""
 STEPS["predict_span"] = """SELECT request_id, project_id,
@@ -323,10 +330,6 @@ STEPS["calls"] = """SELECT event_id AS request_id, CASE WHEN event_id % 17 = 5 T
     CASE event_type WHEN 'ACT' THEN 'action' WHEN 'GOAL' THEN 'predict' ELSE 'pulse' END AS api,
     CASE label WHEN '' THEN NULL WHEN 'L0' THEN 'k-open' WHEN 'L1' THEN 'k-locked' ELSE 'k-none' END AS api_key FROM ev"""
 
-_MS_LATE = 60_000
-STEPS["ended_sessions"] = f"""SELECT project_id, session_id, sno FROM placed GROUP BY ALL
-    HAVING max(run_end) <= (SELECT max(ts_ms) - {_MS_LATE} FROM ev)"""
-
 FINAL: dict[str, str] = {
     "ingest_validate": """SELECT request_id * 32 + idx AS event_id, p AS project_id, sid AS session_id,
         upper(type) AS event_type, name AS event_name, value, label, hint,
@@ -396,15 +399,30 @@ FINAL: dict[str, str] = {
     "decision_feedback": """SELECT -d.request_id - 1 AS event_id, r.project_id, r.session_id, 'ACT' AS event_type,
         d.decision AS event_name, CAST(0 AS DOUBLE) AS value, r.label, '' AS hint, r.ts_ms, r.session_conf
         FROM decisions d JOIN req r ON d.request_id = r.request_id WHERE NOT d.repeated AND NOT r.mute""",
-    "stream_sessions": """SELECT l.project_id, l.session_id, l.start_ms, l.end_ms, l.n_events FROM session_list l
-        WHERE l.end_ms <= (SELECT max(ts_ms) - 60000 FROM ev)""",
+    "stream_sessions": "SELECT project_id, session_id, start_ms, end_ms, n_events FROM session_list",
+    "request_rejects": """SELECT request_id, CASE WHEN goals NOT BETWEEN 1 AND 5 THEN 'goals' WHEN ctx < -1 THEN 'ctxlength' END AS reason,
+        'predict' AS api FROM odd_requests WHERE goals NOT BETWEEN 1 AND 5 OR ctx < -1
+        UNION ALL SELECT request_id, CASE WHEN no_goal THEN 'goal' WHEN actions NOT BETWEEN 1 AND 10 THEN 'actions' ELSE 'ctxlength' END,
+        'action' FROM odd_requests WHERE no_goal OR actions NOT BETWEEN 1 AND 10 OR ctx < -1""",
 }
 
-# the stream counts sessions that have ended; the steps are those of the batch over fewer rows
-_STREAM_ROWS = {
-    "rows_": f"""{STEPS['rows_']} WHERE (project_id, session_id, sno) IN (SELECT (project_id, session_id, sno) FROM ended_sessions)"""
-}
 FINAL["stream_daily_counts"] = _keyed("all_counts")
+FINAL["daily_counts_paned"] = _keyed("all_counts")
+FINAL["long_session_counts"] = _keyed("few_counts")
+FINAL["long_session_goal_actions"] = _keyed("goal_action_counts")
+
+
+def _merged_users(users: int) -> str:
+    return f"""SELECT * REPLACE ('p' AS project_id, 's' || (CAST(substr(session_id, 2) AS BIGINT) % {users}) AS session_id,
+        259200000 AS gap_ms) FROM ({STEPS['ev']})"""
+
+
+# steps that differ for some queries
+VARIANTS = {
+    "daily_counts_paned": {"rows_": STEPS["rows_of_three"]},
+    "long_session_counts": {"ev": _merged_users(5)},
+    "long_session_goal_actions": {"ev": _merged_users(30)},
+}
 
 
 def _sql(final: str, steps: dict[str, str]) -> str:
@@ -425,6 +443,6 @@ def _sql(final: str, steps: dict[str, str]) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        name: _sql(final, {**STEPS, **_STREAM_ROWS} if name == "stream_daily_counts" else STEPS)
+        name: _sql(final, {**STEPS, **VARIANTS.get(name, {})})
         for name, final in FINAL.items()
     }

@@ -15,8 +15,6 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # merge session windows on the map side, so one busy session reaches the shuffle as a few rows
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
-    # keep collecting panes in the hash map instead of falling back to a sort after 128 groups
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
 }
 
 

@@ -130,8 +130,8 @@ PROJECT_KEY_ROWS = [("k-open", "p1", "F"), ("k-locked", "p1", "T")]
 
 
 def requests(raw: DataFrame) -> DataFrame:
-    """Predict and action requests: one for every page view in the test table."""
-    views = canonical(raw, "k").where("event_name LIKE 'view%'")
+    """Predict and action requests: one for every event in the test table."""
+    views = canonical(raw, "k")
     return views.selectExpr(
         "event_id AS request_id",
         "project_id",

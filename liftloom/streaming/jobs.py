@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from liftloom.config import SessionSettings
 from liftloom.operators.conversion import leaf_counts
 from liftloom.operators.counts import with_event_totals
-from liftloom.operators.sessions import SESSION_KEYS, collect_panes
+from liftloom.operators.sessions import SESSION_KEYS
 from liftloom.session import shared_folder
 from liftloom.sources import fixtures
 from liftloom.sources.counts_store import read_increments, write_days, write_increment
@@ -31,7 +31,7 @@ def start_counts(events: DataFrame, settings: SessionSettings, path: str, checkp
     """
 
     def write(panes: DataFrame, batch_id: int) -> None:
-        counts = with_event_totals(leaf_counts(collect_panes(panes), settings))
+        counts = with_event_totals(leaf_counts(panes, settings))
         write_increment(counts, path, batch_id)
 
     return _start(stream_panes(events, settings), write, checkpoint, drain)
@@ -55,8 +55,17 @@ def compact(spark: SparkSession, increments: str, store: str) -> None:
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    raw = spark.readStream.schema(fixtures.EVENTS_TABLE).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return fixtures.canonical(raw)
+    """The test table as a stream, and one event long after it, which lets all its sessions end."""
+    last = f"{shared_folder(spark)}/last-{uuid.uuid4().hex}"
+    closing = [c.cast(f.dataType).alias(f.name) for f, c in ((f, F.lit(_CLOSING.get(f.name))) for f in fixtures.EVENTS_TABLE)]
+    spark.range(1).select(*closing).write.parquet(last)
+    table = spark.readStream.schema(fixtures.EVENTS_TABLE).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return fixtures.canonical(table.union(spark.readStream.schema(fixtures.EVENTS_TABLE).parquet(last)))
+
+
+# user -1 is of a project of its own, and its session never ends
+_CLOSING = {"event_id": -1, "ts": "2100-01-01 00:00:00", "user_id": -1, "event_type": "view", "value": 0.0, "props": "{}"}
+_CLOSING_PROJECT = "p-1"
 
 
 def _fresh(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -65,7 +74,7 @@ def _fresh(spark: SparkSession, name: str) -> tuple[str, str]:
 
 
 def drained_sessions(spark: SparkSession, folder: str, settings: SessionSettings) -> DataFrame:
-    """Run the test table through the session stream; sessions the final watermark has passed."""
+    """Run the test table through the session stream."""
     out, checkpoint = _fresh(spark, "sessions")
     start_sessions(_event_stream(spark, folder), settings, out, checkpoint, drain=True).awaitTermination()
     return (
@@ -75,11 +84,12 @@ def drained_sessions(spark: SparkSession, folder: str, settings: SessionSettings
         .agg(F.max("end_ms").alias("end_ms"), F.sum("n_events").alias("n_events"), F.max("closed").alias("closed"))
         .where("closed")
         .drop("closed")
+        .where(F.col("project_id") != _CLOSING_PROJECT)
     )
 
 
 def drained_counts(spark: SparkSession, folder: str, settings: SessionSettings) -> DataFrame:
-    """Run the test table through the counting stream; running totals over the sessions that have ended."""
+    """Run the test table through the counting stream."""
     out, checkpoint = _fresh(spark, "counts")
     start_counts(_event_stream(spark, folder), settings, out, checkpoint, drain=True).awaitTermination()
-    return read_increments(spark, out)
+    return read_increments(spark, out).where(F.col("project_id") != _CLOSING_PROJECT)

@@ -1,9 +1,9 @@
 """Sessions of a stream, pane by pane.
 
-Spark's own session window gives a session out only when it has ended, holding all its rows until then. Here a pane
-leaves as soon as its rows are complete and final, so that state per session stays at one open pane plus the rows the
-watermark has not passed. The panes are those of the batch job: rows are taken up in order of time, and only once the
-watermark has passed them.
+Spark's own session window gives a session out only when it has ended, holding all its rows until then. Where
+panes are asked for, a pane leaves once its rows are final and a further row has come, so that state per session stays at
+one open pane plus the rows the watermark has not passed. The panes are those of the batch job: rows are taken up in order
+of time, and only once the watermark has passed them.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ _OUT = (
 )
 
 
-def _advance(pane_rows: int):
+def _advance(pane_rows: int | None):
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, end, seq, held = None, None, 0, []
         open_rows = 0  # the first rows of ``held`` belong to the open pane, the others wait for the watermark
@@ -62,7 +62,8 @@ def _advance(pane_rows: int):
                 place = first + offset
                 # the latest end inside the pane; its last row carries the end of the whole session so far
                 run = end if offset == len(pane) - 1 else r[1] + r[2]
-                out.append((*key, *r, start, place // pane_rows, place % pane_rows, run - 1, closed))
+                pane_of, place_in = divmod(place, pane_rows) if pane_rows else (0, place)
+                out.append((*key, *r, start, pane_of, place_in, run - 1, closed))
             pane.clear()
 
         done = 0
@@ -74,11 +75,11 @@ def _advance(pane_rows: int):
                 if pane:
                     give(closed=True)
                 start, end, seq = row[1], row[1] + row[2], 0
+            elif len(pane) == pane_rows:
+                give(closed=False)  # one row more follows it, so the last pane of a session is never empty
             end = max(end, row[1] + row[2])
             pane.append(row)
             seq += 1
-            if len(pane) == pane_rows:
-                give(closed=False)
         waiting = waiting[done:]
         if start is not None and end - 1 <= passed:
             give(closed=True)
@@ -103,7 +104,7 @@ def _advance(pane_rows: int):
 def stream_panes(events: DataFrame, settings: SessionSettings) -> DataFrame:
     """Streaming canonical events to complete panes, in the columns of the batch session rows.
 
-    ``closed`` marks the last pane of a session that ended with an incomplete pane. All rows of a pane come in one
+    ``closed`` marks the last pane of a session that has ended. All rows of a pane come in one
     micro-batch.
     """
     return (

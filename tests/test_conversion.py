@@ -95,8 +95,9 @@ def by_rule(pane, hint_ms):
     return found
 
 
+@pytest.mark.parametrize("pane_rows", [25, None])
 @pytest.mark.parametrize("seed", range(4))
-def test_random_panes(make_events, seed):
+def test_random_panes(make_events, seed, pane_rows):
     rng = random.Random(seed)
     rows, expected = [], Counter()
     for s in range(30):
@@ -108,19 +109,20 @@ def test_random_panes(make_events, seed):
             label = rng.choice(["", "L0", "L1", "ACT#n0", "ACT#n1"])
             session.append((t, kind, f"n{rng.randrange(3)}", label, rng.choice(["", "", "local", "far"])))
         rows += [(*r, f"s{s}", "standard", "p") for r in session]
-        for begin in range(0, size, 25):
-            expected += by_rule(session[begin : begin + 25], 60_000)
-    settings = SessionSettings(pane_rows=25)
+        length = pane_rows or size
+        for begin in range(0, size, length):
+            expected += by_rule(session[begin : begin + length], 60_000)
+    settings = SessionSettings(pane_rows=pane_rows)
     got = Counter()
     for key, n in ((r.rec_key, r.total) for r in keyed(daily_counts(make_events(rows), settings)).collect()):
         got[key] += n
     assert got == expected
 
 
-def test_dense_pane_stays_small(make_events):
-    """A full pane of goals, actions and events: as many items leave it as there are (token, row) pairs."""
+def test_long_session_is_counted_whole(make_events):
+    """More rows than any pane had: goals see all that came before."""
     kinds = ["EVENT", "ACT", "GOAL"]
-    rows = [(DAY + n, kinds[n % 3], f"n{n % 6}", "", "") for n in range(500)]
+    rows = [(DAY + n, kinds[n % 3], f"n{n % 6}", "", "") for n in range(1500)]
     got = counted(daily_counts(make_events(rows), SessionSettings(), FAMILIES))
-    assert got["[AL]::[TE]"] == 500
+    assert got["[AL]::[TE]"] == 1500
     assert got == dict(by_rule(rows, 60_000))

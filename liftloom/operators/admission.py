@@ -6,20 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: a project table with no more rows is sent to all tasks
+BROADCAST_ROWS = 100_000
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def admit(requests: DataFrame, projects: DataFrame, project_keys: DataFrame) -> DataFrame:
     """Add ``status`` and the project's ``session_conf`` to requests ``(.., project_id, api, api_key)``.
 
     ``api`` is pulse, predict or action. The key only has to exist and be unlocked; it may belong to another project.
-    Both tables are joined without a hint: Spark broadcasts them when their measured size allows it.
+    Both tables are broadcast if they are counted to be small, so that the call log is not shuffled by them. Otherwise
+    Spark shuffles them and splits large projects.
     """
-    known = projects.select(
+    known = _small(projects).select(
         "project_id",
         F.col("session_conf"),
         (F.col("deleted") == "D").alias("_deleted"),
         F.lit(True).alias("_known"),
         *[F.col(f"auth_{api}").alias(f"_auth_{api}") for api in ("pulse", "predict", "action")],
     )
-    locks = project_keys.select(F.col("key_string").alias("api_key"), F.col("locked").alias("_locked"))
+    locks = _small(project_keys).select(F.col("key_string").alias("api_key"), F.col("locked").alias("_locked"))
     needs_key = F.lit(False)
     for api in ("pulse", "predict", "action"):
         needs_key = needs_key | ((F.col("api") == api) & (F.coalesce(f"_auth_{api}", F.lit("")) == "T"))

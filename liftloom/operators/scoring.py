@@ -47,9 +47,6 @@ def looked_up(lookups: DataFrame, counts: DataFrame) -> DataFrame:
     four. Lookups are made distinct first, so their number is bounded by the vocabulary of tokens, not by requests.
     """
     distinct = lookups.select(*LOOKUP).distinct()
-    windowed = window_counts(counts, distinct).select(
-        *SPAN, F.col("goal").alias("k_goal"), F.col("action").alias("k_action"), F.col("leaf").alias("k_leaf"), "n"
-    )
     total = f"CASE WHEN leaf = '{SESSION_TOTAL}' THEN leaf ELSE '{EVENT_TOTAL}' END"
     keys = distinct.selectExpr(
         *LOOKUP,
@@ -59,6 +56,12 @@ def looked_up(lookups: DataFrame, counts: DataFrame) -> DataFrame:
             named_struct('role', 'a', 'k_goal', '{ALL}', 'k_action', action, 'k_leaf', leaf),
             named_struct('role', 'b', 'k_goal', '{ALL}', 'k_action', action, 'k_leaf', {total})))""",
     )
+    # only counts that somebody asks for are summed over days
+    asked = keys.selectExpr("project_id", "k_goal AS goal", "k_action AS action", "k_leaf AS leaf").distinct()
+    held = counts.join(asked, ["project_id", "goal", "action", "leaf"], "left_semi")
+    windowed = window_counts(held, distinct).select(
+        *SPAN, F.col("goal").alias("k_goal"), F.col("action").alias("k_action"), F.col("leaf").alias("k_leaf"), "n"
+    )
     return (
         keys.join(windowed, [*SPAN, "k_goal", "k_action", "k_leaf"], "left")
         .groupBy(*LOOKUP)

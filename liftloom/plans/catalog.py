@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,8 +14,8 @@ from liftloom.functions.ordering import rank_within
 from liftloom.functions.tokens import ALL, NO_ACTION, SESSION_TOTAL
 from liftloom.operators import actions, admission, context, conversion, counts, policies, scoring, sessions
 from liftloom.schemas import PROJECT_KEYS, PROJECTS
-from liftloom.session import tune, written
-from liftloom.sources import fixtures, pulses
+from liftloom.session import shared_folder, tune, written
+from liftloom.sources import counts_store, fixtures, pulses
 from liftloom.streaming import jobs
 
 # The test table is sparse, so gaps, hint and expiry are longer than the defaults.
@@ -158,6 +159,32 @@ def request_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _store(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """The counts, and a folder of days they are stored in."""
+    counted = written(_counts(spark, folder), "counts")
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    counts_store.write_days(counted, path)
+    return counted, path
+
+
+def counts_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Store all days, then one of them again with other counts, and read them back."""
+    counted, path = _store(spark, folder)
+    twice = counted.where("day = date'2024-01-10'").withColumn("n", F.col("n") * 2)
+    counts_store.write_days(twice, path)
+    return _flat(counts_store.read_counts(spark, path))
+
+
+def count_range_scan(spark: SparkSession, folder: str) -> DataFrame:
+    _, path = _store(spark, folder)
+    return _flat(counts_store.read_range(spark, path, "2024-01-08", "2024-01-12"))
+
+
+def flat_view(spark: SparkSession, folder: str) -> DataFrame:
+    _, path = _store(spark, folder)
+    return counts_store.flat_view(counts_store.read_counts(spark, path))
+
+
 def outcome_tally(spark: SparkSession, folder: str) -> DataFrame:
     """Successes and total of a yes/no outcome per key: did the event carry a label."""
     marked = _events(spark, folder).selectExpr("project_id", "event_name", "label <> '' AS hit")
@@ -332,6 +359,9 @@ QUERIES: dict[str, Query] = {
     "long_session_counts": long_session_counts,
     "long_session_goal_actions": long_session_goal_actions,
     "request_rejects": request_rejects,
+    "counts_upsert": counts_upsert,
+    "count_range_scan": count_range_scan,
+    "flat_view": flat_view,
     "event_totals": event_totals,
     "session_totals": session_totals,
     "goal_event_counts": goal_event_counts,

@@ -407,6 +407,12 @@ FINAL: dict[str, str] = {
 }
 
 FINAL["stream_daily_counts"] = _keyed("all_counts")
+_DOUBLED = """(SELECT * REPLACE (CASE WHEN day = DATE '2024-01-10' THEN 2 * n ELSE n END AS n) FROM all_counts)"""
+FINAL["counts_upsert"] = _keyed(_DOUBLED)
+FINAL["count_range_scan"] = _keyed("all_counts") + " WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-12'"
+FINAL["flat_view"] = f"""SELECT project_id, rec_key || '::' || strftime(day, '%Y%m%d') AS key, success, total FROM ({_keyed('all_counts')})
+    UNION ALL SELECT project_id, CASE WHEN leaf LIKE 'EVENT#%' THEN '[EVT-DIST]' WHEN leaf LIKE 'ATR#%' THEN '[ATR-DIST]' ELSE '[OTH-DIST]' END
+    || '::' || strftime(day, '%Y%m%d') || '::' || leaf, CAST(0 AS BIGINT), n FROM all_counts WHERE goal = '[AL]' AND action = ''"""
 FINAL["daily_counts_paned"] = _keyed("all_counts")
 FINAL["long_session_counts"] = _keyed("few_counts")
 FINAL["long_session_goal_actions"] = _keyed("goal_action_counts")

@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 from liftloom.operators.counts import distribution, keyed, merge_counts
 from liftloom.schemas import COUNTS
+from liftloom.session import written
 
 
-def write_days(counts: DataFrame, path: str, files_per_day: int = 1) -> None:
+#: rows of one file of a day, unless told how many files to write
+FILE_ROWS = 2_000_000
+
+
+def write_days(counts: DataFrame, path: str, files_per_day: int | None = None) -> None:
     """Replace exactly the days that ``counts`` holds and leave all others alone.
 
-    Rows are spread over ``files_per_day`` tasks per day by project, and sorted by project and key in each file, so a
-    reader of one project skips most row groups without a folder per project.
+    Rows are spread over ``files_per_day`` tasks per day by key, as many as the largest day needs if not told, and sorted by
+    project and key in each file, so a reader of one project skips most row groups without a folder per project.
     """
+    if files_per_day is None:
+        counts = written(counts, "days")
+        largest = counts.groupBy("day").count().agg(F.max("count")).first()[0] or 0
+        files_per_day = -(-largest // FILE_ROWS) or 1
     slot = F.pmod(F.xxhash64("project_id", "goal", "action"), F.lit(files_per_day))
     (
         counts.withColumn("_slot", slot)

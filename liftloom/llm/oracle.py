@@ -1,5 +1,50 @@
-"""The same results as plain SQL, where SQL can express them on whole tables."""
+"""The same results as plain SQL, where SQL can express them on whole tables.
+
+Trained models, approximate search, alignments, schedules and linear programs have none; tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-STATEMENTS: dict[str, str] = {}
+from liftloom.llm.url_rules import PATTERN_RULES, SITE_RULES, compile_pattern
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _url_rules() -> str:
+    sites = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in SITE_RULES)
+    # RE2 takes the expressions as they are
+    blocked = " OR ".join(f"regexp_matches(host || path || tail, '{compile_pattern(p)[0]}')" for p, verdict in PATTERN_RULES if verdict == "block")
+    return f"""WITH parsed AS (SELECT row_number() OVER () AS nr, page_id,
+        translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
+        regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path,
+        regexp_extract(coalesce(url, ''), '://[^/?#]*[^?#]*((?s:.*))', 1) AS tail FROM pages),
+    rules(site, front, verdict) AS (VALUES {sites}),
+    best AS (SELECT nr, max_by(site || front, length(site || front)) AS rule, max_by(rules.verdict, length(site || front)) AS verdict
+        FROM parsed JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, front) GROUP BY nr)
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parsed LEFT JOIN best USING (nr)"""
+
+
+STATEMENTS: dict[str, str] = {
+    "op6_url_rules": _url_rules(),
+    "op8_setsketch_dedup": f"""WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+        places AS (SELECT doc_id, words, unnest(range(1, CASE WHEN len(words) >= 5 THEN len(words) - 3 ELSE 2 END)) AS i
+            FROM texts WHERE len(words) > 0),
+        shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS s FROM places),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY ALL),
+        links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * common >= 75 * (x.n + y.n - common)),
+        reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+        least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op9_impact_topk": """WITH whole AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20""",
+}

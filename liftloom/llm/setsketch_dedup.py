@@ -111,7 +111,7 @@ def _digests(members: np.ndarray) -> tuple[int, int]:
 
 
 def _buckets(classes: DataFrame, settings: SketchSettings) -> DataFrame:
-    """A row per class and band: ``bucket`` and ``cid``."""
+    """A row per class and band: ``bucket``, ``cid`` and ``band``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +123,27 @@ def _buckets(classes: DataFrame, settings: SketchSettings) -> DataFrame:
             for place in range(settings.band_registers):
                 keys = W.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, place])
             ids = np.repeat(batch.column("cid").to_numpy(), settings.bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "cid"])
+            numbers = np.tile(np.arange(settings.bands, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(numbers)], names=["bucket", "cid", "band"])
 
-    return classes.where("n_shingles > 0").select("cid", "sketch").mapInArrow(run, "bucket long, cid long")
+    return classes.where("n_shingles > 0").select("cid", "sketch").mapInArrow(run, "bucket long, cid long, band int")
+
+
+def _registers(classes: DataFrame) -> DataFrame:
+    """``cid``, ``n`` (the set's size) and the registers as an array, ``regs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(sketch, np.uint16).astype(np.int32) for sketch in batch.column("sketch").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.array(rows, pa.list_(pa.int32()))], names=["cid", "n", "regs"])
+
+    return classes.selectExpr("cid", "n_shingles as n", "sketch").mapInArrow(run, "cid long, n long, regs array<int>")
+
+
+def _least_alike(settings: SketchSettings) -> float:
+    """The similarity below which registers speak against a link."""
+    limit = settings.percent / 100
+    return limit - settings.deviations * float(np.sqrt(limit * (1 - limit) / settings.registers))
 
 
 def estimate_similarity(one: np.ndarray, two: np.ndarray, size_one: np.ndarray, size_two: np.ndarray, base: float) -> np.ndarray:
@@ -154,8 +172,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, settings: SketchSettings) -> D
         .join(side.toDF("b", "nb", "sb"), "b")
         .where(f"100 * least(na, nb) >= {settings.percent} * greatest(na, nb)")
     )
-    limit = settings.percent / 100
-    floor = limit - settings.deviations * float(np.sqrt(limit * (1 - limit) / settings.registers))
+    floor = _least_alike(settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,14 +243,25 @@ def class_components(docs: DataFrame, classes: DataFrame, settings: SketchSettin
     links = written(_confirmed(likely, _texts(likely, classes, docs, settings), settings), "confirmed")
     roots = written(components(links), "roots")
 
-    rooted = rows.join(roots, rows.cid == roots.node, "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+    rooted = rows.join(roots, rows.cid == roots.node, "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("root"))
     counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = counts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
     mixed = largest.where("roots > 1").selectExpr("bucket", "most.root as most")
     apart = written(rooted.join(mixed, "bucket"), "apart")
-    # each member outside the largest component meets the other components' members; of two such, the smaller is hub
-    hubs = apart.where("root <> most").selectExpr("bucket", "cid as hub", "root as hub_root")
-    met = apart.join(hubs, "bucket").where("root <> hub_root and (root = most or cid > hub)")
+    wanted = classes.join(apart.select("cid").distinct(), "cid", "left_semi")
+    apart = written(apart.join(_registers(wanted), "cid"), "apart")
+    # each member outside the largest component meets the other components' members; of two such, the smaller is hub. A
+    # pair leaves the join if enough registers agree, and only from the first band that both share
+    hubs = apart.where("root <> most").selectExpr("bucket", "cid as hub", "root as hub_root", "n as hub_n", "regs as hub_regs")
+    width = settings.band_registers
+    agree = " and ".join(f"regs[{width} * j + {k}] = hub_regs[{width} * j + {k}]" for k in range(width))
+    equal = "aggregate(zip_with(regs, hub_regs, (x, y) -> if(x = y, 1, 0)), 0, (total, x) -> total + x)"
+    met = apart.join(hubs, "bucket").where(
+        "root <> hub_root and (root = most or cid > hub)"
+        f" and 100 * least(n, hub_n) >= {settings.percent} * greatest(n, hub_n)"
+        f" and {equal} >= {int(_least_alike(settings) * settings.registers)}"
+        f" and not exists(sequence(0, {settings.bands - 1}), j -> j < band and {agree})"
+    )
     met = met.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
     pool = written(_likely(met, classes, settings).join(likely.select("a", "b"), ["a", "b"], "left_anti"), "pool")
     texts, most = None, 1

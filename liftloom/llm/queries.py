@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from liftloom.llm import ann_graph, curriculum, cutting_stock, impact_topk, langid_bloom, license_patience, pii_crf, setsketch_dedup, toxicity_cnn, url_rules
+from liftloom.llm.words import small_batches
 from liftloom.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
+    return small_batches(tune(spark)).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op1_graph_search(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 SEGMENT_BYTES = 1 << 20
 SHINGLE_WORDS = 5
@@ -40,6 +41,12 @@ def _power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand rows to Python in small batches: texts are long, and a batch is held on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    return spark
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit values so that every bit depends on all bits."""
     out = values ^ (values >> np.uint64(30))

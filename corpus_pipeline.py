@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftloom.llm import curriculum, cutting_stock, langid_bloom, pii_crf, setsketch_dedup
+from liftloom.llm.words import small_batches
 from liftloom.session import tune, written
 
 #: share of a text's n-grams that its language must explain
@@ -19,6 +20,7 @@ LEAST_SHARE = 0.1
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, and those that no known language explains; fill in the language where it is missing."""
+    small_batches(spark)
     model = langid_bloom.train(docs.where(langid_bloom.fold(4) != 2))
     if not model.languages:
         return docs
@@ -29,6 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group: the one with the smallest id. Of rows that repeat it, one stays."""
+    small_batches(spark)
     groups = setsketch_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("most"))
     kept = written(groups.selectExpr("doc_id as __kept", "`rows` > 1 and most > 0 and doc_id is not null as repeated"), "kept")
 
@@ -42,12 +45,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind."""
+    small_batches(spark)
     clean = pii_crf.redact(docs, pii_crf.train(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take what the mix takes: documents twice, once, or not at all; the last one of a source may be cut after a word."""
+    small_batches(spark)
     taken = curriculum.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
     taken = written(taken.toDF("__doc_id", "__source", "__size", "__taken"), "taken")
     sized = docs.withColumn("__words", F.regexp_count("text", F.lit(curriculum.WORD)).cast("long"))
@@ -62,6 +67,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces of all documents."""
+    small_batches(spark)
     return cutting_stock.pack(docs)
 
 

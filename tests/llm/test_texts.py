@@ -246,3 +246,52 @@ def test_licenses(spark):
     assert got[10, "MIT-text"].coverage == 1.0 and got[10, "MIT-text"].first_word == 300
     assert 0.9 < got[11, "MIT-text"].coverage < 1
     assert license_patience.scan(documents(spark, [])).isEmpty()
+
+
+NOTICES = {
+    "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+    "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+    "Licensed under CC BY 4.0": "CC-BY-4.0",
+    "Licensed under CC BY-NC-SA 3.0": "CC-BY-NC-SA-3.0",
+    "Licensed under CC BY-ND 7.0": "CC-BY-ND",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+    "This work is licensed under the GNU General Public License, version 3": "GPL-3.0",
+    "This work is licensed under the GNU General Public License, version 2": "GPL-2.0",
+    "This work is licensed under the GNU General Public License, version 2 (see section 3)": "GPL-2.0",
+    "This work is licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+    "This work is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+    "This work is licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+    "Released under the GPLv2": "GPL-2.0",
+    "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+    "Licensed under the Apache License, Version 1.1": "Apache-1.1",
+    "Released under the MIT License": "MIT",
+    "Distributed under the MIT license": "MIT",
+    "Released under the BSD 3-Clause License": "BSD-3-Clause",
+    "Released under the BSD License": "BSD",
+    "Released under the ISC License": "ISC",
+    "Subject to and under the Mozilla Public License, v. 2.0": "MPL-2.0",
+    "Dedicated under CC0 1.0": "CC0-1.0",
+    "SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+    license_patience._BSD: "BSD-2-Clause-text",
+    license_patience._BSD + license_patience._ENDORSING: "BSD-3-Clause-text",
+    license_patience._BSD + license_patience._ADVERTISING + license_patience._ENDORSING: "BSD-4-Clause-text",
+}
+
+
+def test_licenses_are_told_apart(spark):
+    rows = [(n, f"{prose(n, 30)} {text}. {prose(n + 1, 30)}") for n, text in enumerate(NOTICES)]
+    rows.append((900, "Licensed under the MIT License or the Apache License, Version 2.0"))
+    got = {}
+    for r in license_patience.scan(documents(spark, rows)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got.pop(900) == {"MIT", "Apache-2.0"}
+    assert got == {n: {name} for n, name in enumerate(NOTICES.values())}
+
+
+def test_each_template_finds_its_license():
+    templates = license_patience.common_templates()
+    found = {}
+    for row, name, *_ in license_patience.scan_texts(pa.array([text for _, text, _ in templates]), license_patience.LicenseSettings()):
+        found.setdefault(row, set()).add(license_patience.license_of(name))
+    assert found == {n: {license_patience.license_of(name)} for n, (name, _, _) in enumerate(templates)}

@@ -5,14 +5,15 @@ both sides anchor the alignment, the longest increasing subsequence of the ancho
 aligned in the same way, after what agrees at their ends. The share of the template's words that are matched is its
 coverage, so a notice is found with words changed, left out or put in.
 
-A document is gone through whole, in windows of twice the template's length that overlap by half. A window can only be aligned
-well enough if it holds that many words of the template, and only such windows are.
+A document is gone through whole, in windows of twice the template's length, one from each word of the template in it, so what
+is found does not depend on where a notice starts. A notice lies in at most that many words. A window can only be aligned well
+enough if it holds that many words of the template, and only such windows are.
 
 The words that tell a license from its relatives (by, nc, sa, Lesser, the version) have to be among the matches, and none may
 be put in between; a notice that is part of one of another license which matches more words is left out.
 
 Defined results: words are longest runs of letters and digits, A-Z lower-cased; a null or empty text, or one without words, has
-no notice; a notice that occurs more than once gives one row, its best place, the first of equals; repeated rows give a row
+no notice; a notice that occurs more than once gives one row, its best place (coverage, then fewest words between), the first of equals; repeated rows give a row
 each; a null ``doc_id`` is kept; no rows give no rows; other columns are not read.
 """
 
@@ -208,8 +209,8 @@ _DIGITS = (*"0123456789", *(f"v{digit}" for digit in range(10)))
 
 
 def _telling(name: str) -> str:
-    """The words of a name that have to be matched: all, or all but fillers where it has a version."""
-    words = re.findall("[A-Za-z0-9]+", name)
+    """The words of a name that have to be matched: all but License, or all but fillers where it has a version."""
+    words = [w for w in re.findall("[A-Za-z0-9]+", name) if w != "License"]
     return " ".join(w for w in words if w.lower() not in _FILLERS) if words[-1][-1].isdigit() else " ".join(words)
 
 
@@ -414,13 +415,24 @@ def _best(notices: list[tuple[str, int, float, tuple[int, ...], list[int]]]) ->
 
 
 def _windows(text: np.ndarray, template: list[int], least_coverage: float) -> list[tuple[int, int]]:
-    """Windows of twice the template's length that hold enough of its words."""
+    """Windows of twice the template's length, from each of its words in the text, that hold enough of its words.
+
+    A word counts at most as often as the template has it. So a word at a place counts for the windows that begin behind its
+    last place but that many, and a running sum over begins and ends of such stretches counts the words of every window.
+    """
     size = len(template)
-    sums = np.concatenate([[0], np.cumsum(np.isin(text, template))])
-    begins = np.arange(max(-(-len(text) // size) - 1, min(len(text), 1))) * size
-    ends = np.minimum(begins + 2 * size, len(text))
-    enough = sums[ends] - sums[begins] >= least_coverage * size
-    return list(zip(begins[enough].tolist(), ends[enough].tolist(), strict=True))
+    kinds, often = np.unique(template, return_counts=True)
+    places = np.flatnonzero(np.isin(text, kinds))
+    words = np.searchsorted(kinds, text[places])
+    order = np.argsort(words, kind="stable")
+    sorted_words, sorted_places = words[order], places[order]
+    before = np.arange(len(order)) - often[sorted_words]
+    same = (before >= 0) & (sorted_words[before] == sorted_words)
+    low = np.where(same, sorted_places[before] + 1, 0)
+    low = np.maximum(low, sorted_places - 2 * size + 1)
+    change = np.bincount(low, minlength=len(text) + 1) - np.bincount(sorted_places + 1, minlength=len(text) + 1)
+    begins = places[np.cumsum(change)[places] >= least_coverage * size]
+    return [(begin, min(begin + 2 * size, len(text))) for begin in begins.tolist()]
 
 
 def scan(docs: DataFrame, settings: LicenseSettings = LicenseSettings()) -> DataFrame:

@@ -295,3 +295,31 @@ def test_each_template_finds_its_license():
     for row, name, *_ in license_patience.scan_texts(pa.array([text for _, text, _ in templates]), license_patience.LicenseSettings()):
         found.setdefault(row, set()).add(license_patience.license_of(name))
     assert found == {n: {license_patience.license_of(name)} for n, (name, _, _) in enumerate(templates)}
+
+
+def test_inserted_words_at_every_offset():
+    header = re.findall("[A-Za-z0-9]+", license_patience.TEMPLATES["GPL-3.0-header"])
+    cases = [
+        ("MIT", "Released under the terms of the MIT License".split(), 5),
+        ("GPL-3.0-header", [w for n, word in enumerate(header) for w in ((word, f"put{n}") if n % 2 else (word,))][:-1], len(header)),
+        ("GPL-2.0", "under the terms of the GPLv2".split(), 3),
+    ]
+    for name, notice, size in cases:
+        offsets = range(2 * size + 1)
+        column = pa.array([" ".join([*(f"x{n}" for n in range(offset)), *notice, *(f"y{n}" for n in range(50))]) for offset in offsets])
+        found = license_patience.scan_texts(column, license_patience.LicenseSettings())
+        rows = {row: place for row, kind, *place in found if kind == name}
+        assert rows == {offset: [1.0, offset, offset + len(notice) - 1] for offset in offsets}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_windows_hold_what_they_are_said_to(seed):
+    random = np.random.default_rng(seed)
+    template = random.integers(0, 6, 7).tolist()
+    text = random.integers(0, 12, 60)
+    expected = []
+    for begin in range(60):
+        window = text[begin : begin + 14].tolist()
+        if text[begin] in template and sum(min(window.count(w), template.count(w)) for w in set(template)) >= 0.85 * 7:
+            expected.append((begin, begin + len(window)))
+    assert license_patience._windows(text, template, 0.85) == expected

@@ -15,6 +15,7 @@ predicted one by one; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,6 @@ class BloomSettings:
 
     #: documents of a language that n-grams are counted in, at most about this many (chosen by hashed id)
     sample_per_language: int = 3000
-    #: languages told apart: those with the most documents
-    languages: int = 256
     #: n-grams kept of a language: those in the most documents
     grams_per_language: int = 20_000
     #: an n-gram must be in so many sampled documents of the language, and in such a share of them
@@ -97,19 +96,22 @@ class LanguageFilter:
         grams, owners = _grams(column)
         positions = list(_positions(grams, self.settings))
         total = np.bincount(owners, minlength=rows).astype(np.float64)
-        hits = np.zeros((rows, 8 * len(self.slices)))
+        best, most = np.zeros(rows, np.int64), np.full(rows, -1.0)
         bits = (np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1
         for number, table in enumerate(self.slices):
             masks = table[positions[0]]
             for more in positions[1:]:
                 masks &= table[more]
             counts = np.bincount(owners.astype(np.int64) * 256 + masks, minlength=rows * 256).reshape(rows, 256)
-            hits[:, 8 * number : 8 * number + 8] = counts @ bits
-        hits = hits[:, : len(self.languages)]
-        rates = self.false_rates[None, :]
-        true = np.clip((hits - rates * total[:, None]) / (1 - rates), 0, None)
-        best = true.argmax(axis=1)
-        share = np.clip(true[np.arange(rows), best] / np.maximum(total, 1), 0, 1)
+            rates = self.false_rates[8 * number : 8 * number + 8]
+            hits = (counts @ bits)[:, : len(rates)]
+            true = np.clip((hits - rates[None, :] * total[:, None]) / (1 - rates[None, :]), 0, None)
+            place = true.argmax(axis=1)
+            here = true[np.arange(rows), place]
+            # equal shares stay with the language before
+            best = np.where(here > most, place + 8 * number, best)
+            most = np.maximum(most, here)
+        share = np.clip(most / np.maximum(total, 1), 0, 1)
         lettered = _has_letters(column)
         names = [self.languages[b] if known else UNKNOWN for b, known in zip(best.tolist(), lettered, strict=True)]
         return names, np.where(lettered, share, 0.0)
@@ -126,10 +128,11 @@ def _has_letters(column: pa.Array) -> list[bool]:
 def train(labelled: DataFrame, settings: BloomSettings = BloomSettings()) -> LanguageFilter:
     """The filter of the languages in ``lang`` from the texts in ``text``; rows with a null in either teach nothing.
 
-    Counting runs on the executors; at most ``languages * grams_per_language`` n-grams reach the driver.
+    Every language is learnt. Counting and hashing run on the executors; a row per language reaches the driver, with its bits of
+    the filter (32 kB, compressed on the way).
     """
     named = labelled.where("lang is not null and text is not null and lang <> 'und'")
-    sizes = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
+    sizes = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
         return LanguageFilter((), (), np.zeros(0), settings)
     spark = labelled.sparkSession
@@ -155,20 +158,41 @@ def train(labelled: DataFrame, settings: BloomSettings = BloomSettings()) -> Lan
     counted = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     sampled = {r["lang"]: min(r["count"], settings.sample_per_language) for r in sizes}
     least = {lang: float(max(settings.least_share * n, min(settings.least_documents, n))) for lang, n in sampled.items()}
-    bounds = spark.createDataFrame(list(least.items()), "lang string, least double")
-    ranked = counted.join(F.broadcast(bounds), "lang").where("docs >= least")
-    top = ranked.selectExpr("lang", "gram", "row_number() over (partition by lang order by docs desc, gram) as place")
-    rows = top.where(f"place <= {settings.grams_per_language}").select("lang", "gram").toPandas()
-
     languages = tuple(r["lang"] for r in sizes)
+    bounds = spark.createDataFrame([(lang, number, least[lang]) for number, lang in enumerate(languages)], "lang string, number int, least double")
+    ranked = counted.join(F.broadcast(bounds), "lang").where("docs >= least")
+    top = ranked.selectExpr("number", "gram", "row_number() over (partition by number order by docs desc, gram) as place")
+
+    def row_of(number: int, bits: np.ndarray) -> pa.RecordBatch:
+        packed = zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], names=["number", "bits"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the ranking leaves the rows of a language side by side
+        last, bits = -1, np.zeros(0, bool)
+        for batch in batches:
+            numbers, grams = batch.column("number").to_numpy(), batch.column("gram").to_numpy().astype(np.uint32)
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                if begin == end:
+                    continue
+                if numbers[begin] != last:
+                    if last >= 0:
+                        yield row_of(last, bits)
+                    last, bits = int(numbers[begin]), np.zeros(1 << settings.bits, bool)
+                for positions in _positions(grams[begin:end], settings):
+                    bits[positions] = True
+        if last >= 0:
+            yield row_of(last, bits)
+
+    rows = top.where(f"place <= {settings.grams_per_language}").select("number", "gram").mapInArrow(hashed, "number int, bits binary").collect()
     slices = tuple(np.zeros(1 << settings.bits, np.uint8) for _ in range(-(-len(languages) // 8)))
     rates = np.zeros(len(languages))
-    for number, lang in enumerate(languages):
-        grams = rows.gram[rows.lang == lang].to_numpy().astype(np.uint32)
-        bit = np.uint8(1 << (number % 8))
-        for positions in _positions(grams, settings):
-            slices[number // 8][positions] |= bit
-        rates[number] = float((slices[number // 8] & bit != 0).mean()) ** settings.hashes
+    for row in rows:
+        number, packed = row["number"], np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+        slices[number // 8][:] |= np.unpackbits(packed, count=1 << settings.bits, bitorder="little") << np.uint8(number % 8)
+    for number in range(len(languages)):
+        rates[number] = float((slices[number // 8] & np.uint8(1 << (number % 8)) != 0).mean()) ** settings.hashes
     return LanguageFilter(languages, slices, rates, settings)
 
 

@@ -57,6 +57,17 @@ def test_filter_against_sets(spark):
     assert abs(score[0] - share) < 0.01
 
 
+def test_every_language_is_learnt(spark):
+    """Languages beyond any fixed number, rare ones included; the commonest has most of the documents."""
+    random = np.random.default_rng(4)
+    words = [["".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(12)] for _ in range(300)]
+    rows = [(n * 1000 + m, " ".join(random.permutation(words[n])), f"l{n:03d}") for n in range(300) for m in range(2 if n else 40)]
+    model = langid_bloom.train(documents(spark, rows))
+    assert sorted(model.languages) == [f"l{n:03d}" for n in range(300)] and model.languages[0] == "l000"
+    names, shares = model.predict(pa.array([" ".join(w) for w in words]))
+    assert names == [f"l{n:03d}" for n in range(300)] and shares.min() > 0.5
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

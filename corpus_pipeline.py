@@ -30,17 +30,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one with the smallest id. Of rows that repeat it, one stays."""
+    """Keep one row of each group: one with the smallest id; without any id, any one. Rows without shingles all stay."""
     small_batches(spark)
-    groups = setsketch_dedup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("most"))
-    kept = written(groups.selectExpr("doc_id as __kept", "`rows` > 1 and most > 0 and doc_id is not null as repeated"), "kept")
-
-    def semi(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-
-    once = semi(kept.where("not repeated").select("__kept"))
-    repeated = kept.where("repeated").select("__kept")
-    return once if repeated.isEmpty() else once.union(semi(repeated).dropDuplicates(["doc_id"]))
+    # rows are told apart by a number of their own, as ids may be null or repeated
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    groups = setsketch_dedup.near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = groups.join(numbered.select("__row", "doc_id"), "__row")
+    least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("least"))
+    kept = written(least.select("least.__row"), "kept")
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

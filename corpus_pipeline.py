@@ -49,18 +49,30 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take what the mix takes: documents twice, once, or not at all; the last one of a source may be cut after a word."""
+    """Take what the mix takes: documents twice, once, or not at all; the last one of a source may be cut after a word.
+
+    Rows are range-sorted by their positions in training.
+    """
     small_batches(spark)
-    taken = curriculum.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken")).where("taken > 0")
-    taken = written(taken.toDF("__doc_id", "__source", "__size", "__taken"), "taken")
+    taken = curriculum.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"), F.min("position").alias("position"), F.min("again").alias("again"))
+    taken = written(taken.where("taken > 0").toDF("__doc_id", "__source", "__size", "__taken", "__position", "__again"), "taken")
     sized = docs.withColumn("__words", F.regexp_count("text", F.lit(curriculum.WORD)).cast("long"))
     same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    copies = sized.join(taken, same).withColumn("__part", F.explode(F.expr("if(__taken > __size, array(__size, __taken - __size), array(__taken))")))
+    copies = sized.join(taken, same).withColumn(
+        "__copy",
+        F.explode(
+            F.expr(
+                "if(__taken > __size, array(struct(__size as part, __position as at), struct(__taken - __size as part, __again as at)),"
+                " array(struct(__taken as part, __position as at)))"
+            )
+        ),
+    )
+    copies = copies.withColumn("__part", F.col("__copy.part"))
     words = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
     cut = copies.withColumn("text", F.expr(f"if(__part = __size, text, array_join(slice({words}, 1, cast(__part as int)), ' '))"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("__part") == F.col("__size"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+    return cut.orderBy("__copy.at", "__doc_id").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

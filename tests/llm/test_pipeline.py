@@ -5,6 +5,7 @@ from collections import Counter
 from shapes import documents, prose
 
 import corpus_pipeline
+from liftloom.llm import curriculum
 
 
 def test_one_row_of_each_group_stays(spark):
@@ -16,3 +17,16 @@ def test_one_row_of_each_group_stays(spark):
     expected = [(1, one), (1, two), (None, three), (None, prose(4, 60)), (None, ""), (8, None), (8, None), (9, prose(5, 60))]
     assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(expected)
     assert corpus_pipeline.near_dedup(spark, documents(spark, []), "").isEmpty()
+
+
+def test_mixed_rows_come_in_order_of_the_schedule(spark):
+    docs = documents(spark, [(n, prose(n, 30 + n % 7), "en", f"s{n % 3}") for n in range(60)])
+    due = []
+    for r in curriculum.mix(docs).collect():
+        if r.taken > 0:
+            due.append((r.position, r.doc_id))
+        if r.taken > r["size"]:
+            due.append((r.again, r.doc_id))
+    out = corpus_pipeline.mix(spark, docs, "")
+    assert out.columns == docs.columns
+    assert [r.doc_id for r in out.collect()] == [doc_id for _, doc_id in sorted(due)]

@@ -5,8 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from liftloom.llm import ann_graph, curriculum, cutting_stock, impact_topk, langid_bloom, license_patience, pii_crf, setsketch_dedup, toxicity_cnn, url_rules
+from pyspark.sql import functions as F
+
+from liftloom.llm import (
+    ann_graph,
+    chat_format,
+    curriculum,
+    cutting_stock,
+    impact_topk,
+    langid_bloom,
+    license_patience,
+    pii_crf,
+    prefix_trie,
+    setsketch_dedup,
+    spelling,
+    toxicity_cnn,
+    url_rules,
+)
 from liftloom.llm.words import small_batches
 from liftloom.session import tune
 
@@ -57,6 +72,22 @@ def op10_cutting_stock(spark: SparkSession, folder: str) -> DataFrame:
     return cutting_stock.pack(_table(spark, folder, "documents"))
 
 
+def op11_spelling_gram(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+def op12_prefix_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, folder, "conversations"))
+
+
+def op13_chat_events(spark: SparkSession, folder: str) -> DataFrame:
+    said = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(hard))
+    log = chat_format.log_of(said.unionByName(probe))
+    return chat_format.digests(chat_format.render(chat_format.messages(log)))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -70,5 +101,8 @@ QUERIES: dict[str, Query] = {
         op8_setsketch_dedup,
         op9_impact_topk,
         op10_cutting_stock,
+        op11_spelling_gram,
+        op12_prefix_collapse,
+        op13_chat_events,
     )
 }

@@ -9,7 +9,7 @@ from liftloom.llm.queries import QUERIES
 
 
 def test_one_query_for_each_operator():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", list(STATEMENTS))
@@ -17,7 +17,7 @@ def test_against_sql(spark, name):
     folder = f"{DATA}/sf0.001"
     columns, got = spark_rows(QUERIES[name](spark, folder))
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     result = con.execute(STATEMENTS[name])
     found = [d[0] for d in result.description]

@@ -22,14 +22,11 @@ def parse_gaps(text: str) -> dict[str, int]:
 class HotKeys:
     """How grouping keys that hold very many rows are spread over tasks.
 
-    A key with more than ``min_rows`` rows is hot. At most ``max_keys`` of them (the largest) are treated apart, so the
-    list always fits a broadcast; any other key then holds less than ``1 / max_keys`` of the rows, an ordinary task.
-    A hot key is cut into slots of about ``slot_rows`` consecutive rows.
+    A key with more than ``min_rows`` rows is hot. Hot keys are cut into slots of about ``slot_rows`` consecutive rows.
     """
 
     min_rows: int = 2_000_000
     slot_rows: int = 500_000
-    max_keys: int = 4096
 
 
 # Session settings and hint that results depend on.

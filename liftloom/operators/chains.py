@@ -9,11 +9,14 @@ slot. Both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftloom.config import HotKeys
+from liftloom.operators.scans import dealt
+from liftloom.session import written
 
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _TO_HERE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -52,25 +55,9 @@ def _whole_keys(df: DataFrame, keys: list[str], ts: str, columns: list[str]) ->
     return _chain_columns(opened, columns)
 
 
-def _sliced_keys(df: DataFrame, keys: list[str], ts: str, columns: list[str], slot_rows: int) -> DataFrame:
+def _sliced_keys(df: DataFrame, keys: list[str], ts: str, columns: list[str], parts: int) -> DataFrame:
     """The same columns as :func:`_whole_keys`, with every key cut into slots of consecutive rows."""
-    spread = df.groupBy(*keys).agg(
-        F.expr("count(1) AS _n"),
-        F.expr(f"min({ts}) AS _lo"),
-        F.expr(f"max({ts}) AS _hi"),
-        F.expr("min(_id) AS _id_lo"),
-        F.expr("max(_id) AS _id_hi"),
-    )
-    # place of a row in its key as one number that grows with (ts, rank, id): whole part from ts, fraction from the
-    # rest, so that even rows of one millisecond can be told apart
-    place = (
-        f"({ts} - _lo) + (_rank + (cast(_id AS double) - _id_lo) / (cast(_id_hi AS double) - _id_lo + 1)) / 2"
-    )
-    rows = df.join(F.broadcast(spread), keys).selectExpr(
-        *columns,
-        *["_end", "_id", "_rank", "_weight"],
-        f"floor(({place}) * _n / (cast(_hi - _lo + 1 AS double) * {int(slot_rows)})) AS _slot",
-    )
+    rows = dealt(df.withColumn("_at", F.col(ts)), keys, ["_at", "_rank", "_id"], "slots", parts=parts).drop("_at")
 
     slot_keys = [*keys, "_slot"]
     across = _over(keys, "_slot", _BEFORE)
@@ -113,22 +100,25 @@ def _sliced_keys(df: DataFrame, keys: list[str], ts: str, columns: list[str], sl
     return _chain_columns(joined, columns)
 
 
-def busiest_keys(df: DataFrame, keys: list[str], hot: HotKeys | None) -> list[Row]:
-    """The largest keys above the limit, at most ``hot.max_keys`` of them.
+@dataclass(frozen=True)
+class BusyKeys:
+    """A written list of the keys above the limit, and how many slots all their rows make."""
+
+    listed: DataFrame
+    slots: int
 
-    Runs a job over the key columns alone; rows are counted before the shuffle, and only this short list comes back.
+
+def busiest_keys(df: DataFrame, keys: list[str], hot: HotKeys | None) -> BusyKeys | None:
+    """All keys above the limit; None if there are none.
+
+    Runs a job over the key columns alone; rows are counted before the shuffle. The list holds fewer keys than the rows divided
+    by the limit. It stays a table, and only its size and sum are read.
     """
     if hot is None:
-        return []
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot.min_rows)
-        .orderBy(F.col("_rows").desc(), *keys)
-        .limit(hot.max_keys)
-        .select(*keys)
-        .collect()
-    )
+        return None
+    listed = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot.min_rows)
+    rows = listed.agg(F.sum("_rows")).first()[0]
+    return BusyKeys(written(listed.select(*keys), "busy"), -(-rows // hot.slot_rows)) if rows else None
 
 
 def gap_chains(
@@ -140,8 +130,9 @@ def gap_chains(
     rank: str = "0",
     weight: str = "1",
     hot: HotKeys | None = None,
-    busiest: list[Row] | None = None,
+    busiest: BusyKeys | None = None,
     then: Callable[[DataFrame], DataFrame] = lambda part: part,
+    then_sliced: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add the chain of every row. ``end``, ``row_id``, ``rank`` and ``weight`` are SQL expressions.
 
@@ -153,6 +144,7 @@ def gap_chains(
     :param busiest: the keys to cut, where the caller has looked for them before
     :param then: further work per part; hot and other keys are joined up only after it, which spares the keys that are
         not hot a second shuffle when ``then`` groups inside a chain
+    :param then_sliced: the same for the hot keys, where it has to be done another way
 
     New columns: ``chain_start`` (its first ``ts``), ``chain_first_id`` (its first ``row_id``), ``chain_end`` (latest
     end up to this row), ``chain_seq`` (weight summed from the chain's first row to this one).
@@ -165,9 +157,8 @@ def gap_chains(
         f"cast({weight} AS bigint) AS _weight",
     )
     found = busiest_keys(df, keys, hot) if busiest is None else busiest
-    if not found:
+    if found is None:
         return then(_whole_keys(prepared, keys, ts, df.columns))
-    listed = F.broadcast(df.sparkSession.createDataFrame(found, df.select(*keys).schema))
-    rest = then(_whole_keys(prepared.join(listed, keys, "left_anti"), keys, ts, df.columns))
-    sliced = then(_sliced_keys(prepared.join(listed, keys, "left_semi"), keys, ts, df.columns, hot.slot_rows))
+    rest = then(_whole_keys(prepared.join(found.listed, keys, "left_anti"), keys, ts, df.columns))
+    sliced = (then_sliced or then)(_sliced_keys(prepared.join(found.listed, keys, "left_semi"), keys, ts, df.columns, found.slots))
     return rest.unionByName(sliced)

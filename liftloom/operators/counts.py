@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from liftloom.config import SessionSettings
 from liftloom.functions.tokens import ALL, EVENT_TOTAL, NO_ACTION, SESSION_TOTAL, rec_key
-from liftloom.operators.conversion import FAMILIES, leaf_counts
+from liftloom.operators.conversion import FAMILIES, leaf_counts, sliced_steps, steps
 from liftloom.operators.sessions import session_rows
 
 KEY = ["goal", "action", "leaf"]
@@ -27,7 +27,14 @@ def daily_counts(
     events: DataFrame, settings: SessionSettings, families: frozenset[str] = FAMILIES
 ) -> DataFrame:
     """Canonical events to one count per (project, day, key)."""
-    return with_event_totals(leaf_counts(session_rows(events, settings), settings, families))
+    hint_ms = int(settings.local_hint_ms)
+    prepared = session_rows(
+        events,
+        settings,
+        then=lambda part: steps(part, hint_ms),
+        then_sliced=lambda part: sliced_steps(part, hint_ms, settings.hot_keys.slot_rows),
+    )
+    return with_event_totals(leaf_counts(prepared, settings, families))
 
 
 def merge_counts(counts: DataFrame) -> DataFrame:

@@ -15,16 +15,42 @@ from liftloom.session import written
 SLOT_ROWS = 100_000
 
 
-def dealt(df: DataFrame, keys: list[str], order: list[str], name: str, slot: str = "_slot") -> DataFrame:
+def dealt(df: DataFrame, keys: list[str], order: list[str], name: str, slot: str = "_slot", parts: int | None = None, slot_rows: int | None = None) -> DataFrame:
     """Rows written in ranges of ``keys`` and ``order``, with the number of their range in the column ``slot``.
 
     Ranges come from a sample of the rows and hold about as many rows each, whatever the keys, so a key with most of the rows has many.
     Rows equal in all of ``keys`` and ``order`` are dealt out as well; which of them comes first is open. At most one key reaches
-    from one range into the next.
+    from one range into the next. ``parts`` is the number of ranges; told
+    ``slot_rows`` instead, rows are written and counted first. Without either adaptive execution finds a number.
     """
-    columns = df.columns
+    if slot_rows:
+        df = written(df, f"{name}_all")
+        parts = -(-df.count() // slot_rows) or 1
     numbered = df.withColumn("_arrival", F.monotonically_increasing_id())
-    return written(numbered.repartitionByRange(*keys, *order, "_arrival").withColumn(slot, F.spark_partition_id()).select(*columns, slot), name)
+    by = [*keys, *order, "_arrival"]
+    ranged = numbered.repartitionByRange(parts, *by) if parts else numbered.repartitionByRange(*by)
+    return written(ranged.withColumn(slot, F.spark_partition_id()).select(*df.columns, slot), name)
+
+
+def before(entries: DataFrame, asked: DataFrame, keys: list[str], sums: dict[str, str], slot_rows: int | None, function: str = "sum") -> DataFrame:
+    """What entries of the same keys add up to before a place: for each row of ``asked``, ``keys``, ``pos`` and the columns of ``sums``.
+
+    :param entries: ``keys``, ``pos`` (a whole number) and what ``sums`` reads
+    :param asked: ``keys`` and ``pos``, without repeats; entries at this place itself do not count
+    :param slot_rows: cut groups into slots of so many places; None takes each group as a whole
+    """
+    types = dict(entries.selectExpr(*[f"{expression} AS {name}" for name, expression in sums.items()]).dtypes)
+    rows = entries.selectExpr(*keys, "pos", "1 AS tag", *[f"{expression} AS {name}" for name, expression in sums.items()])
+    rows = rows.unionByName(asked.selectExpr(*keys, "pos", "0 AS tag", *[f"cast(NULL AS {types[name]}) AS {name}" for name in sums]))
+    if slot_rows is None:
+        over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY pos, tag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        added = rows.selectExpr(*keys, "pos", "tag", *[f"{function}({name}) {over} AS {name}" for name in sums])
+    else:
+        cut = rows.withColumn("_slot", F.floor(F.col("pos") / F.lit(slot_rows)))
+        added = running(cut, keys, "pos, tag", {f"{name}_to": name for name in sums}, function=function).selectExpr(
+            *keys, "pos", "tag", *[f"{name}_to AS {name}" for name in sums]
+        )
+    return added.where("tag = 0").drop("tag")
 
 
 def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], slot: str = "_slot", function: str = "sum") -> DataFrame:

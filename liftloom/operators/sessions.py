@@ -49,29 +49,37 @@ def sessions(events: DataFrame, settings: SessionSettings) -> DataFrame:
 
 
 def session_rows(
-    events: DataFrame, settings: SessionSettings, then: Callable[[DataFrame], DataFrame] = lambda part: part
+    events: DataFrame,
+    settings: SessionSettings,
+    then: Callable[[DataFrame], DataFrame] = lambda part: part,
+    then_sliced: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Every event with its session (``session_start``), pane and place in the pane.
 
     Where ``pane_rows`` is set, a pane is a run of that many consecutive rows of a session and is counted as a session of
     its own; otherwise a session is one pane, however long. ``run_end`` is the session's end as known up to the row, in the
-    form of :func:`sessions`.
+    form of :func:`sessions`. ``then`` and ``then_sliced`` are those of :func:`gap_chains`.
     """
     routed = route(events, settings)
     length = settings.pane_rows
     pane, place = (f"(chain_seq - 1) div {length}", f"(chain_seq - 1) % {length}") if length else ("0L", "chain_seq - 1")
 
     def paned(part: DataFrame) -> DataFrame:
-        return then(
-            part.selectExpr(
-                *routed.columns,
-                "chain_start AS session_start",
-                "chain_end - 1 AS run_end",
-                f"{pane} AS pane",
-                f"cast({place} AS bigint) AS place",
-            )
+        return part.selectExpr(
+            *routed.columns,
+            "chain_start AS session_start",
+            "chain_end - 1 AS run_end",
+            f"{pane} AS pane",
+            f"cast({place} AS bigint) AS place",
         )
 
     return gap_chains(
-        routed, SESSION_KEYS, "ts_ms", "ts_ms + gap_ms", "event_id", hot=settings.hot_keys, then=paned
+        routed,
+        SESSION_KEYS,
+        "ts_ms",
+        "ts_ms + gap_ms",
+        "event_id",
+        hot=settings.hot_keys,
+        then=lambda part: then(paned(part)),
+        then_sliced=lambda part: (then_sliced or then)(paned(part)),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from liftloom.config import SessionSettings
-from liftloom.operators.conversion import leaf_counts
+from liftloom.operators.conversion import leaf_counts, steps
 from liftloom.operators.counts import with_event_totals
 from liftloom.operators.sessions import SESSION_KEYS
 from liftloom.session import shared_folder
@@ -31,7 +31,7 @@ def start_counts(events: DataFrame, settings: SessionSettings, path: str, checkp
     """
 
     def write(panes: DataFrame, batch_id: int) -> None:
-        counts = with_event_totals(leaf_counts(panes, settings))
+        counts = with_event_totals(leaf_counts(steps(panes, int(settings.local_hint_ms)), settings))
         write_increment(counts, path, batch_id)
 
     return _start(stream_panes(events, settings), write, checkpoint, drain)

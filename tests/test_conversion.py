@@ -1,13 +1,17 @@
 """Pair counts: a worked session, and random panes against plain loops over the rules."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 
-from liftloom.config import SessionSettings
+from liftloom.config import HotKeys, SessionSettings
+from liftloom.operators import chains, conversion, scans
 from liftloom.operators.conversion import FAMILIES, GOAL, SESSION
 from liftloom.operators.counts import daily_counts, keyed
+from liftloom.operators.scans import before
+from liftloom.session import written
 
 DAY = 1_704_067_200_000
 
@@ -126,3 +130,62 @@ def test_long_session_is_counted_whole(make_events):
     got = counted(daily_counts(make_events(rows), SessionSettings(), FAMILIES))
     assert got["[AL]::[TE]"] == 1500
     assert got == dict(by_rule(rows, 60_000))
+
+
+def busy_session(seed, size):
+    rng = random.Random(seed)
+    t, rows = DAY, []
+    for _ in range(size):
+        t += rng.choice([0, 0, 1, 500, 30_000])
+        kind = rng.choice(["EVENT", "EVENT", "EVENT", "GOAL", "ACT", "ATR"])
+        rows.append((t, kind, f"n{rng.randrange(3)}", rng.choice(["", "L0", "ACT#n0", "ACT#n1"]), rng.choice(["", "local"])))
+    return rows
+
+
+def test_a_third_of_the_rows_in_one_session(make_events, monkeypatch):
+    """Long sessions are cut in every step: no window group and no slot is larger than twice what is asked for."""
+    sizes, plans = [], []
+
+    def measured(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        out = written(df, name)
+        if "_slot" in out.columns:
+            sizes.append(out.groupBy("_slot").count().agg({"count": "max"}).first()[0])
+        return out
+
+    for module in (chains, conversion, scans):
+        monkeypatch.setattr(module, "written", measured)
+    slot_rows = 60
+    hot = busy_session(3, 500)
+    others = {f"s{n}": busy_session(n, 10) for n in range(100)}
+    rows = [(*r, "hot", "standard", "p") for r in hot] + [(*r, name, "standard", "p") for name, session in others.items() for r in session]
+    df = daily_counts(make_events(rows), SessionSettings(hot_keys=HotKeys(min_rows=200, slot_rows=slot_rows)))
+    plans.append(("counts", df._jdf.queryExecution().optimizedPlan().toString()))
+    got = Counter()
+    for r in keyed(df).collect():
+        got[r.rec_key] += r.total
+    assert got == sum((by_rule(session, 60_000) for session in others.values()), by_rule(hot, 60_000))
+    assert sizes and max(sizes) <= 2 * slot_rows
+    # once sessions are scanned, every window is within slots, or goes over one row per slot
+    after = [plan for _, plan in plans[[name for name, _ in plans].index("steps") + 1 :]]
+    windows = [line for plan in after for line in plan.splitlines() if re.search(r"Window \[", line)]
+    assert windows and all("_slot" in line for line in windows)
+
+
+def test_work_grows_with_leaves_and_not_with_steps_times_keys(make_events, monkeypatch):
+    """20 goals and 20 actions in a session of many rows: few rows look up counts."""
+    looked = []
+
+    def measured(entries, asked, *args, **kwargs):
+        looked.append(asked.count())
+        return before(entries, asked, *args, **kwargs)
+
+    monkeypatch.setattr(conversion, "before", measured)
+    rng = random.Random(1)
+    kinds = ["GOAL"] * 20 + ["ACT"] * 20 + ["EVENT"] * 960
+    rng.shuffle(kinds)
+    rows = [(DAY + 1000 * n, kind, f"n{rng.randrange(4)}", "", "") for n, kind in enumerate(kinds)]
+    got = counted(daily_counts(make_events(rows), SessionSettings()))
+    assert got == dict(by_rule(rows, 60_000))
+    # 40 places, 12 tokens; steps times keys would be 1,000 x (4 + 4 + 16)
+    assert sum(looked) <= 40 * 12

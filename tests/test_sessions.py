@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftloom.config import HotKeys, SessionSettings, parse_gaps
-from liftloom.operators import sessions
+from liftloom.operators import chains, sessions
 from liftloom.operators.chains import busiest_keys, gap_chains
 from liftloom.operators.counts import daily_counts
+from liftloom.operators.scans import dealt
 
 DAY = 1_704_067_200_000
 PLAIN = SessionSettings()
@@ -82,7 +83,7 @@ def bursts():
     return rows
 
 
-@pytest.mark.parametrize("hot", [HotKeys(min_rows=0, slot_rows=9), HotKeys(min_rows=300, slot_rows=40), HotKeys(min_rows=100, slot_rows=100_000, max_keys=2)])
+@pytest.mark.parametrize("hot", [HotKeys(min_rows=0, slot_rows=9), HotKeys(min_rows=300, slot_rows=40), HotKeys(min_rows=100, slot_rows=100_000)])
 @pytest.mark.parametrize("pane_rows", [7, 500])
 def test_sliced_keys_give_the_same_rows(make_events, hot, pane_rows):
     events = make_events(bursts())
@@ -107,11 +108,29 @@ def test_sliced_chains_with_rank_and_weight(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, two))
 
 
-def test_list_of_busy_keys_is_bounded(make_events):
+def test_all_busy_keys_are_listed(make_events):
     events = make_events(bursts())
-    found = busiest_keys(events, ["project_id", "session_id"], HotKeys(min_rows=10, max_keys=3))
-    assert len(found) == 3 and found[0].session_id == "big"
-    assert busiest_keys(events, ["session_id"], HotKeys()) == []
+    found = busiest_keys(events, ["project_id", "session_id"], HotKeys(min_rows=10, slot_rows=400))
+    assert {r.session_id for r in found.listed.collect()} == {"big", *(f"s{n}" for n in range(7))} and found.slots == 4
+    assert busiest_keys(events, ["session_id"], HotKeys()) is None
+
+
+def test_slots_of_a_burst_are_even(spark, monkeypatch):
+    """Nearly all rows of a key in one hour, and one a month later."""
+    sizes = []
+
+    def measured(*args, **kwargs):
+        rows = dealt(*args, **kwargs)
+        sizes.extend(r["count"] for r in rows.groupBy("_slot").count().collect())
+        return rows
+
+    monkeypatch.setattr(chains, "dealt", measured)
+    burst = spark.range(99_999).selectExpr("'k' AS key", "1000000 + id * 36 AS ts", "id AS event_id")
+    df = burst.union(spark.range(1).selectExpr("'k'", "1000000 + 30L * 86400000", "99999L"))
+    sliced = gap_chains(df, ["key"], "ts", "ts + 1800000", "event_id", hot=HotKeys(min_rows=1000, slot_rows=5000))
+    found = sliced.groupBy("chain_start").agg(F.count("*").alias("n"), F.max("chain_seq").alias("last")).orderBy("chain_start").collect()
+    assert [(r.n, r["last"]) for r in found] == [(99_999, 99_999), (1, 1)]
+    assert sum(sizes) == 100_000 and len(sizes) >= 15 and max(sizes) <= 2 * 5000
 
 
 def test_slots_of_a_busy_key_are_even(spark):

@@ -19,6 +19,7 @@ from liftloom.operators.scoring import (
     posteriors,
     score_rows,
 )
+from liftloom.session import written
 
 # Fixed value: how long a decision is kept for its anchor, from its last use.
 ANCHOR_MS = 1_800_000
@@ -143,7 +144,8 @@ def decide(
     hot: HotKeys | None = HotKeys(),
 ) -> DataFrame:
     """Requests to decisions ``(request_id, leader_id, repeated, decision, mode)``; only leaders are scored."""
-    led = leaders(valid_actions(requests), keep_ms, hot)
+    # read for the leaders and for those who follow them
+    led = written(leaders(valid_actions(requests), keep_ms, hot), "led")
     first = led.where("request_id = leader_id").drop("leader_id")
     chosen = choose(score_actions(first, states, counts), policy, strict_gain).selectExpr(
         "request_id AS leader_id", "decision", "mode"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from liftloom.config import HotKeys
 from liftloom.operators.chains import busiest_keys, gap_chains
+from liftloom.operators.scans import before
 
 # Length and life of the kept lists, default number of tokens asked for.
 KEPT = 50
@@ -31,15 +32,33 @@ def _kept_steps(events: DataFrame) -> DataFrame:
     )
 
 
+def _since_clears(rows: DataFrame, clears: DataFrame, time: str) -> DataFrame:
+    """Add ``epoch``, how many clears of the row's session come before ``time``. Sessions without clears are not sorted for it."""
+    session = ["project_id", "session_id"]
+    cleared = clears.select(*session).distinct()
+    asked = rows.selectExpr(*session, f"{time} AS pos").join(cleared, session, "left_semi").distinct()
+    counted = before(clears.selectExpr(*session, "ts_ms AS pos"), asked, session, {"epoch": "1L"}, None)
+    return rows.withColumn("pos", F.expr(time)).join(counted, [*session, "pos"], "left").withColumn("epoch", F.coalesce("epoch", F.lit(0))).drop("pos")
+
+
 def lists(
-    events: DataFrame, requests: DataFrame, expiry_ms: int = EXPIRY_MS, kept: int = KEPT, hot: HotKeys | None = HotKeys()
+    events: DataFrame,
+    requests: DataFrame,
+    expiry_ms: int = EXPIRY_MS,
+    kept: int = KEPT,
+    hot: HotKeys | None = HotKeys(),
+    clears: DataFrame | None = None,
 ) -> DataFrame:
     """``(request_id, kind, tokens)`` for the lists a request finds alive; ``tokens`` is oldest first.
 
     ``requests`` has ``request_id, project_id, session_id, ts_ms, take`` with ``take`` the number of tokens wanted.
     The list history is stored in blocks of ``kept`` tokens; a request reads its own block and the one before, so no
     request ever touches a whole session.
+
+    ``clears`` has ``project_id, session_id, ts_ms``: at that time both lists are emptied, of what that very millisecond added as well.
+    What is added later begins new lists.
     """
+    keys = _KEYS
     steps = _kept_steps(events)
     asks = requests.selectExpr(
         "project_id",
@@ -50,23 +69,28 @@ def lists(
         f"cast(least(take, {int(kept)}) AS bigint) AS take",
     )
     both = steps.drop("x").withColumn("take", F.lit(None).cast("bigint")).unionByName(asks)
-    busiest = busiest_keys(both, _KEYS, hot)
+    if clears is not None:
+        keys = [*_KEYS, "epoch"]
+        steps = _since_clears(steps, clears, "ts_ms")
+        # a request at the time of a clear finds the lists empty
+        both = _since_clears(both, clears, "if(take IS NULL, ts_ms, ts_ms + 1)")
+    busiest = busiest_keys(both, keys, hot)
     blocks = gap_chains(
         steps,
-        _KEYS,
+        keys,
         "ts_ms",
         f"ts_ms + {int(expiry_ms)}",
         "row_id",
         hot=hot,
         busiest=busiest,
-        then=lambda part: part.groupBy(*_KEYS, "chain_start", F.expr(f"(chain_seq - 1) div {int(kept)} AS block")).agg(
+        then=lambda part: part.groupBy(*keys, "chain_start", F.expr(f"(chain_seq - 1) div {int(kept)} AS block")).agg(
             F.expr("sort_array(collect_list(named_struct('seq', chain_seq, 'x', x))) AS held")
         ),
     )
     # a request neither extends a list (its end is its own time) nor counts as a step (weight 0)
     placed = gap_chains(
         both,
-        _KEYS,
+        keys,
         "ts_ms",
         f"CASE WHEN take IS NULL THEN ts_ms + {int(expiry_ms)} ELSE ts_ms END",
         "row_id",
@@ -78,14 +102,14 @@ def lists(
     )
     wanted = placed.selectExpr(
         "row_id AS request_id",
-        *_KEYS,
+        *keys,
         "chain_start",
         "chain_seq",
         "take",
         f"""explode(sequence(greatest(chain_seq - take, 0) div {int(kept)}, (chain_seq - 1) div {int(kept)})) AS block""",
     )
     return (
-        wanted.join(blocks, [*_KEYS, "chain_start", "block"])
+        wanted.join(blocks, [*keys, "chain_start", "block"])
         .selectExpr(
             "request_id", "kind", "filter(held, h -> h.seq <= chain_seq AND h.seq > chain_seq - take) AS part"
         )
@@ -94,6 +118,11 @@ def lists(
     )
 
 
+def dump(events: DataFrame, requests: DataFrame, expiry_ms: int = EXPIRY_MS, kept: int = KEPT, clears: DataFrame | None = None) -> DataFrame:
+    """All that is kept in both lists of a session at the time of a request ``(request_id, project_id, session_id, ts_ms)``."""
+    return lists(events, requests.withColumn("take", F.lit(kept)), expiry_ms, kept, clears=clears)
+
+
 def request_states() -> str:
     """Tokens of the states sent along, up to the first with a bad type; later ones become blank and match nothing."""
     bad = "array_position(transform(states, s -> coalesce(s.type, '') NOT IN ('event', 'atr', 'goal', 'act')), true)"

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from liftloom.config import SessionSettings
 from liftloom.functions.tokens import ALL, EVENT_TOTAL, NO_ACTION, SESSION_TOTAL, rec_key
 from liftloom.operators.conversion import FAMILIES, leaf_counts, sliced_steps, steps
-from liftloom.operators.sessions import session_rows
+from liftloom.operators.scans import before
+from liftloom.operators.sessions import SESSION_KEYS, session_rows
+from liftloom.session import written
 
 KEY = ["goal", "action", "leaf"]
 
@@ -75,18 +77,33 @@ def distribution(counts: DataFrame) -> DataFrame:
 def window_counts(counts: DataFrame, spans: DataFrame) -> DataFrame:
     """Counts summed over day spans.
 
-    ``spans`` holds ``(project_id, start_day, end_day)``, both days included; one that ends before it starts has no counts. Each different span is opened into its days
-    once, so the join is an equi-join on (project, day): it prunes day partitions of a stored table, and a project with
-    very many counts is spread by day.
+    ``spans`` holds ``(project_id, start_day, end_day)``, both days included; one that ends before it starts has no counts. The
+    counts of a key before a day are looked up at the two ends of a span, so a count is not repeated for every span that covers its day.
     """
-    days = (
-        spans.select("project_id", "start_day", "end_day")
-        .where("start_day <= end_day")
-        .distinct()
-        .withColumn("day", F.explode(F.sequence("start_day", "end_day")))
-    )
+    ends = spans.select("project_id", "start_day", "end_day").where("start_day <= end_day").distinct()
+    ends = ends.selectExpr("*", "cast(unix_date(start_day) AS bigint) AS low", "cast(unix_date(end_day) + 1 AS bigint) AS high")
+    key = ["project_id", *KEY]
+    entries = counts.selectExpr(*key, "cast(unix_date(day) AS bigint) AS pos", "n")
+    keys = entries.groupBy(*key).agg(F.min("pos").alias("first"))
+    asked = ends.selectExpr("project_id", "explode(array(low, high)) AS pos").distinct().join(keys, "project_id").where("first < pos")
+    upto = before(entries, asked.select(*key, "pos"), key, {"upto": "n"}, None)
+    high = upto.withColumnsRenamed({"pos": "high", "upto": "more"}).join(ends, ["project_id", "high"])
+    low = upto.withColumnsRenamed({"pos": "low", "upto": "less"})
     return (
-        counts.join(days, ["project_id", "day"])
-        .groupBy("project_id", "start_day", "end_day", *KEY)
-        .agg(F.sum("n").alias("n"))
+        high.join(low, [*key, "low"], "left")
+        .selectExpr("project_id", "start_day", "end_day", *KEY, "more - coalesce(less, 0L) AS n")
+        .where("n <> 0")
     )
+
+
+def with_new_events(stored: DataFrame, events: DataFrame, new: DataFrame, settings: SessionSettings) -> DataFrame:
+    """Stored daily counts of ``events``, kept up with ``new`` ones.
+
+    Only sessions of keys that the new events touch are counted, once without and once with them: the difference is added, so a session that grows,
+    merges with the next or moves to another day takes its old counts with it.
+    """
+    touched = written(new.select(*SESSION_KEYS).distinct(), "touched")
+    old = written(events.join(touched, SESSION_KEYS, "left_semi"), "touched_events")
+    taken = daily_counts(old, settings).withColumn("n", -F.col("n"))
+    added = daily_counts(old.unionByName(new.select(*old.columns)), settings)
+    return merge_counts(stored.unionByName(taken).unionByName(added)).where("n <> 0")

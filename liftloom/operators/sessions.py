@@ -28,13 +28,13 @@ def route(events: DataFrame, settings: SessionSettings) -> DataFrame:
     )
 
 
-def session_window(ts: str = "ts_ms") -> Column:
-    """The session window of a routed row.
+def session_window(time: str = "timestamp_millis(ts_ms)") -> Column:
+    """The session window of a routed row; ``time`` is its timestamp.
 
     A pause of exactly the gap starts a new session. Spark's window would still join it, hence the gap less 1 ms.
     """
     return F.expr(
-        f"session_window(timestamp_millis({ts}), make_interval(0, 0, 0, 0, 0, 0, cast((gap_ms - 1) / 1000 AS decimal(18, 6))))"
+        f"session_window({time}, make_interval(0, 0, 0, 0, 0, 0, cast((gap_ms - 1) / 1000 AS decimal(18, 6))))"
     )
 
 

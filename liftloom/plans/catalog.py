@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftloom.config import SessionSettings, parse_gaps
+from liftloom.functions import ordering
 from liftloom.functions.ordering import rank_within
 from liftloom.functions.tokens import ALL, NO_ACTION, SESSION_TOTAL
 from liftloom.operators import actions, admission, context, conversion, counts, policies, scoring, sessions
@@ -90,6 +91,30 @@ def session_list(spark: SparkSession, folder: str) -> DataFrame:
     return sessions.sessions(_events(spark, folder), SETTINGS)
 
 
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of which every third has the other setting than its session."""
+    other = "CASE WHEN event_id % 3 = 0 THEN CASE session_conf WHEN 'lab' THEN 'standard' ELSE 'lab' END ELSE session_conf END"
+    return _events(spark, folder).withColumn("session_conf", F.expr(other))
+
+
+def mixed_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions whose rows have several settings: windows of different gaps that overlap are one session."""
+    return sessions.sessions(_mixed(spark, folder), SETTINGS)
+
+
+def mixed_session_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return sessions.session_rows(_mixed(spark, folder), SETTINGS).select("event_id", "session_start", "place", "run_end")
+
+
+def admitted_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """From the request log to sessions: requests are let in by their project, and its setting is that of their events."""
+    projects = spark.createDataFrame(fixtures.PROJECT_ROWS, PROJECTS)
+    keys = spark.createDataFrame(fixtures.PROJECT_KEY_ROWS, PROJECT_KEYS)
+    log = fixtures.pulse_log(_events(spark, folder)).withColumn("api_key", F.expr("CASE WHEN request_id % 5 < 3 THEN 'k-open' END"))
+    let_in = pulses.admitted(log, projects, keys)
+    return sessions.sessions(pulses.accepted_events(pulses.check_requests(pulses.decode_bodies(let_in))), SETTINGS)
+
+
 def session_panes(spark: SparkSession, folder: str) -> DataFrame:
     small = SessionSettings(gaps=SETTINGS.gaps, local_hint_ms=SETTINGS.local_hint_ms, pane_rows=3)
     return sessions.session_rows(_events(spark, folder), small).select(
@@ -185,6 +210,23 @@ def flat_view(spark: SparkSession, folder: str) -> DataFrame:
     return counts_store.flat_view(counts_store.read_counts(spark, path))
 
 
+#: sessions whose counts come in a second micro-batch
+_SECOND = "cast(substr(session_id, 2) AS bigint) % 7 = 3"
+
+
+def stored_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """Two refreshes of the stored totals: the second brings sessions for all days, of which days ended four hours before the first's mark are sealed."""
+    events = _events(spark, folder)
+    base = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}"
+    first, second = events.where(f"NOT ({_SECOND})"), events.where(_SECOND)
+    mark = first.agg(F.max("ts_ms")).first()[0]
+    for batch_id, part in enumerate((first, second)):
+        counts_store.write_increment(counts.daily_counts(part, SETTINGS), f"{base}/increments", batch_id)
+        counts_store.refresh(spark, f"{base}/increments", f"{base}/store", mark)
+    totals = _flat(counts_store.read_counts(spark, f"{base}/store")).withColumn("kind", F.lit("total"))
+    return totals.unionByName(_flat(counts_store.read_corrections(spark, f"{base}/store")).withColumn("kind", F.lit("correction")))
+
+
 def outcome_tally(spark: SparkSession, folder: str) -> DataFrame:
     """Successes and total of a yes/no outcome per key: did the event carry a label."""
     marked = _events(spark, folder).selectExpr("project_id", "event_name", "label <> '' AS hit")
@@ -213,6 +255,22 @@ def context_states(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _listed(spark: SparkSession, folder: str, clears: DataFrame | None) -> DataFrame:
+    found = context.dump(_events(spark, folder), _requests(spark, folder), EXPIRY_MS, KEPT, clears)
+    return found.selectExpr("request_id", "kind", "concat_ws(',', tokens) AS tokens")
+
+
+def list_dump(spark: SparkSession, folder: str) -> DataFrame:
+    """Both lists, as a whole, at the time of every request."""
+    return _listed(spark, folder, None)
+
+
+def list_clear(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where some events clear the lists of their session."""
+    clears = _events(spark, folder).where("event_id % 20 = 9").select("project_id", "session_id", "ts_ms")
+    return _listed(spark, folder, clears)
+
+
 def _merged(spark: SparkSession, folder: str) -> DataFrame:
     return context.merged_states(_events(spark, folder), _requests(spark, folder), EXPIRY_MS, KEPT)
 
@@ -269,6 +327,14 @@ def predict(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("probability", F.round("probability", 6))
 
 
+def predict_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same scores from stored counts: only the days that some request looks at are read."""
+    _, path = _store(spark, folder)
+    asked = _requests(spark, folder)
+    held = counts_store.read_spans(spark, path, scoring.valid_predicts(asked).selectExpr("project_id", *scoring.day_span(scoring.PREDICT_DAYS)))
+    return scoring.predict(asked, _states(spark, folder), held).withColumn("probability", F.round("probability", 6))
+
+
 def predict_detail(spark: SparkSession, folder: str) -> DataFrame:
     rows = scoring.predict_rows(_requests(spark, folder), _states(spark, folder), _counts(spark, folder))
     return scoring.score_detail(rows).drop("action").selectExpr(
@@ -335,8 +401,41 @@ def decision_feedback(spark: SparkSession, folder: str) -> DataFrame:
     return actions.feedback_events(_requests(spark, folder), _decisions(spark, folder))
 
 
+def decision_recount(spark: SparkSession, folder: str) -> DataFrame:
+    """The closed loop: decisions become events, and the counts of the sessions they fall into are brought up to date."""
+    events, asked = _events(spark, folder), _requests(spark, folder)
+    counted = written(counts.daily_counts(events, SETTINGS), "counts")
+    decided = actions.decide(asked, _states(spark, folder), counted, keep_ms=EXPIRY_MS)
+    made = written(actions.feedback_events(asked, decided), "made")
+    return _flat(counts.with_new_events(counted, events, made, SETTINGS))
+
+
+def tokens_by_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The different names of events in text order, with their places in it and in order of length."""
+    names = _events(spark, folder).select("event_name").distinct()
+    placed = "cast(monotonically_increasing_id() AS bigint)"
+    by_text = ordering.by_text(names, "event_name").coalesce(1).selectExpr("event_name", f"{placed} AS text_place")
+    by_length = ordering.by_byte_length(names, "event_name").coalesce(1).selectExpr("event_name", f"{placed} AS length_place")
+    return by_text.join(by_length, "event_name")
+
+
+def published_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Events published as messages, read from their folder, and made sessions of."""
+    queue = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    pulses.publish(_events(spark, folder), queue)
+    return sessions.sessions(pulses.split_messages(pulses.read_messages(spark, queue))[0], SETTINGS)
+
+
 # streams
 
+#: rows that come after all others
+_HELD_BACK = "event_id % 50 = 7"
+
+
+def stream_late_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event once, and whether it came too late for the stream."""
+    return jobs.drained_gate(tune(spark), folder, SETTINGS, _HELD_BACK)
+
 
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     return jobs.drained_sessions(tune(spark), folder, SETTINGS)
@@ -389,4 +488,15 @@ QUERIES: dict[str, Query] = {
     "decision_feedback": decision_feedback,
     "stream_sessions": stream_sessions,
     "stream_daily_counts": stream_daily_counts,
+    "stream_late_rows": stream_late_rows,
+    "stored_refresh": stored_refresh,
+    "predict_stored": predict_stored,
+    "decision_recount": decision_recount,
+    "mixed_sessions": mixed_sessions,
+    "mixed_session_rows": mixed_session_rows,
+    "admitted_sessions": admitted_sessions,
+    "published_sessions": published_sessions,
+    "tokens_by_text": tokens_by_text,
+    "list_dump": list_dump,
+    "list_clear": list_clear,
 }

@@ -423,11 +423,61 @@ def _merged_users(users: int) -> str:
         259200000 AS gap_ms) FROM ({STEPS['ev']})"""
 
 
+_OTHER = "CASE WHEN event_id % 3 = 0 THEN CASE session_conf WHEN 'lab' THEN 'standard' ELSE 'lab' END ELSE session_conf END"
+_MIXED = f"""SELECT * REPLACE (CASE {_OTHER} WHEN 'lab' THEN {GAP['lab']} ELSE {GAP['standard']} END AS gap_ms) FROM ({STEPS['ev']})"""
+FINAL["mixed_sessions"] = "SELECT * FROM session_list"
+FINAL["mixed_session_rows"] = "SELECT event_id, session_start, place, run_end FROM rows_"
+
+# p0 is let in without a key, p1 with one that is not locked, p2 is deleted
+_ADMITTED = f"""SELECT event_id, project_id, session_id, event_type, event_name, value, label, hint, ts_ms,
+    CASE project_id WHEN 'p1' THEN {GAP['lab']} ELSE {GAP['standard']} END AS gap_ms FROM ({FINAL['ingest_validate']})
+    WHERE project_id = 'p0' OR (project_id = 'p1' AND (event_id // 32) % 5 < 3)"""
+FINAL["admitted_sessions"] = "SELECT * FROM session_list"
+FINAL["published_sessions"] = "SELECT * FROM session_list"
+FINAL["tokens_by_text"] = """SELECT event_name, row_number() OVER (ORDER BY event_name) - 1 AS text_place,
+    row_number() OVER (ORDER BY length(event_name), event_name) - 1 AS length_place FROM (SELECT DISTINCT event_name FROM ev)"""
+FINAL["list_dump"] = "SELECT request_id, kind, string_agg(x, ',' ORDER BY back DESC) AS tokens FROM alive GROUP BY request_id, kind"
+FINAL["list_clear"] = FINAL["list_dump"]
+_CLEARED = """ AND NOT EXISTS (SELECT 1 FROM ev c WHERE c.event_id % 20 = 9 AND c.project_id = r.project_id
+    AND c.session_id = r.session_id AND c.ts_ms >= s.ts_ms AND c.ts_ms <= r.ts_ms) WINDOW"""
+FINAL["predict_stored"] = FINAL["predict"]
+FINAL["stream_late_rows"] = """SELECT event_id, project_id, session_id, ts_ms, event_id % 50 = 7 AND ts_ms + gap_ms - 1 <=
+    (SELECT max(ts_ms) - 60000 FROM ev WHERE event_id % 50 <> 7) AS late FROM ev"""
+
+# sessions of the second micro-batch are counted apart, under project ids of their own
+_SECOND = "CAST(substr(session_id, 2) AS BIGINT) % 7 = 3"
+_APART = f"SELECT * REPLACE (CASE WHEN {_SECOND} THEN project_id || '+' ELSE project_id END AS project_id) FROM ({STEPS['ev']})"
+STEPS["sealed_parts"] = f"""SELECT rtrim(project_id, '+') AS project_id, day, goal, action, leaf, n,
+    CASE WHEN ends_with(project_id, '+') AND epoch_ms(CAST(day + 1 AS TIMESTAMP)) + 14400000 <= (
+        SELECT max(ts_ms) FROM ev WHERE NOT ({_SECOND})) THEN 'correction' ELSE 'total' END AS kind FROM all_counts"""
+STEPS["sealed_counts"] = "SELECT project_id, day, goal, action, leaf, kind, CAST(sum(n) AS BIGINT) AS n FROM sealed_parts GROUP BY ALL"
+FINAL["stored_refresh"] = _keyed("sealed_counts").replace("n AS total", "n AS total, kind")
+
+
+def _again(text: str) -> str:
+    """The steps from events to counts once more, over other events."""
+    return re.sub(r"\b(FROM|JOIN)(\s+)(ev|ended|numbered|placed|rows_|goals|acts|\w+_leaves|all_counts)\b", r"\1\2\3_again", text)
+
+
+for _name in ("ended", "numbered", "placed", "rows_", "goals", "acts", "all_leaves", "all_counts", *(f"{f}_leaves" for f in ("event", "session", "goal", "action", "goal_action"))):
+    STEPS[f"{_name}_again"] = _again(STEPS[_name])
+STEPS["ev_again"] = f"""SELECT event_id, project_id, session_id, event_type, event_name, label, hint, ts_ms, gap_ms FROM ev
+    UNION ALL SELECT event_id, project_id, session_id, event_type, event_name, label, hint, ts_ms,
+    CASE session_conf WHEN 'lab' THEN {GAP['lab']} ELSE {GAP['standard']} END FROM ({FINAL['decision_feedback']})"""
+FINAL["decision_recount"] = _keyed("all_counts_again")
+
+
 # steps that differ for some queries
 VARIANTS = {
     "daily_counts_paned": {"rows_": STEPS["rows_of_three"]},
     "long_session_counts": {"ev": _merged_users(5)},
     "long_session_goal_actions": {"ev": _merged_users(30)},
+    "list_clear": {"asked": re.sub(r"\s+WINDOW", _CLEARED, STEPS["asked"])},
+    "mixed_sessions": {"ev": _MIXED},
+    "mixed_session_rows": {"ev": _MIXED},
+    "stored_refresh": {"ev": _APART},
+    # the steps of ingest read the events as they are
+    "admitted_sessions": {"ended": STEPS["ended"].replace("FROM ev", f"FROM ({_ADMITTED})")},
 }
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +67,80 @@ def write_increment(counts: DataFrame, path: str, batch_id: int) -> None:
 def read_increments(spark: SparkSession, path: str) -> DataFrame:
     """Running daily totals over all micro-batches so far."""
     return merge_counts(spark.read.schema(COUNTS).option("basePath", path).parquet(f"{path}/batch_id=*"))
+
+
+# Fixed value: how long after its end a day still takes increments up.
+DAY_LATENESS_MS = 4 * 3_600_000
+
+_LEDGER = "refresh bigint, through bigint, mark_ms bigint"
+
+
+def _ledger(spark: SparkSession, store: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_LEDGER).parquet(f"{store}-ledger/of=*")
+    except AnalysisException:
+        return None
+
+
+def refresh(spark: SparkSession, increments: str, store: str, mark_ms: int | None = None) -> None:
+    """Add micro-batches that are new to the stored running totals. Only their days are rewritten, once each.
+
+    :param mark_ms: up to when the stream is known to be complete. From the next refresh on, days that ended four hours or more before are
+        sealed: increments of sealed days are kept apart, for :func:`read_corrections`, and change no total.
+
+    A ledger next to the store says through which micro-batch and mark it goes, so older increments are not read again. Each day also carries the
+    micro-batch it goes through: after a crash between two steps the refresh is run once more, and days that were written take nothing twice.
+    """
+    ledger = _ledger(spark, store)
+    last = None if ledger is None else ledger.orderBy(F.col("refresh").desc()).first()
+    number, through, sealed_by = (last.refresh + 1, last.through, last.mark_ms) if last else (0, -1, None)
+    # the folder of a batch is its id, so older ones are not listed for reading
+    try:
+        fresh = spark.read.schema(f"{_COLUMNS}, batch_id bigint").option("basePath", increments).parquet(f"{increments}/batch_id=*")
+    except AnalysisException:
+        return
+    fresh = fresh.where(F.col("batch_id") > through)
+    newest = fresh.agg(F.max("batch_id")).first()[0]
+    sealed = F.lit(False)
+    if sealed_by is not None:
+        day_end = (F.unix_date("day") + 1).cast("bigint") * 86_400_000
+        sealed = day_end + DAY_LATENESS_MS <= F.lit(sealed_by)
+    if newest is not None:
+        late = merge_counts(fresh.where(sealed))
+        late.write.mode("overwrite").parquet(f"{store}-corrections/after={through}")
+        _add(spark, fresh.where(~sealed), store, newest)
+    marks = [m for m in (sealed_by, mark_ms) if m is not None]
+    row = [(number, through if newest is None else newest, max(marks) if marks else None)]
+    spark.createDataFrame(row, _LEDGER).write.mode("overwrite").parquet(f"{store}-ledger/of={number}")
+
+
+_COLUMNS = "project_id string, day date, goal string, action string, leaf string, n bigint"
+
+
+def _add(spark: SparkSession, fresh: DataFrame, store: str, newest: int) -> None:
+    """Rewrite the days of ``fresh`` with its counts added, but for those that are in already."""
+    days = [r.day for r in fresh.select("day").distinct().collect()]
+    try:
+        held = spark.read.schema(f"{_COLUMNS}, through bigint").parquet(store).where(F.col("day").isin(days))
+    except AnalysisException:
+        held = spark.createDataFrame([], f"{_COLUMNS}, through bigint")
+    done = held.groupBy("day").agg(F.max("through").alias("done"))
+    added = fresh.join(F.broadcast(done), "day", "left").where("done IS NULL OR batch_id > done").select(*COUNTS.fieldNames())
+    totals = merge_counts(held.select(*COUNTS.fieldNames()).unionByName(added))
+    # a day is read while it is rewritten, so its new rows are complete before
+    write_days(written(totals.withColumn("through", F.lit(newest).cast("bigint")), "totals"), store)
+
+
+def read_corrections(spark: SparkSession, store: str) -> DataFrame:
+    """Counts that came after their day was sealed."""
+    return merge_counts(spark.read.schema(COUNTS).parquet(f"{store}-corrections/after=*"))
+
+
+def read_spans(spark: SparkSession, path: str, spans: DataFrame) -> DataFrame:
+    """The days from the first to the last that ``spans`` (``project_id, start_day, end_day``) ask for, and their projects only.
+
+    Two dates are read from ``spans``, so that other day folders are not even listed; projects are a semi join.
+    """
+    first = spans.where("start_day <= end_day").agg(F.min("start_day"), F.max("end_day")).first()
+    held = read_counts(spark, path).where(F.col("day").between(F.lit(first[0]).cast("date"), F.lit(first[1]).cast("date")))
+    return held.join(spans.select("project_id").distinct(), "project_id", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from liftloom.operators.admission import admit
 from liftloom.functions.tokens import CLIENT_TYPES
 from liftloom.schemas import ACTION_BODY, EVENT_MESSAGE, PREDICT_BODY, PULSE_BODY
 
@@ -128,6 +129,15 @@ def accepted_events(checked: DataFrame) -> DataFrame:
     )
 
 
+def admitted(log: DataFrame, projects: DataFrame, project_keys: DataFrame) -> DataFrame:
+    """Requests of the log that the pulse API lets in (``api_key`` next to the columns of the log), with the session setting of their project.
+
+    The setting that a request came with counts for nothing, so all jobs below ingest take the gap that the project table names.
+    """
+    known = admit(log.drop("session_conf").withColumn("api", F.lit("pulse")), projects, project_keys)
+    return known.where("status = 200").drop("api", "api_key", "status")
+
+
 def rejects(checked: DataFrame) -> DataFrame:
     """One row per refused request (``idx`` null) or per request cut short (``idx`` of its first bad event)."""
     return checked.where("request_reason IS NOT NULL OR first_bad > 0").selectExpr(

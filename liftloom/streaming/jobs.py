@@ -11,15 +11,14 @@ from pyspark.sql.streaming import StreamingQuery
 from liftloom.config import SessionSettings
 from liftloom.operators.conversion import leaf_counts, steps
 from liftloom.operators.counts import with_event_totals
-from liftloom.operators.sessions import SESSION_KEYS
-from liftloom.session import shared_folder
+from liftloom.session import shared_folder, written
 from liftloom.sources import fixtures
-from liftloom.sources.counts_store import read_increments, write_days, write_increment
-from liftloom.streaming.panes import REFRESH, stream_panes
+from liftloom.sources.counts_store import read_increments, refresh, write_increment
+from liftloom.streaming.panes import REFRESH, ended_rows, ended_sessions, gate, rows_of
 
 
-def _start(panes: DataFrame, write, checkpoint: str, drain: bool) -> StreamingQuery:
-    writer = panes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+def _start(rows: DataFrame, write, checkpoint: str, drain: bool) -> StreamingQuery:
+    writer = rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=REFRESH)
     return writer.start()
 
@@ -30,28 +29,29 @@ def start_counts(events: DataFrame, settings: SessionSettings, path: str, checkp
     A session that ends late simply adds to its day in a later increment.
     """
 
-    def write(panes: DataFrame, batch_id: int) -> None:
-        counts = with_event_totals(leaf_counts(steps(panes, int(settings.local_hint_ms)), settings))
-        write_increment(counts, path, batch_id)
+    def write(ended: DataFrame, batch_id: int) -> None:
+        # the state is read once; a micro-batch in which no session ends leaves no increment
+        ended = written(ended, "ended")
+        if ended.isEmpty():
+            return
+        prepared = steps(rows_of(ended, settings), int(settings.local_hint_ms))
+        write_increment(with_event_totals(leaf_counts(prepared, settings)), path, batch_id)
 
-    return _start(stream_panes(events, settings), write, checkpoint, drain)
+    return _start(ended_rows(events, settings), write, checkpoint, drain)
 
 
 def start_sessions(events: DataFrame, settings: SessionSettings, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
-    """Keep one row per session and pane under ``path``."""
+    """Keep one row per ended session under ``path``."""
 
-    def write(panes: DataFrame, batch_id: int) -> None:
-        parts = panes.groupBy(*SESSION_KEYS, "session_start", "pane").agg(
-            F.max("run_end").alias("end_ms"), F.count(F.lit(1)).alias("n_events"), F.max("closed").alias("closed")
-        )
-        parts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def write(ended: DataFrame, batch_id: int) -> None:
+        ended.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _start(stream_panes(events, settings), write, checkpoint, drain)
+    return _start(ended_sessions(events, settings), write, checkpoint, drain)
 
 
-def compact(spark: SparkSession, increments: str, store: str) -> None:
-    """Write the running totals into the day folders of the stored counts, each day as a whole."""
-    write_days(read_increments(spark, increments), store)
+def compact(spark: SparkSession, increments: str, store: str, mark_ms: int | None = None) -> None:
+    """Add the increments that are new to the running totals in the day folders; see :func:`refresh`."""
+    refresh(spark, increments, store, mark_ms)
 
 
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,15 +77,8 @@ def drained_sessions(spark: SparkSession, folder: str, settings: SessionSettings
     """Run the test table through the session stream."""
     out, checkpoint = _fresh(spark, "sessions")
     start_sessions(_event_stream(spark, folder), settings, out, checkpoint, drain=True).awaitTermination()
-    return (
-        spark.read.option("basePath", out)
-        .parquet(f"{out}/batch_id=*")
-        .groupBy(*SESSION_KEYS, F.col("session_start").alias("start_ms"))
-        .agg(F.max("end_ms").alias("end_ms"), F.sum("n_events").alias("n_events"), F.max("closed").alias("closed"))
-        .where("closed")
-        .drop("closed")
-        .where(F.col("project_id") != _CLOSING_PROJECT)
-    )
+    ended = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*").drop("batch_id").withColumnRenamed("session_start", "start_ms")
+    return ended.where(F.col("project_id") != _CLOSING_PROJECT)
 
 
 def drained_counts(spark: SparkSession, folder: str, settings: SessionSettings) -> DataFrame:
@@ -93,3 +86,16 @@ def drained_counts(spark: SparkSession, folder: str, settings: SessionSettings)
     out, checkpoint = _fresh(spark, "counts")
     start_counts(_event_stream(spark, folder), settings, out, checkpoint, drain=True).awaitTermination()
     return read_increments(spark, out).where(F.col("project_id") != _CLOSING_PROJECT)
+
+
+def drained_gate(spark: SparkSession, folder: str, settings: SessionSettings, held_back: str) -> DataFrame:
+    """Run the test table through the gate, the rows of ``held_back`` (an SQL condition) after all others; rows with ``late``."""
+    out, checkpoint = _fresh(spark, "gate")
+    queue = f"{out}-queue"
+    for condition in (f"NOT ({held_back})", held_back):
+        fixtures.load_raw(spark, folder).where(condition).write.mode("append").parquet(queue)
+        arriving = fixtures.canonical(spark.readStream.schema(fixtures.EVENTS_TABLE).parquet(queue))
+        gate(arriving, settings, out, checkpoint, drain=True).awaitTermination()
+    return spark.read.option("basePath", out).parquet(f"{out}/rows/batch_id=*/late=*").select(
+        "event_id", "project_id", "session_id", "ts_ms", F.col("late").cast("boolean").alias("late")
+    )

@@ -1,119 +1,93 @@
-"""Sessions of a stream, pane by pane.
+"""Sessions of a stream, in Spark's own session windows and state store.
 
-Spark's own session window gives a session out only when it has ended, holding all its rows until then. Where
-panes are asked for, a pane leaves once its rows are final and a further row has come, so that state per session stays at
-one open pane plus the rows the watermark has not passed. The panes are those of the batch job: rows are taken up in order
-of time, and only once the watermark has passed them.
+A session leaves once the watermark has passed its end. Rows that come too late are told apart before that by :func:`gate`,
+as the session window drops them without a trace.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from liftloom.config import SessionSettings
-from liftloom.operators.sessions import SESSION_KEYS, route
+from liftloom.operators.sessions import SESSION_KEYS, route, session_window
+from liftloom.schemas import EVENTS
 
 # How late an event may come, and how often counts are refreshed.
 LATENESS = "1 minute"
+LATENESS_MS = 60_000
 REFRESH = "1 minute"
 
-_ROW = {
-    "event_id": "bigint",
-    "ts_ms": "bigint",
-    "gap_ms": "bigint",
-    "event_type": "string",
-    "event_name": "string",
-    "label": "string",
-    "hint": "string",
-}
-_ROW_FIELDS = list(_ROW)
-_STATE = "start bigint, end bigint, seq bigint, open_rows bigint, " + ", ".join(f"{c} array<{t}>" for c, t in _ROW.items())
-_OUT = (
-    "project_id string, session_id string, "
-    + ", ".join(f"{c} {t}" for c, t in _ROW.items())
-    + ", session_start bigint, pane bigint, place int, run_end bigint, closed boolean"
-)
-
-
-def _advance(pane_rows: int | None):
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, end, seq, held = None, None, 0, []
-        open_rows = 0  # the first rows of ``held`` belong to the open pane, the others wait for the watermark
-        if state.exists:
-            start, end, seq, open_rows, *columns = state.get
-            held = list(zip(*columns))
-        pane, waiting = held[:open_rows], held[open_rows:]
-        if not state.hasTimedOut:
-            for batch in batches:
-                waiting.extend(batch[_ROW_FIELDS].itertuples(index=False, name=None))
-        passed = state.getCurrentWatermarkMs()
-        waiting.sort(key=lambda r: (r[1], r[0]))
-        out: list[tuple] = []
-
-        def give(closed: bool) -> None:
-            first = seq - len(pane)
-            run = None
-            for offset, r in enumerate(pane):
-                place = first + offset
-                # the latest end inside the pane; its last row carries the end of the whole session so far
-                run = end if offset == len(pane) - 1 else r[1] + r[2]
-                pane_of, place_in = divmod(place, pane_rows) if pane_rows else (0, place)
-                out.append((*key, *r, start, pane_of, place_in, run - 1, closed))
-            pane.clear()
-
-        done = 0
-        for row in waiting:
-            if row[1] > passed:
-                break
-            done += 1
-            if start is None or row[1] >= end:
-                if pane:
-                    give(closed=True)
-                start, end, seq = row[1], row[1] + row[2], 0
-            elif len(pane) == pane_rows:
-                give(closed=False)  # one row more follows it, so the last pane of a session is never empty
-            end = max(end, row[1] + row[2])
-            pane.append(row)
-            seq += 1
-        waiting = waiting[done:]
-        if start is not None and end - 1 <= passed:
-            give(closed=True)
-            start, end, seq = None, None, 0
-
-        if start is None and not waiting:
-            if state.exists:
-                state.remove()
-        else:
-            columns = list(map(list, zip(*(pane + waiting)))) or [[] for _ in _ROW_FIELDS]
-            state.update((start, end, seq, len(pane), *columns))
-            due = [end] if start is not None else []
-            due += [r[1] + r[2] for r in waiting[:1]]
-            state.setTimeoutTimestamp(max(min(due) - 1, passed + 1))
-        if out:
-            names = [*SESSION_KEYS, *_ROW_FIELDS, "session_start", "pane", "place", "run_end", "closed"]
-            yield pd.DataFrame(out, columns=names)
-
-    return advance
-
-
-def stream_panes(events: DataFrame, settings: SessionSettings) -> DataFrame:
-    """Streaming canonical events to complete panes, in the columns of the batch session rows.
-
-    ``closed`` marks the last pane of a session that has ended. All rows of a pane come in one
-    micro-batch.
+_ROW_FIELDS = ["event_id", "ts_ms", "gap_ms", "event_type", "event_name", "label", "hint"]
+
+
+def _windowed(events: DataFrame, settings: SessionSettings) -> DataFrame:
+    return route(events, settings).withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", LATENESS)
+
+
+def ended_sessions(events: DataFrame, settings: SessionSettings) -> DataFrame:
+    """Streaming canonical events to ended sessions, with start, end and number of rows; the state holds one count per session."""
+    counted = _windowed(events, settings).groupBy(*SESSION_KEYS, session_window("ts").alias("w")).agg(F.count(F.lit(1)).alias("n_events"))
+    return counted.selectExpr(*SESSION_KEYS, "unix_millis(w.start) AS session_start", "unix_millis(w.end) AS end_ms", "n_events")
+
+
+def ended_rows(events: DataFrame, settings: SessionSettings) -> DataFrame:
+    """Streaming canonical events to one row per ended session, with ``members``, its rows in any order. They are held as state."""
+    members = F.collect_list(F.struct(*_ROW_FIELDS)).alias("members")
+    held = _windowed(events, settings).groupBy(*SESSION_KEYS, session_window("ts").alias("w")).agg(members)
+    return held.selectExpr(*SESSION_KEYS, "unix_millis(w.start) AS session_start", "members")
+
+
+def rows_of(ended: DataFrame, settings: SessionSettings) -> DataFrame:
+    """Ended sessions of a micro-batch to the columns of the batch session rows."""
+    length = settings.pane_rows
+    pane, place = (f"seq div {length}", f"seq % {length}") if length else ("0L", "seq")
+    over = f"OVER (PARTITION BY {', '.join(SESSION_KEYS)}, session_start ORDER BY ts_ms, event_id"
+    rows = ended.selectExpr(*SESSION_KEYS, "session_start", "inline(members)").selectExpr(
+        "*", f"row_number() {over}) - 1 AS seq", f"max(ts_ms + gap_ms) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS run_end"
+    )
+    return rows.selectExpr("*", f"cast({pane} AS bigint) AS pane", f"cast({place} AS bigint) AS place").drop("seq")
+
+
+def _written_marks(spark: SparkSession, path: str, before_batch: int) -> int | None:
+    try:
+        marks = spark.read.schema("batch_id bigint, mark_ms bigint, accepted bigint, late bigint").parquet(f"{path}/marks")
+    except AnalysisException:
+        return None
+    return marks.where(F.col("batch_id") < before_batch).agg(F.max("mark_ms")).first()[0]
+
+
+def gate(events: DataFrame, settings: SessionSettings, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
+    """Tell late rows of a stream of canonical events apart: ``rows`` under ``path`` hold all routed rows of every micro-batch, by ``late``.
+
+    A row is late if its session, were it alone, would have ended by the watermark: a minute before the latest time that earlier
+    batches brought. Nothing is dropped: rows of both kinds together are the routed input. ``marks`` has the watermark after each batch and, as it was observed
+    while writing, how many rows were accepted and late. A replay of a batch overwrites what it wrote.
     """
-    return (
-        route(events, settings)
-        .withColumn("ts", F.timestamp_millis("ts_ms"))
-        .withWatermark("ts", LATENESS)
-        .select(*SESSION_KEYS, *_ROW_FIELDS, "ts")
-        .groupBy(*SESSION_KEYS)
-        .applyInPandasWithState(
-            _advance(settings.pane_rows), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        mark = _written_marks(spark, path, batch_id)
+        late = F.lit(False) if mark is None else F.col("ts_ms") + F.col("gap_ms") - 1 <= F.lit(mark)
+        seen = Observation(f"gate-{batch_id}")
+        flagged = route(batch, settings).withColumn("late", F.coalesce(late, F.lit(False)))
+        observed = flagged.observe(
+            seen, F.max("ts_ms").alias("latest"), F.expr("count_if(NOT late)").alias("accepted"), F.expr("count_if(late)").alias("late")
         )
-    )
+        observed.drop("gap_ms").write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch_id={batch_id}")
+        found = seen.get
+        latest = found["latest"] - LATENESS_MS if found["latest"] is not None else None
+        marks = [m for m in (mark, latest) if m is not None]
+        row = [(batch_id, max(marks) if marks else None, found["accepted"], found["late"])]
+        # one folder per batch, so that a replay overwrites it
+        spark.createDataFrame(row, "batch_id bigint, mark_ms bigint, accepted bigint, late bigint").write.mode("overwrite").parquet(f"{path}/marks/of={batch_id}")
+
+    writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=REFRESH)).start()
+
+
+def accepted_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that :func:`gate` accepted, as a stream."""
+    return spark.readStream.schema(EVENTS).parquet(f"{path}/rows/batch_id=*/late=false")

@@ -88,3 +88,67 @@ def test_replayed_increment_counts_once(spark, tmp_path):
     counts_store.write_increment(two, path, 1)
     counts_store.write_increment(two, path, 1)
     assert as_set(counts_store.read_increments(spark, path)) == as_set(counts.merge_counts(one.unionByName(two)))
+
+
+def test_refresh_reads_new_batches_only_and_replays_change_nothing(spark, tmp_path, monkeypatch):
+    increments, store = str(tmp_path / "increments"), str(tmp_path / "store")
+    one = sample(spark)
+    two = sample(spark).where(F.col("day") == D2)
+    counts_store.write_increment(one, increments, 0)
+    counts_store.refresh(spark, increments, store)
+    before = {p.name for p in (tmp_path / "store" / f"day={D1}").iterdir()}
+    counts_store.write_increment(two, increments, 1)
+    add = counts_store._add
+
+    def kept(session, fresh, *rest):
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(batch_id" in plan
+        add(session, fresh, *rest)
+
+    monkeypatch.setattr(counts_store, "_add", kept)
+    ledger = tmp_path / "store-ledger"
+    counts_store.refresh(spark, increments, store)
+    expected = as_set(counts.merge_counts(one.unionByName(two)))
+    assert as_set(counts_store.read_counts(spark, store)) == expected
+    # a day that nothing came for is left alone
+    assert {p.name for p in (tmp_path / "store" / f"day={D1}").iterdir()} == before
+    counts_store.refresh(spark, increments, store)
+    # as after a crash before the ledger was written: the batch is offered once more, and its days have it already
+    counts_store.write_increment(two, increments, 1)
+    spark.createDataFrame([(9, 0, None)], counts_store._LEDGER).write.parquet(str(ledger / "of=9"))
+    counts_store.refresh(spark, increments, store)
+    assert as_set(counts_store.read_counts(spark, store)) == expected
+
+
+def test_sealed_days_take_nothing(spark, tmp_path):
+    increments, store = str(tmp_path / "increments"), str(tmp_path / "store")
+    counts_store.write_increment(sample(spark), increments, 0)
+    end_of_second = (dt.datetime(2024, 1, 3, tzinfo=dt.timezone.utc).timestamp()) * 1000
+    counts_store.refresh(spark, increments, store, int(end_of_second) + counts_store.DAY_LATENESS_MS - 1)
+    more = spark.createDataFrame([("p", D1, "[AL]", "", "EVENT#a", 10), ("p", D2, "[AL]", "", "EVENT#a", 100)], COUNTS)
+    counts_store.write_increment(more, increments, 1)
+    counts_store.refresh(spark, increments, store)
+    assert as_set(counts_store.read_corrections(spark, store)) == [("p", D1, "[AL]", "", "EVENT#a", 10)]
+    added = sample(spark).unionByName(more.where(F.col("day") == D2))
+    assert as_set(counts_store.read_counts(spark, store)) == as_set(counts.merge_counts(added))
+
+
+def test_window_sums_look_up_two_ends(spark):
+    """Rows of the final join are at most twice the lookups, however many days a span has."""
+    many = spark.range(4000).selectExpr("'p' AS project_id", "date_add(date'2024-01-01', cast(id % 100 AS int)) AS day", "'[AL]' AS goal", "'' AS action",
+                                        "concat('EVENT#', id % 7) AS leaf", "1L AS n")
+    spans = spark.range(60).selectExpr("'p' AS project_id", "date_add(date'2024-01-01', cast(id AS int)) AS start_day", "date_add(date'2024-01-01', cast(id + 30 AS int)) AS end_day")
+    got = counts.window_counts(many, spans)
+    plain = many.join(spans, "project_id").where("day BETWEEN start_day AND end_day").groupBy("project_id", "start_day", "end_day", "goal", "action", "leaf").agg(F.sum("n"))
+    assert as_set(got) == as_set(plain)
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString() and "sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stored_scoring_reads_asked_days_only(spark, tmp_path):
+    path = str(tmp_path / "counts")
+    counts_store.write_days(sample(spark), path)
+    spans = spark.createDataFrame([("p", D2, D2), ("p", D3, D1)], "project_id string, start_day date, end_day date")
+    held = counts_store.read_spans(spark, path, spans)
+    assert {str(r.day) for r in held.collect()} == {str(D2)}
+    assert "PartitionFilters: [isnotnull(day" in held._jdf.queryExecution().executedPlan().toString()
+    assert counts_store.read_spans(spark, path, spans.where("start_day > end_day")).isEmpty()

@@ -42,9 +42,6 @@ def day_of_ms(ms: Column) -> Column:
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / F.lit(86_400_000)).cast("int"))
 
 
-def day_label(day: Column) -> Column:
-    return F.date_format(day, "yyyyMMdd")
-
 
 def hashed_uniform(seed: Column, salt: str) -> Column:
     """A repeatable draw from [0, 1): the first 32 bits of an MD5 over seed and salt."""

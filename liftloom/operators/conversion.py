@@ -103,6 +103,8 @@ def _weights(rows: DataFrame, goal: str, action: str, *parts: tuple[str, str]) -
 def _seen(prepared: DataFrame, weights: DataFrame, slot_rows: int | None) -> DataFrame:
     """Weights of places to counts of leaves."""
     merged = weights.groupBy(*_PANE, "day", "goal", "action", "pos").agg(F.sum("weight").alias("weight")).where("weight <> 0")
+    # read for the places and for the sums
+    merged = written(merged, "weights")
     rows = prepared.where("kind <> 'ATR'").selectExpr(*_PANE, "x AS leaf", "place AS pos")
     leaves = rows.groupBy(*_PANE, "leaf").agg(F.min("pos").alias("first"))
     asked = merged.select(*_PANE, "pos").distinct().join(leaves, _PANE).where("first < pos").drop("first")
@@ -212,7 +214,8 @@ def leaf_counts(prepared: DataFrame, settings: SessionSettings, families: frozen
         weights.append(_weights(pairs, "goal", "act", ("hi", "seen"), ("reach", "-from_marker"), ("near", "-from_near")))
         counted = pairs.where("later > 0").groupBy(*_PANE, "day", "goal", "act").agg(F.count(F.lit(1)).alias("many"), F.sum("later").alias("later"))
         sums.append(counted.selectExpr(*_PANE, "day", "goal", "act AS action", "many AS total", "later AS by_trait"))
-    together = _union(sums) if sums else None
+    # one row per pane and key; read for totals and for attributes
+    together = written(_union(sums), "together") if sums else None
     if families & {SESSION, ACTION, GOAL_ACTION}:
         parts.append(together.where("total > 0").selectExpr(*_KEY[:-1], f"{whole} AS leaf", "total AS n"))
     if weights:

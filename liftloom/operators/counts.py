@@ -83,10 +83,12 @@ def window_counts(counts: DataFrame, spans: DataFrame) -> DataFrame:
     ends = spans.select("project_id", "start_day", "end_day").where("start_day <= end_day").distinct()
     ends = ends.selectExpr("*", "cast(unix_date(start_day) AS bigint) AS low", "cast(unix_date(end_day) + 1 AS bigint) AS high")
     key = ["project_id", *KEY]
-    entries = counts.selectExpr(*key, "cast(unix_date(day) AS bigint) AS pos", "n")
+    # read for the keys and for the sums
+    entries = written(counts.selectExpr(*key, "cast(unix_date(day) AS bigint) AS pos", "n"), "entries")
     keys = entries.groupBy(*key).agg(F.min("pos").alias("first"))
     asked = ends.selectExpr("project_id", "explode(array(low, high)) AS pos").distinct().join(keys, "project_id").where("first < pos")
-    upto = before(entries, asked.select(*key, "pos"), key, {"upto": "n"}, None)
+    # read for both ends
+    upto = written(before(entries, asked.select(*key, "pos"), key, {"upto": "n"}, None), "upto")
     high = upto.withColumnsRenamed({"pos": "high", "upto": "more"}).join(ends, ["project_id", "high"])
     low = upto.withColumnsRenamed({"pos": "low", "upto": "less"})
     return (

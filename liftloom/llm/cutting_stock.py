@@ -4,8 +4,8 @@ Documents are tokenized, and cut into full sequences and a rest. The rests are c
 rows than a sequence has tokens, however many documents there are. Over it a linear program chooses how often to use each
 pattern, a set of lengths that fills a sequence exactly. Patterns are columns, made one at a time: a knapsack over the
 program's prices finds the pattern that would gain most. The rounded patterns are then dealt out to the documents, which
-carry a rank within their length, so no list of documents is ever gathered. Rests that no pattern takes are cut into pieces
-whose lengths are powers of two; laid in falling order they fill sequences exactly as well. Only what is left at the very
+carry a rank within their length, so no list of documents is ever gathered. Rests that no pattern takes, such as those of one length that many
+share, are laid end to end and cut where a sequence is full, so each is cut once at most. Only what is left at the very
 end falls short of a full sequence, and is split into sequences of lengths that are powers of two, which need no padding.
 
 Token ids are those of the vocabulary file with special strings parsed as its library does; id 0 ends each document.
@@ -87,18 +87,18 @@ def _powers(length: int) -> list[int]:
     return [1 << bit for bit in range(length.bit_length() - 1, -1, -1) if length >> bit & 1]
 
 
-_TOKENS = "doc_id long, digest string, doc_tokens long, full_crcs array<long>, rest int, rest_crc long, part_crcs array<long>"
+_TOKENS = "doc_id long, digest string, doc_tokens long, full_crcs array<long>, rest int, rest_crc long, rest_ids binary"
 
 
 def tokenized(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
-    """A row per document: its number of tokens, and checksums of its full pieces, its rest, and the rest's pieces."""
+    """A row per document: its number of tokens, and checksums of its full pieces and its rest, and the ids of the rest."""
     size, vocabulary = settings.tokens, settings.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for whole in batches:
             for batch in slices(whole, "text"):
-                totals, fulls, rests, rest_crcs, parts = [], [], [], [], []
+                totals, fulls, rests, rest_crcs, rest_ids = [], [], [], [], []
                 for text in batch.column("text").to_pylist():
                     ids = memoryview(encoder.ids(text or "")).cast("B")
                     total = len(ids) // 4
@@ -108,15 +108,11 @@ def tokenized(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataF
                     totals.append(total)
                     rests.append(total % size)
                     rest_crcs.append(zlib.crc32(rest))
-                    crcs, at = [], 0
-                    for power in _powers(total % size):
-                        crcs.append(zlib.crc32(rest[at * 4 : (at + power) * 4]))
-                        at += power
-                    parts.append(crcs)
+                    rest_ids.append(bytes(rest))
                 lists = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("digest"), pa.array(totals, pa.int64()), pa.array(fulls, lists), pa.array(rests, pa.int32()), pa.array(rest_crcs, pa.int64()), pa.array(parts, lists)],
-                    names=["doc_id", "digest", "doc_tokens", "full_crcs", "rest", "rest_crc", "part_crcs"],
+                    [batch.column("doc_id"), batch.column("digest"), pa.array(totals, pa.int64()), pa.array(fulls, lists), pa.array(rests, pa.int32()), pa.array(rest_crcs, pa.int64()), pa.array(rest_ids, pa.binary())],
+                    names=["doc_id", "digest", "doc_tokens", "full_crcs", "rest", "rest_crc", "rest_ids"],
                 )
 
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest")
@@ -259,7 +255,9 @@ def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
     """
     size = settings.tokens
     spark = docs.sparkSession
-    rows = written(tokenized(docs, settings), "tokens")
+    # rows are told apart by a number of their own, as ids may be null or repeated; ids of tokens are only read for rests that are cut
+    tokens = written(tokenized(docs, settings).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    rows = tokens.drop("rest_ids")
     counted = rows.groupBy("rest").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("full_crcs")).alias("fulls")).collect()  # a row per length
     histogram = {r["rest"]: r["docs"] for r in counted if r["rest"]}
     many = sum(r["docs"] for r in counted)
@@ -281,35 +279,34 @@ def pack(docs: DataFrame, settings: PackSettings = PackSettings()) -> DataFrame:
         f" if(base is null, array(), array(struct(cast(size(full_crcs) * {size} as long) as start, cast(rest as long) as length, rest_crc as ids_crc32,"
         f" {fulls} + base + floor((rank - lo) / each) as sequence_id, at + (rank - lo) % each * rest as offset)))))",
     )
-    powers = ", ".join(str(size >> n) for n in range(1, size.bit_length()))
-    parts = placed.where("base is null and rest > 0").selectExpr(
-        "doc_id",
-        "digest",
-        "doc_tokens",
-        f"cast(size(full_crcs) * {size} as long) as start",
-        f"posexplode(transform(filter(array({powers}), p -> (rest & p) > 0), (p, i) ->"
-        " struct(cast(p as long) as length, element_at(part_crcs, i + 1) as crc))) as (place, part)",
-        "rest",
+    loose = placed.where("base is null and rest > 0")
+    # rests end to end: cut where a sequence is full, and at the very end where a power of two is
+    total = loose.agg(F.sum("rest")).first()[0] or 0
+    laid = running_before(loose.select("row", "doc_id", "digest", "doc_tokens", "rest_crc", "rest"), [], "rest", [*order, "row"], many, "spot").drop("spot_all")
+    ends = [total - total % size]
+    for power in _powers(total % size):
+        ends.append(ends[-1] + power)
+    last = ", ".join(f"{end}L" for end in ends)
+    cuts = f"array_sort(array_distinct(filter(array(spot - spot % {size} + {size}, {last}), e -> e > spot and e < spot + rest and (e <= {ends[0]} or array_contains(array({last}), e)))))"
+    pieces = (
+        laid.selectExpr("*", f"{cuts} as cuts")
+        .selectExpr(
+            *["row", "doc_id", "doc_tokens", "rest", "spot"],
+            "inline(zip_with(concat(array(spot), cuts), concat(cuts, array(spot + rest)), (b, f) -> struct(b as begin, f as finish)))",
+        )
+        .selectExpr("*", f"{ends[0] // size} + size(filter(array({last}), e -> e <= begin)) - 1 as late")
+        .selectExpr(
+            "row",
+            "doc_id",
+            "doc_tokens",
+            "doc_tokens - rest + begin - spot as start",
+            "finish - begin as length",
+            "begin - spot as skip",
+            f"{fulls + patterned} + if(begin < {ends[0]}, begin div {size}, late) as sequence_id",
+            f"if(begin < {ends[0]}, begin % {size}, begin - array_max(filter(array({last}), e -> e <= begin))) as offset",
+        )
     )
-    # the pieces before one of length p are the rest's higher bits
-    parts = parts.selectExpr("doc_id", "digest", "doc_tokens", "start + (rest - rest % (2 * part.length)) as start", "part.length as length", "part.crc as ids_crc32")
-    amounts = {r["length"]: r["pieces"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("pieces")).collect()}  # a row per power
-    ranked = running_before(parts, ["length"], "1", ["digest", "doc_tokens", "ids_crc32"], sum(amounts.values()), "rank")
-    before, cases = 0, []
-    for length in sorted(amounts, reverse=True):
-        cases.append(f"when {length} then {before}L")
-        before += length * amounts[length]
-    tail_at = before - before % size
-    spot = f"case length {' '.join(cases)} end + rank * length" if cases else "0L"
-    at, ends = 0, []
-    for number, power in enumerate(_powers(before % size)):
-        ends.append(f"when spot < {tail_at + at + power} then struct({tail_at // size + number}L as sequence, spot - {tail_at + at} as offset)")
-        at += power
-    full = f"struct(spot div {size} as sequence, spot % {size} as offset)"
-    seat = f"case when spot < {tail_at} then {full} {' '.join(ends)} end"
-    cut = (
-        ranked.selectExpr("*", f"{spot} as spot")
-        .selectExpr("*", f"{seat} as seat")
-        .selectExpr("doc_id", "doc_tokens", "start", "length", "ids_crc32", f"{fulls + patterned} + seat.sequence as sequence_id", "seat.offset as offset")
+    cut = pieces.join(tokens.select("row", "rest_ids"), "row").selectExpr(
+        "doc_id", "doc_tokens", "start", "length", "crc32(substring(rest_ids, cast(4 * skip + 1 as int), cast(4 * length as int))) as ids_crc32", "sequence_id", "offset"
     )
     return whole.unionByName(cut).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shapes import ODD, documents, prose
 
 from liftloom.llm import curriculum, cutting_stock, url_rules
-from liftloom.llm.cutting_stock import choose_patterns, pack
+from liftloom.llm.cutting_stock import PackSettings, choose_patterns, pack
 from liftloom.llm.ranks import running_before
 
 
@@ -173,3 +173,33 @@ def test_native_plan(spark):
     pages = spark.createDataFrame([(1, "http://org/")], "page_id long, url string")
     plan = url_rules.judge(pages)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Exchange|Join", plan)
+
+
+@pytest.mark.parametrize("words", [63, 117])
+def test_rests_of_one_length_are_cut_once_at_most(spark, words):
+    """Many documents of one length that does not divide a sequence."""
+    settings = PackSettings(tokens=128)
+    rows = [(n, " a" * (words - 1)) for n in range(300)]
+    out = pack(documents(spark, rows), settings).collect()
+    assert {r.doc_tokens for r in out} == {words}
+    used = {}
+    for r in out:
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in used.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at & (at - 1) == 0 and at <= 128
+    assert sum(at < 128 for at in (sum(n for _, n in p) for p in used.values())) <= 7
+    by_doc = {}
+    for r in out:
+        by_doc.setdefault(r.doc_id, []).append(r)
+    encoder = cutting_stock._encoder(None)
+    for doc_id, pieces in by_doc.items():
+        ids, at = encoder.ids(rows[doc_id][1]), 0
+        for r in sorted(pieces, key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == words
+    assert len(out) <= 2 * 300 + 8

@@ -93,7 +93,7 @@ def base_spans(text: str) -> list[Span]:
             after = domain.end()
         at = text.find("@", max(at + 1, after))
     for match in _IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match.group().split(".")):
+        if all(len(part) <= 3 and int(part or "0") <= 255 for part in (part.lstrip("0") for part in match.group().split("."))):
             found.append(("ip", match.start(), match.end()))
     for match in _CARD.finditer(text):
         digits = _digits(match.group()) if match.end() - match.start() <= 60 else ""
@@ -191,10 +191,10 @@ def training_windows(texts: list[str], settings: PiiSettings) -> tuple[np.ndarra
 
 
 def train(docs: DataFrame, settings: PiiSettings = PiiSettings()) -> Tagger:
-    """A tagger from a bounded sample of the documents, chosen by hashed id. Reads ``doc_id`` and ``text``."""
+    """A tagger from a bounded sample of the documents, chosen by hashed id and text. Reads ``doc_id`` and ``text``."""
     count = docs.count()
     share = settings.sample_documents / max(count, 1)
-    chosen = docs.where(f"text is not null and pmod(xxhash64(doc_id, 'personal'), 1000000) < {share * 1000000}").select("text")
+    chosen = docs.where(f"text is not null and pmod(xxhash64(doc_id, text, 'personal'), 1000000) < {share * 1000000}").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -34,7 +34,7 @@ UNKNOWN = "und"
 class BloomSettings:
     """Bounds of training, and the size of the filter."""
 
-    #: documents of a language that n-grams are counted in, at most about this many (chosen by hashed id)
+    #: documents of a language that n-grams are counted in, at most about this many (chosen by hashed id and text)
     sample_per_language: int = 3000
     #: n-grams kept of a language: those in the most documents
     grams_per_language: int = 20_000
@@ -140,7 +140,7 @@ def train(labelled: DataFrame, settings: BloomSettings = BloomSettings()) -> Lan
     chosen = (
         named.select("doc_id", "lang", "text")
         .join(F.broadcast(shares), "lang")
-        .where("pmod(xxhash64(doc_id, 'language'), 1000000) < share * 1000000")
+        .where("pmod(xxhash64(doc_id, text, 'language'), 1000000) < share * 1000000")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -334,3 +334,17 @@ def test_windows_hold_what_they_are_said_to(seed):
         if text[begin] in template and sum(min(window.count(w), template.count(w)) for w in set(template)) >= 0.85 * 7:
             expected.append((begin, begin + len(window)))
     assert license_patience._windows(text, template, 0.85) == expected
+
+
+def test_leading_zeros_of_an_address_of_any_length():
+    text = "0" * 5000 + "1.2.3.4 and 1." + "0" * 5000 + "255.0.0 and 1.0256.1.1"
+    assert [span[0] for span in pii_crf.base_spans(text)] == ["ip", "ip"]
+
+
+def test_languages_are_learnt_from_rows_without_ids(spark):
+    """The sample is drawn by id and text, so rows without an id are not all in or out of it."""
+    words = {"aa": "alpha beta gamma delta", "bb": "omega sigma kappa theta"}
+    rows = [(None, f"{text} {n} {text.split()[n % 4]}", lang) for lang, text in words.items() for n in range(300)]
+    model = langid_bloom.train(documents(spark, rows), BloomSettings(sample_per_language=100))
+    judged = langid_bloom.predict(documents(spark, rows), model, added=("guess", "share")).select("lang", "guess").collect()
+    assert all(r.lang == r.guess for r in judged)

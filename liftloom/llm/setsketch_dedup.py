@@ -7,9 +7,10 @@ similarity, and full shingle sets decide.
 
 A bucket of documents that share a band is never turned into all its pairs. First each bucket tests its members against one
 of them. Then the components found so far are looked up, and only members outside the largest component of their bucket
-are compared with the other components' members. Of such pairs, those that look most alike for their two components are
-verified first, then more of them round by round, until each pair is verified or its ends are joined by a chain of confirmed
-links.
+are compared with the other components' members, by their shingles folded to 32 bits, inside the join: for sets of up to
+4,096 shingles that is a proof, larger ones are sampled by hash, so a pair that is no link hardly ever leaves the join. Of the
+pairs that do, those most alike for their two components are verified first, then more of them round by round, until each pair
+is verified or its ends are joined by a chain of confirmed links.
 
 Defined results: a null or empty text, or one of white space, has no shingles, stands alone and is kept; repeated rows and
 rows with equal sets form one class; a null ``doc_id`` never names a component unless its class has no other, and ``kept``
@@ -45,6 +46,8 @@ class SketchSettings:
     percent: int = 75
     #: pairs estimated this many standard deviations below the limit are not verified
     deviations: float = 5.0
+    #: sets of up to so many shingles are compared whole inside the join, larger ones by a sample of about this size
+    whole_set: int = 4096
     #: so many ids are sent to all tasks at most to pick the texts to verify
     broadcast_ids: int = 200_000
 
@@ -80,11 +83,11 @@ def sketch_of(members: np.ndarray, settings: SketchSettings) -> np.ndarray:
     return np.clip(steps + 64, 0, _TOP).astype(np.uint16)
 
 
-_SKETCHES = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary"
+_SKETCHES = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch binary"
 
 
 def sketches(docs: DataFrame, settings: SketchSettings) -> DataFrame:
-    """A row per document: size of its set, two digests that together identify the set, and the registers."""
+    """A row per document: a hash of its text, size of its set, two digests that together identify the set, and the registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -97,11 +100,15 @@ def sketches(docs: DataFrame, settings: SketchSettings) -> DataFrame:
                     second.append(two)
                     registers.append(sketch_of(members, settings).tobytes() if len(members) else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(registers, pa.binary())],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sketch"],
+                    [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(registers, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SKETCHES)
+    return _identified(docs).mapInArrow(run, _SKETCHES)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _digests(members: np.ndarray) -> tuple[int, int]:
@@ -111,7 +118,7 @@ def _digests(members: np.ndarray) -> tuple[int, int]:
 
 
 def _buckets(classes: DataFrame, settings: SketchSettings) -> DataFrame:
-    """A row per class and band: ``bucket``, ``cid`` and ``band``."""
+    """A row per class and band: ``bucket`` and ``cid``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,21 +130,34 @@ def _buckets(classes: DataFrame, settings: SketchSettings) -> DataFrame:
             for place in range(settings.band_registers):
                 keys = W.mixed(keys * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, place])
             ids = np.repeat(batch.column("cid").to_numpy(), settings.bands)
-            numbers = np.tile(np.arange(settings.bands, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids), pa.array(numbers)], names=["bucket", "cid", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "cid"])
 
-    return classes.where("n_shingles > 0").select("cid", "sketch").mapInArrow(run, "bucket long, cid long, band int")
+    return classes.where("n_shingles > 0").select("cid", "sketch").mapInArrow(run, "bucket long, cid long")
 
 
-def _registers(classes: DataFrame) -> DataFrame:
-    """``cid``, ``n`` (the set's size) and the registers as an array, ``regs``."""
+def _folded(sets: DataFrame, settings: SketchSettings) -> DataFrame:
+    """What the join compares of each class: ``cid``, ``n`` (the set's size), ``level``, ``ids`` and ``lost``.
+
+    ``ids`` are the members at the level, folded to 32 bits: all at level 0, and at each level half of those at the one below.
+    ``lost`` counts the members of level 0 that fold to the value of another.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.frombuffer(sketch, np.uint16).astype(np.int32) for sketch in batch.column("sketch").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), pa.array(rows, pa.list_(pa.int32()))], names=["cid", "n", "regs"])
-
-    return classes.selectExpr("cid", "n_shingles as n", "sketch").mapInArrow(run, "cid long, n long, regs array<int>")
+            sizes, levels, ids, lost = [], [], [], []
+            for packed in batch.column("members").to_pylist():
+                members = np.frombuffer(packed, np.uint64)
+                level = max(0, int(np.ceil(np.log2(len(members) / settings.whole_set))))
+                low = members.astype(np.uint32)
+                kept = np.unique(low[low < 2 ** (32 - level)])
+                sizes.append(len(members))
+                levels.append(level)
+                ids.append(kept.view(np.int32))
+                lost.append(len(members) - len(kept) if level == 0 else 0)
+            columns = [batch.column("cid"), pa.array(sizes, pa.int64()), pa.array(levels, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(lost, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "level", "ids", "lost"])
+
+    return sets.mapInArrow(run, "cid long, n long, level int, ids array<int>, lost long")
 
 
 def _least_alike(settings: SketchSettings) -> float:
@@ -188,37 +208,43 @@ def _likely(pairs: DataFrame, classes: DataFrame, settings: SketchSettings) -> D
     return sized.mapInArrow(run, "a long, b long, alike double")
 
 
-def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: SketchSettings) -> DataFrame:
-    """The text of every class in ``pairs``, written once: ``cid``, the class's digests, ``text``."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    needed = written(ids.join(classes.select("cid", "rep", "d1", "d2"), "cid"), "needed")
-    if needed.count() <= settings.broadcast_ids:
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, settings: SketchSettings) -> DataFrame:
+    """The shingle set of each of the classes ``ids`` (a column ``cid``), written once: ``cid`` and the sorted hashes, ``members``."""
+    needed = written(classes.join(ids.distinct(), "cid", "left_semi").select("cid", "rep", "rep_hash", "d1", "d2"), "needed")
+    total = needed.count()
+    if total <= settings.broadcast_ids:
         needed = F.broadcast(needed)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(own.join(needed, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "d1", "d2", "text"), "texts")
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash"))
+    own = _identified(docs).join(needed, same).select("cid", "d1", "d2", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in W.slices(whole, "text"):
+                digests = zip(batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True)
+                sets = W.shingle_sets(*W.word_hashes(*W.buffer_of(batch.column("text"))))
+                # texts of one id and hash may differ: only the one with the class's digests counts
+                packed = [members.tobytes() if _digests(members) == digest else None for members, digest in zip(sets, digests, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(packed, pa.binary())], names=["cid", "members"])
 
+    found = written(own.mapInArrow(run, "cid long, members binary").where("members is not null"), "sets")
+    # a row that repeats both id and text brings its set again
+    return found if found.count() == total else written(found.groupBy("cid").agg(F.first("members").alias("members")), "sets")
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, settings: SketchSettings) -> DataFrame:
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, settings: SketchSettings) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
-    one, two = texts.toDF("a", "a1", "a2", "text_a"), texts.toDF("b", "b1", "b2", "text_b")
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "a1", "a2", "text_a", "b", "b1", "b2", "text_b")
+    joined = pairs.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "set_a", "b", "set_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for half in W.slices(whole, "text_a"):
-                for batch in W.slices(half, "text_b"):
-                    sets = [list(W.shingle_sets(*W.word_hashes(*W.buffer_of(batch.column(c))))) for c in ("text_a", "text_b")]
-                    digests = zip(*(batch.column(c).to_pylist() for c in ("a1", "a2", "b1", "b2")), strict=True)
-                    linked = []
-                    for of_a, of_b, (a1, a2, b1, b2) in zip(*sets, digests, strict=True):
-                        both = len(of_a) + len(of_b) - len(np.unique(np.concatenate([of_a, of_b])))
-                        either = len(of_a) + len(of_b) - both
-                        enough = either > 0 and 100 * both >= settings.percent * either
-                        # a doc_id can stand for several texts: only the one with the class's digests counts
-                        linked.append(enough and _digests(of_a) == (a1, a2) and _digests(of_b) == (b1, b2))
-                    yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return joined.mapInArrow(run, "a long, b long").distinct()
+        for batch in batches:
+            linked = []
+            for packed_a, packed_b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                of_a, of_b = (np.frombuffer(packed.as_buffer(), np.uint64) for packed in (packed_a, packed_b))
+                both = len(np.intersect1d(of_a, of_b, assume_unique=True))
+                linked.append(100 * both >= settings.percent * (len(of_a) + len(of_b) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return joined.mapInArrow(run, "a long, b long")
 
 
 def _with_roots(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -240,38 +266,43 @@ def class_components(docs: DataFrame, classes: DataFrame, settings: SketchSettin
     rows = written(buckets.join(hubs.selectExpr("bucket", "low.cid as hub"), "bucket"), "buckets")
     tested = rows.where("cid <> hub").select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
     likely = written(_likely(tested, classes, settings), "likely")
-    links = written(_confirmed(likely, _texts(likely, classes, docs, settings), settings), "confirmed")
-    roots = written(components(links), "roots")
-
-    rooted = rows.join(roots, rows.cid == roots.node, "left").select("bucket", "band", "cid", F.coalesce("root", "cid").alias("root"))
+    sets = _sets(likely.selectExpr("explode(array(a, b)) as cid"), classes, docs, settings)
+    # the likeliest pair of each end goes first: it joins up most groups, and pairs inside a joined group need no proof
+    of_a = likely.groupBy("a").agg(F.max(F.struct("alike", "b")).alias("best")).select("a", "best.b")
+    of_b = likely.groupBy("b").agg(F.max(F.struct("alike", "a")).alias("best")).select("best.a", "b")
+    first = written(of_a.union(of_b).distinct(), "first")
+    roots = written(components(_confirmed(first, sets, settings)), "roots")
+    rest = _with_roots(likely, roots).select("a", "b").join(first, ["a", "b"], "left_anti")
+    roots = _joined_up(roots, written(_confirmed(rest, sets, settings), "confirmed"))
+
+    rooted = rows.join(roots, rows.cid == roots.node, "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
     counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
     largest = counts.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("most"), F.count(F.lit(1)).alias("roots"))
     mixed = largest.where("roots > 1").selectExpr("bucket", "most.root as most")
     apart = written(rooted.join(mixed, "bucket"), "apart")
-    wanted = classes.join(apart.select("cid").distinct(), "cid", "left_semi")
-    apart = written(apart.join(_registers(wanted), "cid"), "apart")
-    # each member outside the largest component meets the other components' members; of two such, the smaller is hub. A
-    # pair leaves the join if enough registers agree, and only from the first band that both share
-    hubs = apart.where("root <> most").selectExpr("bucket", "cid as hub", "root as hub_root", "n as hub_n", "regs as hub_regs")
-    width = settings.band_registers
-    agree = " and ".join(f"regs[{width} * j + {k}] = hub_regs[{width} * j + {k}]" for k in range(width))
-    equal = "aggregate(zip_with(regs, hub_regs, (x, y) -> if(x = y, 1, 0)), 0, (total, x) -> total + x)"
+    sets = _sets(apart.select("cid"), classes, docs, settings)
+    apart = written(apart.join(_folded(sets, settings), "cid"), "apart")
+    # each member outside the largest component meets the other components' members; of two such, the smaller is hub
+    hubs = apart.where("root <> most").selectExpr("bucket", "cid as hub", *(f"{c} as hub_{c}" for c in ("root", "n", "level", "ids", "lost")))
+    limit = settings.percent
+    scale = "pow(2.0d, greatest(level, hub_level))"
+    asked = f"{limit} * (n + hub_n) / {scale}"
+    slack = f"if(greatest(level, hub_level) = 0, least(lost, hub_lost), {settings.deviations} * sqrt({asked} / {100 + limit}))"
+    shared = "size(array_intersect(ids, hub_ids))"
     met = apart.join(hubs, "bucket").where(
         "root <> hub_root and (root = most or cid > hub)"
-        f" and 100 * least(n, hub_n) >= {settings.percent} * greatest(n, hub_n)"
-        f" and {equal} >= {int(_least_alike(settings) * settings.registers)}"
-        f" and not exists(sequence(0, {settings.bands - 1}), j -> j < band and {agree})"
+        f" and 100 * least(n, hub_n) >= {limit} * greatest(n, hub_n)"
+        f" and {100 + limit} * ({shared} + {slack}) >= {asked}"
     )
-    met = met.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
-    pool = written(_likely(met, classes, settings).join(likely.select("a", "b"), ["a", "b"], "left_anti"), "pool")
-    texts, most = None, 1
+    met = met.selectExpr("greatest(cid, hub) as a", "least(cid, hub) as b", f"{shared} * {scale} / (n + hub_n) as alike")
+    pool = written(met.dropDuplicates(["a", "b"]).join(likely, ["a", "b"], "left_anti"), "pool")
+    most = 1
     while not pool.isEmpty():
-        texts = texts or _texts(pool, classes, docs, settings)
         ranked = pool.join(roots.toDF("a", "root_a"), "a", "left").join(roots.toDF("b", "root_b"), "b", "left")
         ends = "least(coalesce(root_a, a), coalesce(root_b, b)), greatest(coalesce(root_a, a), coalesce(root_b, b))"
         ranked = ranked.selectExpr("a", "b", "alike", f"row_number() over (partition by {ends} order by alike desc, a, b) as nth")
         now = written(ranked, "ranked")
-        new = written(_confirmed(now.where(f"nth <= {most}"), texts, settings), "confirmed")
+        new = written(_confirmed(now.where(f"nth <= {most}"), sets, settings), "confirmed")
         if not new.isEmpty():
             roots = _joined_up(roots, new)
         pool = written(_with_roots(now.where(f"nth > {most}").select("a", "b", "alike"), roots).select("a", "b", "alike"), "pool")
@@ -292,8 +323,10 @@ def near_duplicates(docs: DataFrame, settings: SketchSettings = SketchSettings()
     """A row per document: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``. Reads ``doc_id`` and ``text``."""
     rows = written(sketches(docs, settings), "sketches")
     keys = ["n_shingles", "d1", "d2"]
-    grouped = rows.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = written(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("least")
+    grouped = rows.groupBy(*keys).agg(least, F.first("sketch").alias("sketch"))
+    named = grouped.select(*keys, F.col("least.doc_id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "sketch")
+    classes = written(named.withColumn("cid", F.monotonically_increasing_id()), "classes")
     roots = class_components(docs, classes, settings)
     names = classes.select(*keys, "cid", "rep").join(roots, F.col("cid") == F.col("node"), "left")
     names = names.select(*keys, "rep", F.coalesce("root", "cid").alias("root"))

@@ -50,6 +50,26 @@ def test_groups(spark):
     assert found(near_duplicates(documents(spark, rows))) == by_pairs(rows)
 
 
+def test_bucket_mates_that_are_no_links(spark):
+    base = [f"w{n}" for n in range(130)]
+    random = np.random.default_rng(5)
+
+    def edited(share):
+        return " ".join(w if random.random() > share else f"e{random.integers(10**9)}" for w in base)
+
+    # linked ones near the base, and others whose likeness to all of them lies around the limit or below
+    rows = [(n, edited(0.01)) for n in range(60)] + [(100 + n, edited(0.03)) for n in range(40)] + [(200 + n, edited(0.07)) for n in range(40)]
+    docs = documents(spark, rows)
+    assert found(near_duplicates(docs)) == by_pairs(rows)
+    # sets above the size compared whole are sampled, and lose no link
+    assert found(near_duplicates(docs, SketchSettings(whole_set=40))) == by_pairs(rows)
+
+
+def test_many_null_ids(spark):
+    rows = [(None, prose(n, 20)) for n in range(30)] + [(None, prose(3, 20)), (4, changed(prose(7, 60), 30)), (None, prose(7, 60))]
+    assert found(near_duplicates(documents(spark, rows))) == by_pairs(rows)
+
+
 def test_rows_that_repeat_and_empty_tables(spark):
     out = near_duplicates(documents(spark, [(6, "a"), (6, "a"), (7, None), (7, None)]))
     assert sorted((r.doc_id, r.component_id, r.kept) for r in out.collect()) == [(6, 6, True)] * 2 + [(7, 7, True)] * 2

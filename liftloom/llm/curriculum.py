@@ -81,12 +81,12 @@ def _time_due(share: str, knots: tuple[float, ...]) -> str:
     return f"case {' '.join(cases)} end"
 
 
-def mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
+def mix(docs: DataFrame, settings: MixSettings = MixSettings(), also: tuple[str, ...] = ()) -> DataFrame:
     """A row per document, sorted by position in training.
 
     Columns ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, then ``position`` and ``again``: the word
     of the training run at which the document, and its repetition, begin (null where not taken). Reads ``doc_id``, ``source``
-    and ``text``.
+    and ``text``; columns named in ``also`` come along, such as a number that tells rows with one id apart.
     """
     sized = written(
         docs.select(
@@ -94,6 +94,7 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest"),
+            *also,
         ),
         "sizes",
     )
@@ -117,5 +118,6 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings()) -> DataFrame:
         "target",
         f"{' + '.join(taken)} as taken",
         *[f"cast({d} as long) as {('position', 'again')[n] if n < 2 else f'again_{n}'}" for n, d in enumerate(due)],
+        *also,
     )
     return found.orderBy(F.col("position").asc_nulls_last(), "doc_id")

@@ -7,6 +7,7 @@ handled as the operators' docstrings say.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,21 @@ from liftloom.session import tune, written
 LEAST_SHARE = 0.1
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``__row``: that of their file, then their place in it.
+
+    Rows that come from no file are written first. The table of files is small, and Spark broadcasts it if it really is.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = written(docs, "rows")
+    files = docs.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    files = written(files.coalesce(1).withColumn("__number", F.monotonically_increasing_id()), "files")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__place"))
+    return placed.join(files, F.col("__path") == F.col("__file")).select(*docs.columns, F.expr("shiftleft(__number, 36) + __place as __row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters, and those that no known language explains; fill in the language where it is missing."""
     small_batches(spark)
@@ -33,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group: one with the smallest id; without any id, any one. Rows without shingles all stay."""
     small_batches(spark)
     # rows are told apart by a number of their own, as ids may be null or repeated
-    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    numbered = _numbered(docs)
     groups = setsketch_dedup.near_duplicates(numbered.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
     ids = groups.join(numbered.select("__row", "doc_id"), "__row")
     least = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("least"))
@@ -51,14 +67,13 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take what the mix takes: documents twice, once, or not at all; the last one of a source may be cut after a word.
 
-    Rows are range-sorted by their positions in training.
+    Rows are range-sorted by their positions in training. Rows with one id, or none, each take their own amount.
     """
     small_batches(spark)
-    taken = curriculum.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"), F.min("position").alias("position"), F.min("again").alias("again"))
-    taken = written(taken.where("taken > 0").toDF("__doc_id", "__source", "__size", "__taken", "__position", "__again"), "taken")
-    sized = docs.withColumn("__words", F.regexp_count("text", F.lit(curriculum.WORD)).cast("long"))
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
-    copies = sized.join(taken, same).withColumn(
+    numbered = _numbered(docs)
+    taken = curriculum.mix(numbered, also=("__row",)).where("taken > 0")
+    taken = written(taken.selectExpr("__row", "size as __size", "taken as __taken", "position as __position", "again as __again"), "taken")
+    copies = numbered.join(taken, "__row").withColumn(
         "__copy",
         F.explode(
             F.expr(
@@ -72,7 +87,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = copies.withColumn("text", F.expr(f"if(__part = __size, text, array_join(slice({words}, 1, cast(__part as int)), ' '))"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("__part") == F.col("__size"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.orderBy("__copy.at", "__doc_id").select(*docs.columns)
+    return cut.orderBy("__copy.at", "doc_id").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,19 +1,20 @@
 """Exact top-k by inner product over an impact-ordered index, a score at a time.
 
-Components are whole numbers, ``floor(64 * x)``. A shard's postings, one for each non-zero component of a vector, are cut into
-segments by the size of their impact: the first holds the postings of 32 and more, the next those from 16, and so on by
-powers of two; impacts below four form the last. A batch of queries adds up the segments in falling order of impact. After each, what the
-remaining postings of a vector can still add is bounded, by their largest impact and by their length; vectors whose upper bound
-is below the k-th best lower bound are out for good. When few enough vectors are possible for every query, or no segment is
-left, the possible ones are scored exactly. Nothing but that proof ends the search, so the result is exact.
+Components are whole numbers, ``floor(64 * x)``. A shard keeps, for each component, the postings of the vectors in which it is not
+zero, in falling order of impact and cut into segments by powers of two; impacts below four form the last. A batch of queries adds
+up the segments in falling order of impact. After each, what the remaining postings of a vector can still add is bounded, by
+their largest impact and by their length; vectors whose upper bound is below the k-th best lower bound are out for good. A
+query with few enough possible vectors left is settled, and these are scored exactly. Nothing but that proof ends the search, so
+the result is exact.
 
 Defined results: null vectors, empty ones, and those with a null or non-finite component take no part; zeros do; a null id
 takes no part; rows that repeat an id and its vector count once; ties go to the smaller id; fewer candidates than k give all;
-vectors are only compared with vectors of their length; impacts beyond 2**62 are held at that; other columns are not read.
+vectors are only compared with vectors of their length; impacts beyond 2**62 are held at that, scores beyond 64 bits at the largest or smallest number; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,75 +39,107 @@ class ImpactSettings:
     few: int = 200
 
 
+@dataclass(frozen=True)
+class Segment:
+    """Postings of one level of impact: for each component that has any, its rows and impacts, the largest first.
+
+    ``cap`` is the largest impact of what comes after the segment, ``lengths_left`` the length of that part of every row.
+    """
+
+    postings: tuple[tuple[int, np.ndarray, np.ndarray], ...]
+    cap: float
+    lengths_left: np.ndarray
+
+
 @dataclass(frozen=True)
 class ImpactIndex:
-    """Segments in falling order of impact, each a matrix of its postings, and what is left of every vector behind it."""
+    """Segments in falling order of impact, and the vectors for exact scores."""
 
     whole: np.ndarray
-    segments: tuple[np.ndarray, ...]
-    caps: tuple[float, ...]
-    lengths_left: tuple[np.ndarray, ...]
+    segments: tuple[Segment, ...]
 
 
 def build_index(vectors: np.ndarray) -> ImpactIndex:
     """Cut the postings of some vectors of whole numbers into segments."""
     sizes = np.abs(vectors)
     level = int(np.floor(np.log2(max(float(sizes.max(initial=0)), 1.0))))
-    segments, caps, lengths = [], [], []
-    left = vectors.copy()
+    segments, above = [], np.inf
     while level >= 0:
         # impacts below four are too many to bound well, so they form one segment
         least = 2.0**level if level > 1 else 1.0
-        now = np.where(np.abs(left) >= least, left, 0.0)
-        left = left - now
-        if now.any():
-            segments.append(now)
-            caps.append(least - 1)
-            lengths.append(np.sqrt((left * left).sum(axis=1)))
-        level = level - 1 if level > 1 else -1
-    return ImpactIndex(vectors, tuple(segments), tuple(caps), tuple(lengths))
-
-
-def search_index(index: ImpactIndex, queries: np.ndarray, settings: ImpactSettings) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and scores of every row that can be among the ``k + 1`` best, at least."""
-    want = settings.k + 1
-    rows = len(index.whole)
+        chosen = (sizes >= least) & (sizes < above)
+        postings = []
+        for component in np.flatnonzero(chosen.any(axis=0)):
+            rows = np.flatnonzero(chosen[:, component])
+            rows = rows[np.argsort(-sizes[rows, component], kind="stable")].astype(np.int32)
+            postings.append((int(component), rows, vectors[rows, component]))
+        if postings:
+            left = np.where(sizes < least, sizes, 0.0)
+            segments.append(Segment(tuple(postings), least - 1, np.sqrt((left * left).sum(axis=1))))
+        above, level = least, level - 1 if level > 1 else -1
+    return ImpactIndex(vectors, tuple(segments))
+
+
+def search_index(index: ImpactIndex, queries: np.ndarray, settings: ImpactSettings, work: Counter | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and scores of every row that can be among the ``k + 1`` best, at least.
+
+    A query leaves the batch as soon as few enough rows are possible for it, and rows that are out for all queries left are
+    no longer read. ``work`` counts ``postings`` added up, ``all_postings`` that there were, and rows ``rescored``.
+    """
+    want, rows = settings.k + 1, len(index.whole)
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(index.whole).max(initial=0)) * queries.shape[1]
     if most >= _EXACT:
-        whole, asked = index.whole.astype(np.int64), queries.astype(np.int64)
-        return _best(np.tile(np.arange(rows), (len(asked), 1)), asked @ whole.T, want)
-    totals = np.zeros((len(queries), rows))
-    possible = np.ones((len(queries), rows), bool)
+        return _beyond_doubles(index.whole, queries, want)
+    found = [np.arange(rows)] * len(queries)
+    active, alive = np.arange(len(queries)), np.ones(rows, bool)
+    totals = np.zeros((rows, len(queries)))
+    work = Counter() if work is None else work
+    work["all_postings"] += len(queries) * sum(len(own) for segment in index.segments for _, own, _ in segment.postings)
     spread, length = np.abs(queries).sum(axis=1), np.sqrt((queries * queries).sum(axis=1))
     for number, segment in enumerate(index.segments):
-        totals += queries @ segment.T
-        if number + 1 == len(index.segments) or rows <= want:
-            break
-        rest = np.minimum(np.multiply.outer(length, index.lengths_left[number]), (spread * index.caps[number])[:, None])
-        rest += 1e-6 * (1 + rest)
-        floor = np.partition(totals - rest, rows - want, axis=1)[:, rows - want]
-        possible = totals + rest >= floor[:, None]
-        if possible.sum(axis=1).max() <= settings.few:
+        if rows <= want or not len(active):
             break
-    else:
-        number = -1
-    if number + 1 == len(index.segments) or not index.segments:
-        floor = np.partition(totals, rows - want, axis=1)[:, rows - want] if rows > want else np.full(len(queries), -np.inf)
-        possible = totals >= floor[:, None]
-    places, found = np.nonzero(possible)
-    scores = (queries[places] * index.whole[found]).sum(axis=1)
-    width = int(possible.sum(axis=1).max(initial=0))
-    column = np.arange(len(places)) - np.searchsorted(places, places)
+        for component, own, impacts in segment.postings:
+            asks = queries[active, component]
+            if not asks.any():
+                continue
+            live = alive[own]
+            own, impacts = own[live], impacts[live]
+            totals[own] += np.multiply.outer(impacts, asks)
+            work["postings"] += len(own) * len(active)
+        last = number + 1 == len(index.segments)
+        rest = np.zeros_like(totals)
+        if not last:
+            rest = np.minimum(np.multiply.outer(segment.lengths_left, length[active]), spread[active] * segment.cap)
+            rest += 1e-6 * (1 + rest)
+        # what is out for good has no part in the bound
+        lower = np.where(alive[:, None], totals - rest, -np.inf)
+        floor = np.partition(lower, rows - want, axis=0)[rows - want]
+        possible = (totals + rest >= floor) & alive[:, None]
+        settled = possible.sum(axis=0) <= (rows if last else settings.few)
+        for place in np.flatnonzero(settled):
+            found[active[place]] = np.flatnonzero(possible[:, place])
+        active, totals = active[~settled], totals[:, ~settled]
+        alive &= possible[:, ~settled].any(axis=1)
+    width = max((len(own) for own in found), default=0)
     ids = np.full((len(queries), width), -1)
     values = np.zeros((len(queries), width), np.int64)
-    ids[places, column] = found
-    values[places, column] = scores.astype(np.int64)
+    for query, own in enumerate(found):
+        ids[query, : len(own)] = own
+        values[query, : len(own)] = (index.whole[own] @ queries[query]).astype(np.int64)
+        work["rescored"] += len(own)
     return ids, values
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rows at or above the score of the last wanted one."""
-    if scores.shape[1] > want:
+def _beyond_doubles(whole: np.ndarray, queries: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rows at or above the score of the last wanted one, in whole numbers of any size, held to 64 bits."""
+    exact = np.array([[int(x) for x in row] for row in whole], dtype=object).reshape(whole.shape)
+    scores = np.empty((len(queries), len(whole)), np.int64)
+    for place, query in enumerate(queries):
+        own = exact @ np.array([int(x) for x in query], dtype=object)
+        scores[place] = np.clip(own, -(2**63) + 1, 2**63 - 1).astype(np.int64)
+    ids = np.tile(np.arange(len(whole)), (len(queries), 1))
+    if len(whole) > want:
         floor = np.sort(scores, axis=1)[:, -want]
         ids = np.where(scores >= floor[:, None], ids, -1)
     return ids, scores

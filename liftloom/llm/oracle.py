@@ -5,24 +5,20 @@ Trained models, approximate search, alignments, schedules and linear programs ha
 
 from __future__ import annotations
 
-from liftloom.llm.url_rules import PATTERN_RULES, SITE_RULES, compile_pattern
-
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _url_rules() -> str:
-    sites = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in SITE_RULES)
-    # RE2 takes the expressions as they are
-    blocked = " OR ".join(f"regexp_matches(host || path || tail, '{compile_pattern(p)[0]}')" for p, verdict in PATTERN_RULES if verdict == "block")
-    return f"""WITH parsed AS (SELECT row_number() OVER () AS nr, page_id,
+# written out by hand, so that they do not come from the code that they are held against
+_URL_RULES = rf"""WITH parsed AS (SELECT row_number() OVER () AS nr, page_id,
         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
-        regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path,
-        regexp_extract(coalesce(url, ''), '://[^/?#]*[^?#]*((?s:.*))', 1) AS tail FROM pages),
-    rules(site, front, verdict) AS (VALUES {sites}),
+        regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    rules(site, front, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+        ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
     best AS (SELECT nr, max_by(site || front, length(site || front)) AS rule, max_by(rules.verdict, length(site || front)) AS verdict
-        FROM parsed JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, front) GROUP BY nr)
-    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN {blocked} THEN 'block' ELSE 'allow' END) AS verdict
-    FROM parsed LEFT JOIN best USING (nr)"""
+        FROM parsed JOIN rules ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, front) GROUP BY nr),
+    patterns AS (SELECT *, regexp_matches('.' || host, '[.](spam-farm[.]|casino-|adult-|cheap-pills[.]|free-bets[.]|ads-track[.])') AS blocked FROM parsed)
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+    FROM patterns LEFT JOIN best USING (nr)"""
 
 
 # the table of CRC-32, and its value for a list of bytes; DuckDB has no function for it
@@ -95,7 +91,7 @@ STATEMENTS: dict[str, str] = {
     "op11_spelling_gram": _VARIANTS,
     "op12_prefix_collapse": _TRIE,
     "op13_chat_events": _CHATS,
-    "op6_url_rules": _url_rules(),
+    "op6_url_rules": _URL_RULES,
     "op8_setsketch_dedup": f"""WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(
             translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
         places AS (SELECT doc_id, words, unnest(range(1, CASE WHEN len(words) >= 5 THEN len(words) - 3 ELSE 2 END)) AS i

@@ -100,7 +100,8 @@ def search_shards(
                     queries = np.repeat(some.column("id").to_numpy(), hit.sum(axis=1))
                     yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(named[found[hit]]), pa.array(scores[hit])], names=["qid", "cid", "score"])
 
-    spread = rows.union(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    # a task for each shard; hashing the shard's number would put several in one
+    spread = rows.union(asked).repartitionById(shards, F.expr(f"cast(shard % {shards} as int)")).sortWithinPartitions("shard", "kind")
     found = spread.mapInArrow(run, f"qid long, cid long, score {score_type}")
     return found.selectExpr("*", "row_number() over (partition by qid order by score desc, cid) as nth").where(f"nth <= {most}").drop("nth")
 

@@ -92,35 +92,49 @@ def search_index(index: ImpactIndex, queries: np.ndarray, settings: ImpactSettin
         return _beyond_doubles(index.whole, queries, want)
     found = [np.arange(rows)] * len(queries)
     active, alive = np.arange(len(queries)), np.ones(rows, bool)
-    totals = np.zeros((rows, len(queries)))
+    totals = np.zeros((len(queries), rows))
     work = Counter() if work is None else work
     work["all_postings"] += len(queries) * sum(len(own) for segment in index.segments for _, own, _ in segment.postings)
     spread, length = np.abs(queries).sum(axis=1), np.sqrt((queries * queries).sum(axis=1))
     for number, segment in enumerate(index.segments):
         if rows <= want or not len(active):
             break
-        for component, own, impacts in segment.postings:
-            asks = queries[active, component]
-            if not asks.any():
-                continue
-            live = alive[own]
-            own, impacts = own[live], impacts[live]
-            totals[own] += np.multiply.outer(impacts, asks)
-            work["postings"] += len(own) * len(active)
+        # live postings of the components that are asked for, laid out by row, add up for all queries in one product
+        asked = queries[active]
+        live = [(c, own[alive[own]], impacts[alive[own]]) for c, own, impacts in segment.postings if asked[:, c].any()]
+        held = np.zeros(rows, bool)
+        for _, own, _ in live:
+            held[own] = True
+        place = np.cumsum(held) - 1
+        block = np.zeros((len(live), int(held.sum())))
+        for line, (_, own, impacts) in enumerate(live):
+            block[line, place[own]] = impacts
+        added = asked[:, [c for c, _, _ in live]] @ block
+        if held.all():
+            totals += added
+        else:
+            totals[:, held] += added
+        work["postings"] += len(active) * sum(len(own) for _, own, _ in live)
         last = number + 1 == len(index.segments)
-        rest = np.zeros_like(totals)
-        if not last:
-            rest = np.minimum(np.multiply.outer(segment.lengths_left, length[active]), spread[active] * segment.cap)
+        if last:
+            rest = np.zeros((1, 1))
+        else:
+            by_cap = spread[active] * segment.cap
+            least_rest = np.minimum(length[active] * segment.lengths_left[alive].min(), by_cap)
+            known = totals[:, alive]
+            if (known.min(axis=1) + least_rest >= known.max(axis=1) - least_rest).all():
+                continue  # no bound can put any row out yet
+            rest = np.minimum(np.multiply.outer(length[active], segment.lengths_left), by_cap[:, None])
             rest += 1e-6 * (1 + rest)
         # what is out for good has no part in the bound
-        lower = np.where(alive[:, None], totals - rest, -np.inf)
-        floor = np.partition(lower, rows - want, axis=0)[rows - want]
-        possible = (totals + rest >= floor) & alive[:, None]
-        settled = possible.sum(axis=0) <= (rows if last else settings.few)
-        for place in np.flatnonzero(settled):
-            found[active[place]] = np.flatnonzero(possible[:, place])
-        active, totals = active[~settled], totals[:, ~settled]
-        alive &= possible[:, ~settled].any(axis=1)
+        lower = np.where(alive, totals - rest, -np.inf)
+        floor = np.partition(lower, rows - want, axis=1)[:, rows - want]
+        possible = (totals + rest >= floor[:, None]) & alive
+        settled = possible.sum(axis=1) <= (rows if last else settings.few)
+        for line in np.flatnonzero(settled):
+            found[active[line]] = np.flatnonzero(possible[line])
+        active, totals = active[~settled], totals[~settled]
+        alive &= possible[~settled].any(axis=0)
     width = max((len(own) for own in found), default=0)
     ids = np.full((len(queries), width), -1)
     values = np.zeros((len(queries), width), np.int64)

@@ -184,6 +184,33 @@ def request_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def decoded_predicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Predict requests from their bodies."""
+    asked = pulses.decode_predicts(fixtures.request_log(_requests(spark, folder), "predict"))
+    return asked.selectExpr("request_id", "`window` AS days", "ctxlength", "concat_ws(',', goals) AS goals", _STATES)
+
+
+def decoded_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """Action requests from their bodies."""
+    asked = pulses.decode_actions(fixtures.request_log(_requests(spark, folder), "action"))
+    names = "concat_ws(',', transform(actions, a -> a.name)) AS actions"
+    kept = ["goal", "anchor_id", "gainonly", "explore", "mute", "label", "detail", "reward"]
+    return asked.selectExpr("request_id", "`window` AS days", "ctxlength", names, *kept, _STATES)
+
+
+_STATES = "concat_ws(',', transform(states, s -> concat(s.type, '#', s.name))) AS states"
+
+
+def body_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Every request of both kinds that is not answered, from its body on: not readable, or refused by a later check."""
+    parts = []
+    for api, decode in (("predict", pulses.decode_predicts), ("action", pulses.decode_actions)):
+        log = fixtures.request_log(_requests(spark, folder), api)
+        refused = pulses.refused_bodies(log, api).unionByName(scoring.request_rejects(decode(log), api))
+        parts.append(refused.withColumn("api", F.lit(api)))
+    return parts[0].unionByName(parts[1])
+
+
 def _store(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
     """The counts, and a folder of days they are stored in."""
     counted = written(_counts(spark, folder), "counts")
@@ -458,6 +485,9 @@ QUERIES: dict[str, Query] = {
     "long_session_counts": long_session_counts,
     "long_session_goal_actions": long_session_goal_actions,
     "request_rejects": request_rejects,
+    "body_rejects": body_rejects,
+    "decoded_predicts": decoded_predicts,
+    "decoded_actions": decoded_actions,
     "counts_upsert": counts_upsert,
     "count_range_scan": count_range_scan,
     "flat_view": flat_view,

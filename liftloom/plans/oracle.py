@@ -406,6 +406,19 @@ FINAL: dict[str, str] = {
         'action' FROM odd_requests WHERE no_goal OR actions NOT BETWEEN 1 AND 10 OR ctx < -1""",
 }
 
+STEPS["sent_bodies"] = """SELECT *, request_id % 13 = 6 OR request_id % 19 = 2 OR (request_id % 2 = 1 AND request_id % 23 = 4) AS bad,
+    CAST(CASE WHEN request_id % 17 = 3 THEN 0 ELSE days END AS BIGINT) AS body_days,
+    CAST(CASE WHEN request_id % 29 = 8 THEN -5 ELSE ctxlength END AS BIGINT) AS body_ctx,
+    'event#view_' || (k % 4) || CASE WHEN k % 9 = 0 THEN ',EVENT#odd' ELSE '' END || ',atr#signup_' || (k % 4) AS body_states FROM req"""
+FINAL["decoded_predicts"] = """SELECT request_id, body_days AS days, body_ctx AS ctxlength, body_states AS states,
+    CASE WHEN request_id % 31 = 9 THEN 'g,g,g,g,g,g' ELSE 'purchase_0,purchase_' || (k % 4) || ',purchase_9' END AS goals FROM sent_bodies WHERE NOT bad"""
+FINAL["decoded_actions"] = """SELECT request_id, body_days AS days, body_ctx AS ctxlength, body_states AS states,
+    CASE WHEN request_id % 37 = 1 THEN '' ELSE 'click_0,click_1,click_2,click_3' END AS actions, CASE WHEN request_id % 31 = 9 THEN '' ELSE goal END AS goal,
+    anchor_id, gainonly, explore, mute, label, detail, CAST(k % 4 AS DOUBLE) AS reward FROM sent_bodies WHERE NOT bad"""
+FINAL["body_rejects"] = """SELECT * FROM (SELECT request_id, 'predict' AS api,
+        CASE WHEN bad THEN 'bad-json' WHEN request_id % 31 = 9 THEN 'goals' WHEN body_ctx < -1 THEN 'ctxlength' END AS reason FROM sent_bodies
+        UNION ALL SELECT request_id, 'action', CASE WHEN bad THEN 'bad-json' WHEN request_id % 31 = 9 THEN 'goal'
+            WHEN request_id % 37 = 1 THEN 'actions' WHEN body_ctx < -1 THEN 'ctxlength' END FROM sent_bodies) WHERE reason IS NOT NULL"""
 FINAL["stream_daily_counts"] = _keyed("all_counts")
 _DOUBLED = """(SELECT * REPLACE (CASE WHEN day = DATE '2024-01-10' THEN 2 * n ELSE n END AS n) FROM all_counts)"""
 FINAL["counts_upsert"] = _keyed(_DOUBLED)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,11 +80,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+_within = threading.local()
+
+
+@contextmanager
+def dropped_after(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that :func:`written` makes inside the block when it ends, also by an error.
+
+    For a result that is itself stored inside the block, such as that of a micro-batch; frames made of such tables cannot be
+    read afterwards. Blocks may be nested, and each thread has its own.
+    """
+    if not hasattr(_within, "paths"):
+        _within.paths = []
+    _within.paths.append([])
+    try:
+        yield
+    finally:
+        for name in _within.paths.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a result that is read more than once to the shared folder, and return it as a table read from there.
 
     This computes it once, cuts its lineage, and survives the loss of the executors that made it.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if getattr(_within, "paths", None):
+        _within.paths[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

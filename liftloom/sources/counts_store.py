@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from liftloom.operators.counts import distribution, keyed, merge_counts
 from liftloom.schemas import COUNTS
-from liftloom.session import written
+from liftloom.session import dropped_after, written
 
 
 #: rows of one file of a day, unless told how many files to write
@@ -128,7 +128,8 @@ def _add(spark: SparkSession, fresh: DataFrame, store: str, newest: int) -> None
     added = fresh.join(F.broadcast(done), "day", "left").where("done IS NULL OR batch_id > done").select(*COUNTS.fieldNames())
     totals = merge_counts(held.select(*COUNTS.fieldNames()).unionByName(added))
     # a day is read while it is rewritten, so its new rows are complete before
-    write_days(written(totals.withColumn("through", F.lit(newest).cast("bigint")), "totals"), store)
+    with dropped_after(spark):
+        write_days(written(totals.withColumn("through", F.lit(newest).cast("bigint")), "totals"), store)
 
 
 def read_corrections(spark: SparkSession, store: str) -> DataFrame:

@@ -110,6 +110,27 @@ def pulse_log(events: DataFrame) -> DataFrame:
     )
 
 
+def request_log(asked: DataFrame, api: str) -> DataFrame:
+    """Bodies of predict or action requests, every other one in base64: some cut short, of another shape, or not base64 at all.
+
+    Some leave out the window, some name too many goals or actions or a list length that is not valid.
+    """
+    shared = """'states', states, 'window', CASE WHEN request_id % 17 <> 3 THEN `window` END,
+        'ctxlength', CASE WHEN request_id % 29 = 8 THEN -5L ELSE ctxlength END"""
+    fields = {
+        "predict": "'goals', CASE WHEN request_id % 31 = 9 THEN array_repeat('g', 6) ELSE goals END",
+        "action": """'goal', CASE WHEN request_id % 31 <> 9 THEN goal END, 'actions', CASE WHEN request_id % 37 = 1 THEN array() ELSE actions END,
+            'reward', reward, 'anchorid', anchor_id, 'gainonly', gainonly, 'explore', explore, 'mute', mute, 'label', label, 'detail', detail""",
+    }[api]
+    plain = f"""CASE WHEN request_id % 13 = 6 THEN '{{"states": [' WHEN request_id % 19 = 2 THEN '{{"states": 5}}'
+        ELSE to_json(named_struct({shared}, {fields})) END"""
+    return asked.selectExpr("request_id", "request_id % 2 = 1 AS encoded", f"{plain} AS plain").selectExpr(
+        "request_id",
+        "encoded",
+        "CASE WHEN encoded AND request_id % 23 = 4 THEN '%%%' WHEN encoded THEN base64(cast(plain AS binary)) ELSE plain END AS body",
+    )
+
+
 def call_log(events: DataFrame) -> DataFrame:
     """API calls with and without keys; one call per event."""
     return events.selectExpr(

@@ -43,7 +43,7 @@ def decode_bodies(raw: DataFrame, schema: T.StructType = PULSE_BODY) -> DataFram
 
 
 def decode_predicts(raw: DataFrame) -> DataFrame:
-    """Bodies of predict requests, in the columns scoring takes; bodies that cannot be parsed are left out."""
+    """Bodies of predict requests, in the columns scoring takes; bodies that cannot be parsed are in :func:`refused_bodies`."""
     return _requests(raw, PREDICT_BODY)
 
 
@@ -57,6 +57,12 @@ def decode_actions(raw: DataFrame) -> DataFrame:
     )
 
 
+def refused_bodies(raw: DataFrame, api: str) -> DataFrame:
+    """Requests of ``api`` (predict or action) whose body cannot be parsed: ``(request_id, reason)``, as the later checks give."""
+    schema = {"predict": PREDICT_BODY, "action": ACTION_BODY}[api]
+    return decode_bodies(raw, schema).where("NOT body_ok").selectExpr("request_id", "'bad-json' AS reason")
+
+
 def _requests(raw: DataFrame, schema: T.StructType) -> DataFrame:
     whole = decode_bodies(raw, schema).where("body_ok").drop("body_ok")
     return whole.fillna(0, ["window", "ctxlength"])

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from liftloom.config import SessionSettings
 from liftloom.operators.conversion import leaf_counts, steps
 from liftloom.operators.counts import with_event_totals
-from liftloom.session import shared_folder, written
+from liftloom.session import dropped_after, shared_folder, written
 from liftloom.sources import fixtures
 from liftloom.sources.counts_store import read_increments, refresh, write_increment
 from liftloom.streaming.panes import REFRESH, ended_rows, ended_sessions, gate, rows_of
@@ -30,12 +30,13 @@ def start_counts(events: DataFrame, settings: SessionSettings, path: str, checkp
     """
 
     def write(ended: DataFrame, batch_id: int) -> None:
-        # the state is read once; a micro-batch in which no session ends leaves no increment
-        ended = written(ended, "ended")
-        if ended.isEmpty():
-            return
-        prepared = steps(rows_of(ended, settings), int(settings.local_hint_ms))
-        write_increment(with_event_totals(leaf_counts(prepared, settings)), path, batch_id)
+        # the state is read once; a micro-batch in which no session ends leaves no increment, and none leaves anything else
+        with dropped_after(ended.sparkSession):
+            ended = written(ended, "ended")
+            if ended.isEmpty():
+                return
+            prepared = steps(rows_of(ended, settings), int(settings.local_hint_ms))
+            write_increment(with_event_totals(leaf_counts(prepared, settings)), path, batch_id)
 
     return _start(ended_rows(events, settings), write, checkpoint, drain)
 

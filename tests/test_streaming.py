@@ -1,6 +1,7 @@
 """Drained streams against the batch jobs."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from liftloom.config import SessionSettings
 from liftloom.operators.counts import daily_counts
 from liftloom.operators.sessions import sessions
+from liftloom.session import dropped_after, shared_folder, written
 from liftloom.sources import counts_store, pulses
 from liftloom.streaming import jobs
 
@@ -84,3 +86,20 @@ def test_sessions_and_late_rows(spark, make_events, tmp_path):
     )
     assert as_set(got) == as_set(sessions(make_events(rows), settings))
     assert spark.read.parquet(f"{out}/batch_id=*").where("session_id = 'late' AND n_events > 1").count() == 0
+
+
+def test_micro_batches_leave_only_increments(spark):
+    """Tables written inside a block are gone after it, also after an error; a drained stream leaves none."""
+    shared = Path(shared_folder(spark))
+    with pytest.raises(ValueError), dropped_after(spark):
+        outer = written(spark.range(3), "outer")
+        with dropped_after(spark):
+            assert written(spark.range(5), "inner").count() == 5
+        assert not list(shared.glob("inner-*")) and outer.count() == 3
+        raise ValueError
+    assert not list(shared.glob("outer-*"))
+    kept = written(spark.range(2), "kept")
+    before = {p.name for p in shared.iterdir()}
+    out = jobs.drained_counts(spark, "/root/testdata/sf0.001", SessionSettings())
+    left = {p.name.rsplit("-", 1)[0] for p in shared.iterdir() if p.name not in before}
+    assert left <= {"counts", "last"} and out.count() > 0 and kept.count() == 2

@@ -10,19 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftloom.functions.tokens import hashed_uniform
-
 # Exploration rate and temperature behind the policy names.
 EPSILON = 0.05
 TEMPERATURE = 0.1
 POLICIES = ("E", "G", "EG", "S", "CEG", "CS")
 DEFAULT_POLICY = "EG"
 
-DRAWS = ("gate", "pick", "fresh", "fresh-pick", "softmax")
-
-
 def _draw(salt: str) -> str:
-    return f"_u['{salt}']"
+    """:func:`hashed_uniform` of the request and a salt; only what the policy of the row looks at is drawn."""
+    return f"(cast(conv(substring(md5(cast(concat_ws('|', cast(request_id AS string), '{salt}') AS binary)), 1, 8), 16, 10) AS double) / 4294967296D)"
 
 
 def _pick(index: str, mode: str) -> str:
@@ -30,61 +26,68 @@ def _pick(index: str, mode: str) -> str:
 
 
 def _epsilon_greedy(epsilon: float, strict_gain: bool) -> str:
-    best = "greatest(0D, array_max(transform(choices, c -> c.value)))"
-    place = f"cast(array_position(transform(choices, c -> c.value), {best}) AS int) - 1"
     # as the service computes it, gainonly holds back a choice that does beat the baseline; strict_gain turns it round
-    held_back = f"{best} <= baseline" if strict_gain else f"{best} > baseline"
-    greedy = f"""CASE WHEN {place} < 0 THEN {_pick('-1', "'error'")}
+    held_back = "_best <= baseline" if strict_gain else "_best > baseline"
+    greedy = f"""CASE WHEN _place < 0 THEN {_pick('-1', "'error'")}
         WHEN gainonly AND {held_back} THEN {_pick('-1', "'suppress'")}
-        ELSE {_pick(place, "'exploit'")} END"""
+        ELSE {_pick("_place", "'exploit'")} END"""
+    if epsilon <= 0:
+        return greedy
     explore = _pick(f"floor({_draw('pick')} * size(choices))", "'explore'")
-    return f"CASE WHEN {_draw('gate')} < {epsilon}D THEN {explore} ELSE {greedy} END"
+    return explore if epsilon >= 1 else f"CASE WHEN {_draw('gate')} < {epsilon}D THEN {explore} ELSE {greedy} END"
 
 
 def _curious_epsilon_greedy(epsilon: float, strict_gain: bool) -> str:
-    fresh = "size(filter(choices, c -> NOT c.learned))"
     # the draw counts unlearned actions but points into the whole list
-    learn = _pick(f"floor({_draw('fresh-pick')} * {fresh})", "'learn-action'")
-    return f"""CASE WHEN {_draw('fresh')} < {fresh} / cast(size(choices) AS double) THEN {learn}
+    learn = _pick(f"floor({_draw('fresh-pick')} * _fresh)", "'learn-action'")
+    return f"""CASE WHEN {_draw('fresh')} < _fresh / cast(size(choices) AS double) THEN {learn}
         ELSE {_epsilon_greedy(epsilon, strict_gain)} END"""
 
 
-def _softmax(value: str, temperature: float) -> str:
-    weights = f"transform(choices, c -> exp({value} / {temperature}D))"
-    sums = f"aggregate({weights}, array(0D), (acc, w) -> concat(acc, array(element_at(acc, -1) + w)))"
-    # sums[i + 1] is the running weight up to choice i; the first share above the draw wins
-    share = f"transform(slice({sums}, 2, size(choices)), r -> r / element_at({sums}, -1) > {_draw('softmax')} AND NOT isnan(r / element_at({sums}, -1)))"
-    place = f"cast(array_position({share}, true) AS int) - 1"
-    return f"""CASE WHEN {place} < 0 THEN {_pick('-1', "'error'")} ELSE {_pick(place, "'softmax'")} END"""
+_SOFTMAX = f"""CASE WHEN _soft < 0 THEN {_pick('-1', "'error'")} ELSE {_pick('_soft', "'softmax'")} END"""
 
 
 def _policy(name: str, strict_gain: bool) -> str:
-    learned_best = "greatest(0D, array_max(transform(filter(choices, k -> k.learned), k -> k.value)))"
     return {
         "E": lambda: _epsilon_greedy(1.0, strict_gain),
         "G": lambda: _epsilon_greedy(0.0, strict_gain),
         "EG": lambda: _epsilon_greedy(EPSILON, strict_gain),
         "CEG": lambda: _curious_epsilon_greedy(EPSILON, strict_gain),
-        "S": lambda: _softmax("c.value", TEMPERATURE),
-        "CS": lambda: _softmax(f"CASE WHEN c.learned THEN c.value ELSE {learned_best} END", TEMPERATURE),
+        "S": lambda: _SOFTMAX,
+        "CS": lambda: _SOFTMAX,
     }[name]()
 
 
 def choose(scored: DataFrame, policy: str | None = None, strict_gain: bool = False) -> DataFrame:
     """Add ``picked`` (place in ``choices``, -1 for none), ``decision`` and ``mode``.
 
+    What a policy looks at is made once a row, and only for rows of that policy.
+
     :param policy: one policy for all rows; by default each row's own ``explore``, in any case, else ``EG``
     :param strict_gain: let ``gainonly`` hold back choices that do not beat the baseline, as its name says
     """
-    if policy:
-        chosen = _policy(policy, strict_gain)
-    else:
-        branches = " ".join(f"WHEN '{p}' THEN {_policy(p, strict_gain)}" for p in POLICIES)
-        chosen = f"CASE upper(explore) {branches} ELSE {_policy(DEFAULT_POLICY, strict_gain)} END"
+    known = ", ".join(f"'{p}'" for p in POLICIES)
+    own = f"'{policy}'" if policy else f"CASE WHEN upper(explore) IN ({known}) THEN upper(explore) ELSE '{DEFAULT_POLICY}' END"
+    branches = " ".join(f"WHEN '{p}' THEN {_policy(p, strict_gain)}" for p in POLICIES if policy in (None, p))
+    chosen = f"CASE _name {branches} END"
     learn = _pick(f"floor({_draw('pick')} * size(choices))", "'learn-goal'")
-    draws = F.create_map(*[c for s in DRAWS for c in (F.lit(s), hashed_uniform(F.col("request_id"), s))])
+    learned_best = "greatest(0D, array_max(transform(filter(choices, k -> k.learned), k -> k.value)))"
+    sums = f"aggregate(_values, array(0D), (acc, v) -> concat(acc, array(element_at(acc, -1) + exp(v / {TEMPERATURE}D))))"
+    # _sums[i + 1] is the running weight up to choice i; the first share above the draw wins
+    share = "transform(slice(_sums, 2, size(choices)), r -> r / _total > _drawn AND NOT isnan(r / _total))"
     return (
-        scored.withColumn("_u", draws)
+        scored.withColumn("_name", F.expr(f"CASE WHEN baseline_ok THEN {own} END"))
+        .withColumn("_floor", F.expr(f"CASE WHEN _name = 'CS' THEN {learned_best} END"))
+        .withColumn("_values", F.expr("CASE WHEN _name IS NULL OR _name = 'E' THEN NULL WHEN _name = 'CS' THEN transform(choices, c -> CASE WHEN c.learned THEN c.value ELSE _floor END) ELSE choices.value END"))
+        .selectExpr(
+            "*",
+            "CASE WHEN _name IN ('G', 'EG', 'CEG') THEN greatest(0D, array_max(_values)) END AS _best",
+            "CASE WHEN _name = 'CEG' THEN size(filter(choices, c -> NOT c.learned)) END AS _fresh",
+            f"CASE WHEN _name IN ('S', 'CS') THEN {sums} END AS _sums",
+            f"CASE WHEN _name IN ('S', 'CS') THEN {_draw('softmax')} END AS _drawn",
+        )
+        .selectExpr("*", "cast(array_position(_values, _best) AS int) - 1 AS _place", "element_at(_sums, -1) AS _total")
+        .selectExpr("*", f"cast(array_position({share}, true) AS int) - 1 AS _soft")
         .selectExpr("*", f"CASE WHEN baseline_ok THEN {chosen} ELSE {learn} END AS _choice")
         .selectExpr(
             *scored.columns,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftloom.functions.tokens import ALL, EVENT_TOTAL, NO_ACTION, SESSION_TOTAL
 from liftloom.operators.counts import window_counts
+from liftloom.session import written
 
 # Smoothing terms, bounds, least number of sessions for a prior, default windows and request limits.
 SMOOTH = 100
@@ -104,11 +107,32 @@ def likelihoods(lookups: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def answered(asked: DataFrame, question: list[str], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add ``answers``, an array of structs in order: each different question is answered once, however many requests ask it.
+
+    :param question: select list of all that an answer depends on
+    :param answer: makes rows of a table of questions, each with its number as ``request_id``
+
+    Questions and answers are written, so the size of what is joined to the requests is known.
+    """
+    asked = asked.withColumn("_question", F.struct(*[F.expr(column) for column in question]))
+    numbered = asked.select("_question").distinct().selectExpr("monotonically_increasing_id() AS request_id", "_question")
+    questions = written(numbered, "questions")
+    found = answer(questions.select("request_id", "_question.*"))
+    rest = ", ".join(column for column in found.columns if column != "request_id")
+    each = found.groupBy("request_id").agg(F.expr(f"sort_array(collect_list(struct({rest}))) AS answers"))
+    answers = written(questions.join(each, "request_id").drop("request_id"), "answers")
+    return asked.join(answers, "_question").drop("_question")
+
+
 def score_rows(asked: DataFrame, counts: DataFrame) -> DataFrame:
     """The evidence rows of each score: one per state, and one for the prior (``place`` -1).
 
     ``asked`` has ``request_id, item, project_id, start_day, end_day, goal, action, states``; goal and action are
     tokens, the action is empty for a plain goal score. Priors are always those of the goal alone.
+
+    The different lookups and their likelihoods are written, so requests are opened twice and no more, and the size of what is
+    joined to them is known: where it is small their rows stay where they are, and :func:`posteriors` moves none either.
     """
     rows = asked.selectExpr(
         "request_id", "item", *SPAN, "goal",
@@ -117,23 +141,26 @@ def score_rows(asked: DataFrame, counts: DataFrame) -> DataFrame:
     ).selectExpr(
         "request_id", "item", *SPAN, "goal", "place - 1 AS place", "probe.action AS action", "probe.leaf AS leaf"
     )
-    found = likelihoods(rows, counts).select(*LOOKUP, "lt", "lf")
+    lookups = written(rows.select(*LOOKUP).distinct(), "lookups")
+    found = written(likelihoods(lookups, counts).select(*LOOKUP, "lt", "lf"), "likelihoods")
     return rows.join(found, LOOKUP, "left")
 
 
-def posteriors(rows: DataFrame) -> DataFrame:
+def posteriors(rows: DataFrame, *also: str) -> DataFrame:
     """``(request_id, item, has_prior, known, probability)``; probability is -1 without a prior or a known state.
 
+    ``also`` names columns that are the same in all rows of a score and are kept.
+
     Written as a ratio against 1 it equals e^T / (e^T + e^F) but does not underflow.
     """
-    sums = rows.groupBy("request_id", "item").agg(
+    sums = rows.groupBy("request_id", "item", *also).agg(
         F.expr("count(CASE WHEN place = -1 AND lt IS NOT NULL THEN 1 END) > 0 AS has_prior"),
         F.expr("count(CASE WHEN place >= 0 AND lt IS NOT NULL THEN 1 END) AS known"),
         F.expr("sum(CASE WHEN lt IS NOT NULL THEN lt END) AS log_t"),
         F.expr("sum(CASE WHEN lt IS NOT NULL THEN lf END) AS log_f"),
     )
     return sums.selectExpr(
-        "request_id", "item", "has_prior", "known",
+        "request_id", "item", *also, "has_prior", "known",
         "CASE WHEN has_prior AND known > 0 THEN 1 / (1 + exp(log_f - log_t)) ELSE -1D END AS probability",
     )
 
@@ -160,26 +187,40 @@ def valid_predicts(requests: DataFrame) -> DataFrame:
     return requests.where(f"size(coalesce(goals, array())) BETWEEN 1 AND {MAX_GOALS}")
 
 
+def _asked_goals(requests: DataFrame, states: DataFrame) -> DataFrame:
+    return valid_predicts(requests).selectExpr("request_id", "project_id", *day_span(PREDICT_DAYS), "goals").join(states, "request_id")
+
+
+_GOALS = [*SPAN, "goals", "states"]
+
+
+def _goal_rows(questions: DataFrame, counts: DataFrame) -> DataFrame:
+    asked = questions.selectExpr("request_id", *SPAN, "posexplode(goals) AS (item, name)", "states").selectExpr(
+        "request_id", "item", *SPAN, "concat('GOAL#', name) AS goal", f"'{NO_ACTION}' AS action", "states"
+    )
+    return score_rows(asked, counts)
+
+
 def predict_rows(requests: DataFrame, states: DataFrame, counts: DataFrame) -> DataFrame:
     """Evidence rows for requests ``(request_id, project_id, as_of, window, goals)``; item is the goal's place."""
-    asked = (
-        valid_predicts(requests)
-        .selectExpr("request_id", "project_id", *day_span(PREDICT_DAYS), "posexplode(goals) AS (item, name)")
-        .join(states, "request_id")
-        .selectExpr(
-            "request_id", "item", *SPAN, "concat('GOAL#', name) AS goal", f"'{NO_ACTION}' AS action", "states"
-        )
+    found = answered(
+        _asked_goals(requests, states),
+        _GOALS,
+        lambda questions: _goal_rows(questions, counts).select("request_id", "item", "place", "goal", "action", "leaf", "lt", "lf"),
     )
-    return score_rows(asked, counts)
+    return found.selectExpr("request_id", *SPAN, "inline(answers)")
 
 
 def predict(requests: DataFrame, states: DataFrame, counts: DataFrame) -> DataFrame:
     """One row per (request, goal): probability, and code and message of a failure."""
-    scored = posteriors(predict_rows(requests, states, counts))
-    names = valid_predicts(requests).selectExpr("request_id", "posexplode(goals) AS (item, goal)")
-    return names.join(scored, ["request_id", "item"]).selectExpr(
-        "request_id", "item", "goal", "probability", *status_columns("predict")
+    found = answered(
+        _asked_goals(requests, states),
+        _GOALS,
+        lambda questions: posteriors(_goal_rows(questions, counts), "goal").selectExpr(
+            "request_id", "item", "substr(goal, 6) AS goal", "probability", *status_columns("predict")
+        ),
     )
+    return found.selectExpr("request_id", "inline(answers)")
 
 
 def score_detail(rows: DataFrame) -> DataFrame:

@@ -207,3 +207,16 @@ def test_ordering_helpers(spark):
     df = spark.createDataFrame([("ccc",), ("a",), ("bb",), ("aa",), ("é",)], "x string")
     assert [r.x for r in by_text(df, "x").collect()] == ["a", "aa", "bb", "ccc", "é"]
     assert [r.x for r in by_byte_length(df, "x").collect()] == ["a", "aa", "bb", "é", "ccc"]
+
+
+def test_each_question_is_answered_once(spark):
+    asked = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q"), (4, None), (5, None)], "request_id long, project_id string")
+    given = []
+
+    def answer(questions):
+        given.append(questions.count())
+        return questions.selectExpr("request_id", "coalesce(project_id, '-') AS said")
+
+    got = {r.request_id: [a.said for a in r.answers] for r in scoring.answered(asked, ["project_id"], answer).collect()}
+    assert given == [3]
+    assert got == {1: ["p"], 2: ["p"], 3: ["q"], 4: ["-"], 5: ["-"]}

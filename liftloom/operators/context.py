@@ -32,90 +32,116 @@ def _kept_steps(events: DataFrame) -> DataFrame:
     )
 
 
-def _since_clears(rows: DataFrame, clears: DataFrame, time: str) -> DataFrame:
-    """Add ``epoch``, how many clears of the row's session come before ``time``. Sessions without clears are not sorted for it."""
+def _since_clears(rows: DataFrame, clears: DataFrame, time: str, hot: HotKeys | None) -> DataFrame:
+    """Add ``epoch``, how many clears of the row's session come before ``time``.
+
+    Counted in the order of the session, where :func:`lists` needs its rows anyway. Told ``hot``, places are looked up in slots instead, for sessions
+    that are too long to be sorted.
+    """
     session = ["project_id", "session_id"]
+    marks = clears.selectExpr(*session, "ts_ms AS pos")
+    timed = rows.withColumn("pos", F.expr(time))
+    if hot is None:
+        both = _by_session(timed.withColumn("mark", F.lit(0)).unionByName(marks.withColumn("mark", F.lit(1)), allowMissingColumns=True))
+        over = f"OVER (PARTITION BY {', '.join(session)} ORDER BY pos, mark ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        return both.withColumn("epoch", F.expr(f"sum(cast(mark AS bigint)) {over}")).where("mark = 0").drop("pos", "mark")
     cleared = clears.select(*session).distinct()
-    asked = rows.selectExpr(*session, f"{time} AS pos").join(cleared, session, "left_semi").distinct()
-    counted = before(clears.selectExpr(*session, "ts_ms AS pos"), asked, session, {"epoch": "1L"}, None)
-    return rows.withColumn("pos", F.expr(time)).join(counted, [*session, "pos"], "left").withColumn("epoch", F.coalesce("epoch", F.lit(0))).drop("pos")
+    asked = timed.select(*session, "pos").join(cleared, session, "left_semi").distinct()
+    counted = before(marks, asked, session, {"epoch": "1L"}, hot.slot_rows)
+    return timed.join(counted, [*session, "pos"], "left").withColumn("epoch", F.coalesce("epoch", F.lit(0))).drop("pos")
 
 
-def lists(
-    events: DataFrame,
-    requests: DataFrame,
-    expiry_ms: int = EXPIRY_MS,
-    kept: int = KEPT,
-    hot: HotKeys | None = HotKeys(),
-    clears: DataFrame | None = None,
-) -> DataFrame:
-    """``(request_id, kind, tokens)`` for the lists a request finds alive; ``tokens`` is oldest first.
+def _by_session(rows: DataFrame) -> DataFrame:
+    """Rows moved once, by session: all that follows is done where they are."""
+    return rows.repartition("project_id", "session_id")
+
+
+def _latest(part: DataFrame, keys: list[str], kept: int) -> DataFrame:
+    """Asking rows with the last ``kept`` tokens of their list, as ``held``. Rows that ask add nothing to it."""
+    over = f"OVER (PARTITION BY {', '.join(keys)}, chain_start ORDER BY chain_seq RANGE BETWEEN {kept - 1}L PRECEDING AND CURRENT ROW)"
+    return part.withColumn("held", F.expr(f"collect_list(x) {over}")).where("take IS NOT NULL").drop("x", "chain_start", "chain_seq")
+
+
+def _latest_in_blocks(part: DataFrame, keys: list[str], kept: int) -> DataFrame:
+    """The same for sessions that are too long to be sorted in one task.
 
-    ``requests`` has ``request_id, project_id, session_id, ts_ms, take`` with ``take`` the number of tokens wanted.
     The list history is stored in blocks of ``kept`` tokens; a request reads its own block and the one before, so no
     request ever touches a whole session.
-
-    ``clears`` has ``project_id, session_id, ts_ms``: at that time both lists are emptied, of what that very millisecond added as well.
-    What is added later begins new lists.
     """
-    keys = _KEYS
-    steps = _kept_steps(events)
-    asks = requests.selectExpr(
-        "project_id",
-        "session_id",
-        "explode(array('evt', 'atr')) AS kind",
-        "ts_ms",
-        "request_id AS row_id",
-        f"cast(least(take, {int(kept)}) AS bigint) AS take",
+    blocks = part.where("take IS NULL").groupBy(*keys, "chain_start", F.expr(f"(chain_seq - 1) div {kept} AS block")).agg(
+        F.expr("sort_array(collect_list(named_struct('seq', chain_seq, 'x', x))) AS read")
+    )
+    asks = part.where("take IS NOT NULL").drop("x")
+    wanted = asks.where("chain_seq > 0").selectExpr(
+        "row_id", *keys, "chain_start", "chain_seq",
+        f"explode(sequence(greatest(chain_seq - {kept}, 0) div {kept}, (chain_seq - 1) div {kept})) AS block",
+    )
+    found = (
+        wanted.join(blocks, [*keys, "chain_start", "block"])
+        .selectExpr("row_id", "kind", f"filter(read, h -> h.seq <= chain_seq AND h.seq > chain_seq - {kept}) AS part")
+        .groupBy("row_id", "kind")
+        .agg(F.expr("transform(sort_array(flatten(collect_list(part))), h -> h.x) AS held"))
     )
-    both = steps.drop("x").withColumn("take", F.lit(None).cast("bigint")).unionByName(asks)
+    none = F.expr("cast(array() AS array<string>)")
+    return asks.drop("chain_start", "chain_seq").join(found, ["row_id", "kind"], "left").withColumn("held", F.coalesce("held", none))
+
+
+def _seen(events: DataFrame, asks: DataFrame, expiry_ms: int, kept: int, hot: HotKeys | None, clears: DataFrame | None) -> DataFrame:
+    """``asks`` (``project_id, session_id, kind, ts_ms, row_id, take`` and more) with the ``tokens`` of their list, oldest first, or none."""
+    keys, session = _KEYS, ["project_id", "session_id"]
+    both = _kept_steps(events).unionByName(asks, allowMissingColumns=True)
+    both = both.where("project_id IS NOT NULL AND session_id IS NOT NULL")
+    # without a busy session no list of one is busy
+    hot = hot if busiest_keys(both, session, hot) else None
     if clears is not None:
         keys = [*_KEYS, "epoch"]
-        steps = _since_clears(steps, clears, "ts_ms")
         # a request at the time of a clear finds the lists empty
-        both = _since_clears(both, clears, "if(take IS NULL, ts_ms, ts_ms + 1)")
+        both = _since_clears(both, clears, "if(take IS NULL, ts_ms, ts_ms + 1)", hot)
+    columns = [*session, "kind", *[c for c in both.columns if c not in {*session, "kind"}]]
+
+    def asked(part: DataFrame) -> DataFrame:
+        return part.select(*columns, "chain_start", "chain_seq")
+
     busiest = busiest_keys(both, keys, hot)
-    blocks = gap_chains(
-        steps,
-        keys,
-        "ts_ms",
-        f"ts_ms + {int(expiry_ms)}",
-        "row_id",
-        hot=hot,
-        busiest=busiest,
-        then=lambda part: part.groupBy(*keys, "chain_start", F.expr(f"(chain_seq - 1) div {int(kept)} AS block")).agg(
-            F.expr("sort_array(collect_list(named_struct('seq', chain_seq, 'x', x))) AS held")
-        ),
-    )
     # a request neither extends a list (its end is its own time) nor counts as a step (weight 0)
-    placed = gap_chains(
-        both,
+    found = gap_chains(
+        both if clears is not None else _by_session(both),
         keys,
         "ts_ms",
         f"CASE WHEN take IS NULL THEN ts_ms + {int(expiry_ms)} ELSE ts_ms END",
         "row_id",
         rank="CASE WHEN take IS NULL THEN 0 ELSE 1 END",
         weight="CASE WHEN take IS NULL THEN 1 ELSE 0 END",
-        hot=hot,
+        hot=hot if busiest else None,
         busiest=busiest,
-        then=lambda part: part.where("take > 0 AND chain_seq > 0"),
-    )
-    wanted = placed.selectExpr(
-        "row_id AS request_id",
-        *keys,
-        "chain_start",
-        "chain_seq",
-        "take",
-        f"""explode(sequence(greatest(chain_seq - take, 0) div {int(kept)}, (chain_seq - 1) div {int(kept)})) AS block""",
+        then=lambda part: _latest(asked(part), keys, int(kept)),
+        then_sliced=lambda part: _latest_in_blocks(asked(part), keys, int(kept)).select(*[c for c in columns if c != "x"], "held"),
     )
-    return (
-        wanted.join(blocks, [*keys, "chain_start", "block"])
-        .selectExpr(
-            "request_id", "kind", "filter(held, h -> h.seq <= chain_seq AND h.seq > chain_seq - take) AS part"
-        )
-        .groupBy("request_id", "kind")
-        .agg(F.expr("transform(sort_array(flatten(collect_list(part))), h -> h.x) AS tokens"))
+    return found.withColumn("tokens", F.expr("slice(held, cast(greatest(size(held) - take, 0) + 1 AS int), size(held))")).drop("held")
+
+
+def lists(
+    events: DataFrame,
+    requests: DataFrame,
+    expiry_ms: int = EXPIRY_MS,
+    kept: int = KEPT,
+    hot: HotKeys | None = HotKeys(),
+    clears: DataFrame | None = None,
+) -> DataFrame:
+    """``(request_id, kind, tokens)`` for the lists a request finds alive; ``tokens`` is oldest first.
+
+    ``requests`` has ``request_id, project_id, session_id, ts_ms, take`` with ``take`` the number of tokens wanted.
+    Events and requests move once, by session; a list is what the last ``kept`` steps before a request hold.
+
+    ``clears`` has ``project_id, session_id, ts_ms``: at that time both lists are emptied, of what that very millisecond added as well.
+    What is added later begins new lists.
+    """
+    asks = requests.where("take > 0").selectExpr(
+        "project_id", "session_id", "explode(array('evt', 'atr')) AS kind", "ts_ms", "request_id AS row_id",
+        f"cast(least(take, {int(kept)}) AS bigint) AS take",
     )
+    seen = _seen(events, asks, expiry_ms, kept, hot, clears)
+    return seen.where("size(tokens) > 0").selectExpr("row_id AS request_id", "kind", "tokens")
 
 
 def dump(events: DataFrame, requests: DataFrame, expiry_ms: int = EXPIRY_MS, kept: int = KEPT, clears: DataFrame | None = None) -> DataFrame:
@@ -142,16 +168,17 @@ def merged_states(
         "request_id", "project_id", "session_id", "ts_ms", f"{request_states()} AS sent",
         f"CASE ctxlength WHEN 0 THEN {DEFAULT_LENGTH} ELSE ctxlength END AS take",
     ).where("take >= -1")
-    found = lists(
-        events, asking.where("take > 0 AND session_id <> ''").drop("sent"), expiry_ms, kept, hot
-    )
-    per_request = found.groupBy("request_id").agg(
+    listed = "coalesce(take > 0 AND session_id <> '' AND project_id IS NOT NULL, false)"
+    # a request asks for both lists of its session and takes what it sent along with the first
+    asks = asking.where(listed).selectExpr(
+        "project_id", "session_id", "ts_ms", "request_id AS row_id", f"cast(least(take, {int(kept)}) AS bigint) AS take",
+        "explode(array('evt', 'atr')) AS kind", "sent",
+    ).withColumn("sent", F.expr("CASE WHEN kind = 'evt' THEN sent END"))
+    found = _seen(events, asks, expiry_ms, kept, hot, None).groupBy("project_id", "session_id", "row_id").agg(
         F.expr("max(CASE WHEN kind = 'evt' THEN tokens END) AS evt"),
         F.expr("max(CASE WHEN kind = 'atr' THEN tokens END) AS atr"),
+        F.expr("max(CASE WHEN kind = 'evt' THEN sent END) AS sent"),
     )
-    none = "cast(array() AS array<string>)"
-    return asking.join(per_request, "request_id", "left").selectExpr(
-        "request_id",
-        f"""CASE WHEN take = -1 OR session_id = '' THEN sent
-            ELSE array_distinct(concat(coalesce(evt, {none}), coalesce(atr, {none}), sent)) END AS states""",
-    )
+    merged = found.selectExpr("row_id AS request_id", "array_distinct(concat(evt, atr, sent)) AS states")
+    unlisted = "CASE WHEN take = -1 OR session_id = '' THEN sent ELSE array_distinct(sent) END AS states"
+    return merged.unionByName(asking.where(f"NOT {listed}").selectExpr("request_id", unlisted))

@@ -75,3 +75,18 @@ def test_against_a_stepwise_list(spark, make_events, hot):
         expected[number] = list(dict.fromkeys(seen))
     got = merged_states(make_events(rows), ask(spark, *asked), expiry_ms=60, kept=4, hot=hot)
     assert {r.request_id: r.states for r in got.collect()} == expected
+
+
+def test_rows_move_once(spark, make_events):
+    wanted = ask(spark, (100, 10, None)).selectExpr("*", "50 AS take")
+    clears = spark.createDataFrame([("p", "s", 3)], "project_id string, session_id string, ts_ms long")
+    for found in (lists(history(make_events, *SIX), wanted, hot=None), lists(history(make_events, *SIX), wanted, hot=None, clears=clears)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_clears_in_long_sessions(spark, make_events):
+    events = history(make_events, *SIX * 9)
+    wanted = ask(spark, *[(at, 0, None) for at in range(0, 60, 5)]).selectExpr("*", "4 AS take")
+    clears = spark.createDataFrame([("p", "s", at) for at in (7, 20, 21, 35)], "project_id string, session_id string, ts_ms long")
+    found = [sorted((r.request_id, r.kind, tuple(r.tokens)) for r in lists(events, wanted, hot=hot, clears=clears).collect()) for hot in (None, HotKeys(0, 13))]
+    assert found[0] == found[1] and (4, "evt", ()) not in found[0] and not [r for r in found[0] if r[0] == 4 or r[0] == 7]

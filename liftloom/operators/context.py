@@ -151,9 +151,55 @@ def dump(events: DataFrame, requests: DataFrame, expiry_ms: int = EXPIRY_MS, kep
 
 def request_states() -> str:
     """Tokens of the states sent along, up to the first with a bad type; later ones become blank and match nothing."""
+    # only these four pass; upper() would look up the rules of all languages
+    upper = "CASE s.type WHEN 'event' THEN 'EVENT' WHEN 'atr' THEN 'ATR' WHEN 'goal' THEN 'GOAL' ELSE 'ACT' END"
     bad = "array_position(transform(states, s -> coalesce(s.type, '') NOT IN ('event', 'atr', 'goal', 'act')), true)"
     return f"""transform(coalesce(states, cast(array() AS array<struct<name:string,type:string>>)),
-        (s, i) -> CASE WHEN {bad} = 0 OR i + 1 < {bad} THEN concat_ws('#', upper(s.type), coalesce(s.name, '')) ELSE '' END)"""
+        (s, i) -> CASE WHEN {bad} = 0 OR i + 1 < {bad} THEN concat_ws('#', {upper}, coalesce(s.name, '')) ELSE '' END)"""
+
+
+def _held_together(events: DataFrame, asks: DataFrame, expiry_ms: int, kept: int) -> DataFrame:
+    """``asks`` (``project_id, session_id, ts_ms, row_id, take`` and more), each with ``evt`` and ``atr``, the tokens of both lists.
+
+    Both lists are read off one order of a session: a list is the last of its steps, as many as were added since it was last empty.
+    """
+    rows = _by_session(_kept_steps(events).where("project_id IS NOT NULL AND session_id IS NOT NULL").unionByName(asks, allowMissingColumns=True))
+    session, order = "PARTITION BY project_id, session_id", "ORDER BY ts_ms, if(take IS NULL, 0, 1), row_id"
+    until = f"OVER ({session} {order} ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    steps = {kind: f"kind <=> '{kind}'" for kind in ("evt", "atr")}
+    # added so far, and the time of the step before
+    rows = rows.selectExpr(
+        "*",
+        *[f"count_if({step}) {until} CURRENT ROW) AS {kind}_at" for kind, step in steps.items()],
+        *[f"max(if({step}, ts_ms, NULL)) {until} 1 PRECEDING) AS {kind}_last" for kind, step in steps.items()],
+    )
+    rows = rows.selectExpr(
+        "*",
+        *[
+            f"last(if({step} AND ({kind}_last IS NULL OR ts_ms >= {kind}_last + {int(expiry_ms)}), {kind}_at, NULL), true) {until} CURRENT ROW) AS {kind}_opened"
+            for kind, step in steps.items()
+        ],
+    )
+    for kind, step in steps.items():
+        # a list is a partition of its own, so a window holds no more than can be asked for
+        latest = f"OVER ({session}, {kind}_opened ORDER BY {kind}_at RANGE BETWEEN {kept - 1}L PRECEDING AND CURRENT ROW)"
+        rows = rows.selectExpr("*", f"collect_list(if({step}, x, NULL)) {latest} AS {kind}_held")
+    asked = rows.where("take IS NOT NULL")
+    for kind in steps:
+        long = f"if(ts_ms < {kind}_last + {int(expiry_ms)}, least(take, {kind}_at - {kind}_opened + 1, {kept}), 0)"
+        asked = asked.withColumn(f"_{kind}", F.expr(f"cast(coalesce({long}, 0) AS int)")).withColumn(
+            kind, F.expr(f"if(_{kind} > 0, slice({kind}_held, -_{kind}, _{kind}), cast(array() AS array<string>))")
+        )
+    return asked.select(*asks.columns, *steps)
+
+
+def _held_apart(events: DataFrame, asks: DataFrame, expiry_ms: int, kept: int, hot: HotKeys, more: str) -> DataFrame:
+    """The same for busy sessions, where each list is looked up in slots. ``more`` comes along with the first list."""
+    each = asks.withColumn("kind", F.explode(F.array(F.lit("evt"), F.lit("atr")))).withColumn(more, F.expr(f"CASE WHEN kind = 'evt' THEN {more} END"))
+    return _seen(events, each, expiry_ms, kept, hot, None).groupBy("row_id").agg(
+        *[F.expr(f"max(CASE WHEN kind = '{kind}' THEN tokens END) AS {kind}") for kind in ("evt", "atr")],
+        F.expr(f"max(CASE WHEN kind = 'evt' THEN {more} END) AS {more}"),
+    )
 
 
 def merged_states(
@@ -169,16 +215,16 @@ def merged_states(
         f"CASE ctxlength WHEN 0 THEN {DEFAULT_LENGTH} ELSE ctxlength END AS take",
     ).where("take >= -1")
     listed = "coalesce(take > 0 AND session_id <> '' AND project_id IS NOT NULL, false)"
-    # a request asks for both lists of its session and takes what it sent along with the first
-    asks = asking.where(listed).selectExpr(
-        "project_id", "session_id", "ts_ms", "request_id AS row_id", f"cast(least(take, {int(kept)}) AS bigint) AS take",
-        "explode(array('evt', 'atr')) AS kind", "sent",
-    ).withColumn("sent", F.expr("CASE WHEN kind = 'evt' THEN sent END"))
-    found = _seen(events, asks, expiry_ms, kept, hot, None).groupBy("project_id", "session_id", "row_id").agg(
-        F.expr("max(CASE WHEN kind = 'evt' THEN tokens END) AS evt"),
-        F.expr("max(CASE WHEN kind = 'atr' THEN tokens END) AS atr"),
-        F.expr("max(CASE WHEN kind = 'evt' THEN sent END) AS sent"),
-    )
-    merged = found.selectExpr("row_id AS request_id", "array_distinct(concat(evt, atr, sent)) AS states")
+    asks = asking.where(listed).selectExpr("project_id", "session_id", "ts_ms", "request_id AS row_id", f"cast(least(take, {int(kept)}) AS bigint) AS take", "sent")
+    session = ["project_id", "session_id"]
+    # counted with all requests, as to tell which of them ask costs more than to count them
+    found = busiest_keys(_kept_steps(events).select(*session).unionByName(requests.select(*session)).dropna(), session, hot)
+    if found is None:
+        held = _held_together(events, asks, expiry_ms, int(kept))
+    else:
+        parts = [[df.join(found.listed, session, how) for df in (events, asks)] for how in ("left_anti", "left_semi")]
+        columns = ["row_id", "evt", "atr", "sent"]
+        held = _held_together(*parts[0], expiry_ms, int(kept)).select(*columns).unionByName(_held_apart(*parts[1], expiry_ms, int(kept), hot, "sent").select(*columns))
+    merged = held.selectExpr("row_id AS request_id", "array_distinct(concat(evt, atr, sent)) AS states")
     unlisted = "CASE WHEN take = -1 OR session_id = '' THEN sent ELSE array_distinct(sent) END AS states"
     return merged.unionByName(asking.where(f"NOT {listed}").selectExpr("request_id", unlisted))

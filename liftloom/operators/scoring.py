@@ -107,11 +107,11 @@ def likelihoods(lookups: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def answered(asked: DataFrame, question: list[str], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Add ``answers``, an array of structs in order: each different question is answered once, however many requests ask it.
+def with_answer(asked: DataFrame, question: list[str], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Add the columns of an answer: each different question is answered once, however many requests ask it.
 
     :param question: select list of all that an answer depends on
-    :param answer: makes rows of a table of questions, each with its number as ``request_id``
+    :param answer: makes one row of each question, which has its number as ``request_id``; columns of the question are not added again
 
     Questions and answers are written, so the size of what is joined to the requests is known.
     """
@@ -119,12 +119,21 @@ def answered(asked: DataFrame, question: list[str], answer: Callable[[DataFrame]
     numbered = asked.select("_question").distinct().selectExpr("monotonically_increasing_id() AS request_id", "_question")
     questions = written(numbered, "questions")
     found = answer(questions.select("request_id", "_question.*"))
-    rest = ", ".join(column for column in found.columns if column != "request_id")
-    each = found.groupBy("request_id").agg(F.expr(f"sort_array(collect_list(struct({rest}))) AS answers"))
-    answers = written(questions.join(each, "request_id").drop("request_id"), "answers")
+    answers = written(questions.join(found, "request_id").drop("request_id"), "answers")
     return asked.join(answers, "_question").drop("_question")
 
 
+def answered(asked: DataFrame, question: list[str], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The same for answers of several rows: adds ``answers``, an array of structs in order."""
+
+    def gathered(questions: DataFrame) -> DataFrame:
+        found = answer(questions)
+        rest = ", ".join(column for column in found.columns if column != "request_id")
+        return found.groupBy("request_id").agg(F.expr(f"sort_array(collect_list(struct({rest}))) AS answers"))
+
+    return with_answer(asked, question, gathered)
+
+
 def score_rows(asked: DataFrame, counts: DataFrame) -> DataFrame:
     """The evidence rows of each score: one per state, and one for the prior (``place`` -1).
 
@@ -192,6 +201,8 @@ def _asked_goals(requests: DataFrame, states: DataFrame) -> DataFrame:
 
 
 _GOALS = [*SPAN, "goals", "states"]
+#: a score is a sum over its states, so their order does not make another question; repeats do
+SORTED = "sort_array(states)"
 
 
 def _goal_rows(questions: DataFrame, counts: DataFrame) -> DataFrame:
@@ -215,7 +226,7 @@ def predict(requests: DataFrame, states: DataFrame, counts: DataFrame) -> DataFr
     """One row per (request, goal): probability, and code and message of a failure."""
     found = answered(
         _asked_goals(requests, states),
-        _GOALS,
+        [*SPAN, "goals", f"{SORTED} AS states"],
         lambda questions: posteriors(_goal_rows(questions, counts), "goal").selectExpr(
             "request_id", "item", "substr(goal, 6) AS goal", "probability", *status_columns("predict")
         ),

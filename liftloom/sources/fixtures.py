@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,9 +18,12 @@ EVENTS_TABLE = T.StructType(
 )
 
 
+def _number() -> Column:
+    return F.get_json_object("props", "$.k").cast("int")
+
+
 def canonical(raw: DataFrame, *extra: str) -> DataFrame:
-    """Give the test table the columns of canonical events; ``extra`` may name the parsed number ``k``."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    """Give the test table the columns of canonical events; ``extra`` may name the parsed number ``k``, which ``raw`` may have."""
     kind = (
         F.when(F.col("event_type") == "purchase", "GOAL")
         .when(F.col("event_type") == "click", "ACT")
@@ -38,7 +41,8 @@ def canonical(raw: DataFrame, *extra: str) -> DataFrame:
         )
         .otherwise("")
     )
-    return raw.withColumn("k", k).withColumn("kind", kind).select(
+    numbered = raw if "k" in raw.columns else raw.withColumn("k", _number())
+    return numbered.withColumn("kind", kind).select(
         "event_id",
         F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("project_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"),
@@ -152,7 +156,8 @@ PROJECT_KEY_ROWS = [("k-open", "p1", "F"), ("k-locked", "p1", "T")]
 
 def requests(raw: DataFrame) -> DataFrame:
     """Predict and action requests: one for every event in the test table."""
-    views = canonical(raw, "k")
+    # exploded, so that props are parsed once a row: a filter on a request would parse them again for every column it looks at
+    views = canonical(raw.withColumn("k", F.explode(F.array(_number()))), "k")
     return views.selectExpr(
         "event_id AS request_id",
         "project_id",

@@ -90,3 +90,10 @@ def test_clears_in_long_sessions(spark, make_events):
     clears = spark.createDataFrame([("p", "s", at) for at in (7, 20, 21, 35)], "project_id string, session_id string, ts_ms long")
     found = [sorted((r.request_id, r.kind, tuple(r.tokens)) for r in lists(events, wanted, hot=hot, clears=clears).collect()) for hot in (None, HotKeys(0, 13))]
     assert found[0] == found[1] and (4, "evt", ()) not in found[0] and not [r for r in found[0] if r[0] == 4 or r[0] == 7]
+
+
+def test_a_request_is_one_row(spark, make_events):
+    """Both lists come from one row of a request: nothing is taken twice or gathered again."""
+    found = merged_states(history(make_events, *SIX), ask(spark, (100, 10, None)), hot=None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1

@@ -11,6 +11,7 @@ from liftloom.functions.ordering import by_byte_length, by_text
 from liftloom.functions.tokens import hashed_uniform
 from liftloom.operators import actions, policies, scoring
 from liftloom.schemas import COUNTS
+from liftloom.session import written
 
 DAY = dt.date(2024, 1, 10)
 BASE = {"[AL]||[TS]": 100, "GOAL#g||[TS]": 30, "GOAL#g||EVENT#e": 20, "GOAL#g||[TE]": 60, "[AL]||EVENT#e": 40, "[AL]||[TE]": 300}
@@ -220,3 +221,28 @@ def test_each_question_is_answered_once(spark):
     got = {r.request_id: [a.said for a in r.answers] for r in scoring.answered(asked, ["project_id"], answer).collect()}
     assert given == [3]
     assert got == {1: ["p"], 2: ["p"], 3: ["q"], 4: ["-"], 5: ["-"]}
+
+
+def test_softmax_over_vanishing_weights(spark):
+    """Weights that all vanish decide nothing and divide nothing."""
+    for policy in ("S", "CS"):
+        [row] = pick(spark, [(True, -1e9), (True, -1e8)], policy)
+        assert (row.picked, row.mode) == (-1, "error")
+
+
+def test_order_of_states_asks_nothing_new(spark, monkeypatch):
+    """Requests that saw the same in another order are one question, and one offer where costs and reward are the same too."""
+    asked = {}
+
+    def kept(df, name):
+        table = written(df, name)
+        asked.setdefault(name, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(scoring, "written", kept)
+    requests = ask(spark, rows=[dict(request_id=1), dict(request_id=2), dict(request_id=3, reward=5.0)])
+    seen = spark.createDataFrame([(1, ["EVENT#e", "ATR#b"]), (2, ["ATR#b", "EVENT#e"]), (3, ["EVENT#e", "ATR#b"])], "request_id long, states array<string>")
+    scored = actions.score_actions(requests, seen, table(spark, WITH_ACTION)).orderBy("request_id").collect()
+    assert asked["questions"] == [2, 1]
+    assert scored[0].choices == scored[1].choices and scored[2].choices[0].action_prob == scored[0].choices[0].action_prob
+    assert scored[2].baseline == pytest.approx(2.5 * scored[0].baseline)

@@ -140,8 +140,11 @@ def read_corrections(spark: SparkSession, store: str) -> DataFrame:
 def read_spans(spark: SparkSession, path: str, spans: DataFrame) -> DataFrame:
     """The days from the first to the last that ``spans`` (``project_id, start_day, end_day``) ask for, and their projects only.
 
-    Two dates are read from ``spans``, so that other day folders are not even listed; projects are a semi join.
+    Two dates are read from ``spans``, so that other day folders are not even listed; projects are a semi join. ``spans`` is read once, and one row
+    a project is written. A project none of whose spans holds a day has no counts to read.
     """
-    first = spans.where("start_day <= end_day").agg(F.min("start_day"), F.max("end_day")).first()
+    asked = spans.where("start_day <= end_day").groupBy("project_id").agg(F.min("start_day").alias("first"), F.max("end_day").alias("last"))
+    asked = written(asked, "asked")
+    first = asked.agg(F.min("first"), F.max("last")).first()
     held = read_counts(spark, path).where(F.col("day").between(F.lit(first[0]).cast("date"), F.lit(first[1]).cast("date")))
-    return held.join(spans.select("project_id").distinct(), "project_id", "left_semi")
+    return held.join(asked.select("project_id"), "project_id", "left_semi")

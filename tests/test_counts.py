@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from liftloom.session import written
 from liftloom.config import SessionSettings
 from liftloom.operators import counts
 from liftloom.schemas import COUNTS
@@ -152,3 +153,14 @@ def test_stored_scoring_reads_asked_days_only(spark, tmp_path):
     assert {str(r.day) for r in held.collect()} == {str(D2)}
     assert "PartitionFilters: [isnotnull(day" in held._jdf.queryExecution().executedPlan().toString()
     assert counts_store.read_spans(spark, path, spans.where("start_day > end_day")).isEmpty()
+
+
+def test_spans_of_a_store_are_read_once(spark, tmp_path):
+    from liftloom.sources import counts_store
+
+    rows = [(p, dt.date(2024, 1, d), "[AL]", "", "EVENT#a", 1) for p in "pqr" for d in (1, 2, 3)]
+    counts_store.write_days(spark.createDataFrame(rows, COUNTS), str(tmp_path / "store"))
+    spans = spark.range(3).selectExpr("array('p', 'q', 'q')[id] AS project_id", "date'2024-01-02' AS start_day", "date_add(date'2024-01-02', array(0, -1, -2)[id]) AS end_day")
+    held = counts_store.read_spans(spark, str(tmp_path / "store"), spans)
+    assert [(r.project_id, r.day.day) for r in held.collect()] == [("p", 2)]
+    assert "Range" not in held._jdf.queryExecution().executedPlan().toString()

@@ -123,7 +123,8 @@ def _add(spark: SparkSession, fresh: DataFrame, store: str, newest: int) -> None
     try:
         held = spark.read.schema(f"{_COLUMNS}, through bigint").parquet(store).where(F.col("day").isin(days))
     except AnalysisException:
-        held = spark.createDataFrame([], f"{_COLUMNS}, through bigint")
+        # nothing is stored yet: an empty table that Spark knows to be empty, so no tasks are started for it
+        held = fresh.withColumnRenamed("batch_id", "through").where("false")
     done = held.groupBy("day").agg(F.max("through").alias("done"))
     added = fresh.join(F.broadcast(done), "day", "left").where("done IS NULL OR batch_id > done").select(*COUNTS.fieldNames())
     totals = merge_counts(held.select(*COUNTS.fieldNames()).unionByName(added))

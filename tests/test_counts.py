@@ -164,3 +164,20 @@ def test_spans_of_a_store_are_read_once(spark, tmp_path):
     held = counts_store.read_spans(spark, str(tmp_path / "store"), spans)
     assert [(r.project_id, r.day.day) for r in held.collect()] == [("p", 2)]
     assert "Range" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_refresh_starts_no_tasks_for_what_is_not_there(spark, tmp_path, monkeypatch):
+    from liftloom.sources import counts_store
+
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(counts_store, "written", kept)
+    one = spark.createDataFrame([("p", dt.date(2024, 1, 1), "[AL]", "", "EVENT#a", 1)], COUNTS)
+    counts_store.write_increment(one, str(tmp_path / "increments"), 0)
+    counts_store.refresh(spark, str(tmp_path / "increments"), str(tmp_path / "store"))
+    assert "Union" not in plans[0] and "LogicalRDD" not in plans[0]
+    assert counts_store.read_counts(spark, str(tmp_path / "store")).count() == 1

@@ -318,8 +318,12 @@ def _likelihoods(spark: SparkSession, folder: str, shape: str) -> DataFrame:
     """Likelihoods of every goal, action and leaf counted together, over every span asked for."""
     counted = written(_counts(spark, folder), "counts")
     pairs = counted.where(F.col("goal") != ALL).where(shape).select("project_id", "goal", "action", "leaf").distinct()
-    lookups = pairs.join(_spans(spark, folder).distinct(), "project_id")
-    return scoring.likelihoods(lookups, counted)
+    return scoring.likelihoods(_asked_of(pairs, _spans(spark, folder)), counted)
+
+
+def _asked_of(pairs: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every key of a project in every span asked for. Spans are written, as lookups are read several times and requests are many."""
+    return pairs.join(written(spans.distinct(), "spans"), "project_id")
 
 
 def _rounded_logs(df: DataFrame) -> DataFrame:
@@ -341,9 +345,7 @@ def action_likelihood(spark: SparkSession, folder: str) -> DataFrame:
 def action_class_prior(spark: SparkSession, folder: str) -> DataFrame:
     counted = written(_counts(spark, folder, conversion.ACTION, conversion.GOAL_ACTION), "counts")
     pairs = counted.where((F.col("goal") != ALL) & (F.col("leaf") == SESSION_TOTAL))
-    lookups = pairs.select("project_id", "goal", "action").distinct().join(
-        _spans(spark, folder).distinct(), "project_id"
-    )
+    lookups = _asked_of(pairs.select("project_id", "goal", "action").distinct(), _spans(spark, folder))
     return scoring.action_priors(lookups, counted).selectExpr(
         *scoring.SPAN, "goal", "action", "s", "b", "round(lt, 6) AS log_true", "round(lf, 6) AS log_false"
     )

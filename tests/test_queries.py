@@ -49,3 +49,8 @@ def test_sessions_are_scanned_once(spark, monkeypatch):
     exchanges = [line for line in scanned.splitlines() if "Exchange hashpartitioning" in line]
     assert len(exchanges) == 1 and "session_id" in exchanges[0]
     assert not any(word in plan for plan in plans for word in ("Python", "BatchEval", "CartesianProduct"))
+
+
+def test_spans_are_read_once(spark):
+    """Requests are read for their spans, which are written; the lookups and their sums read those."""
+    assert "events.parquet" not in plan_of(catalog.QUERIES["action_likelihood"](spark, f"{DATA}/sf0.001"))

@@ -10,8 +10,9 @@ For goals after an action an interval ends at the action and is counted once per
 the action's marker, a local one where it would begin for the goal alone, whichever is later. Ordered in time, goals and the actions of one token
 both look back to ever later places, so how many goals see an action, from where, is again a number of rows before a place.
 
-Sessions are scanned once, and the rows with all this are written once. Long sessions are cut into slots of places in every
-step, so that no task sorts more than a slot.
+Sessions are scanned once, and the rows with all this are written once. What a session adds depends on nothing else, so sessions of
+a project and day that look the same can be counted as one, times their number (:func:`alike`). Long sessions are cut into slots of
+places in every step, so that no task sorts more than a slot.
 """
 
 from __future__ import annotations
@@ -31,7 +32,14 @@ FAMILIES = frozenset({EVENT, SESSION, GOAL, ACTION, GOAL_ACTION})
 _PANE = ["project_id", "session_id", "session_start", "pane"]
 _IN_PANE = ", ".join(_PANE)
 _KEY = ["project_id", "day", "goal", "action", "leaf"]
-_STEP = [*_PANE, "day", "place", "kind", "x", "labelled", "local", "hi", "near", "reach"]
+_LOOK = ["day", "place", "kind", "x", "labelled", "local", "hi", "near", "reach"]
+_STEP = [*_PANE, *_LOOK, "copies"]
+#: where counting asks for less than is known of a row
+_ASKED = {
+    **{name: f"if(kind = 'GOAL', {name}, false)" for name in ("labelled", "local")},
+    **{name: f"if(kind IN ('GOAL', 'ACT'), {name}, 0L)" for name in ("hi", "reach")},
+    "near": "if(kind = 'GOAL' AND local, near, 0L)",
+}
 #: instances counted apart: without and with a label, and the same of local ones
 _COUNTED = [("free", "!", "!"), ("cut", "!", ""), ("local_free", "", "!"), ("local_cut", "", "")]
 
@@ -61,16 +69,34 @@ def steps(rows: DataFrame, hint_ms: int) -> DataFrame:
         _tokens(rows)
         .selectExpr(
             "*",
-            f"max(run_end) OVER (PARTITION BY {_IN_PANE}) AS pane_end",
+            f"max(run_end) {earlier} UNBOUNDED FOLLOWING) AS pane_end",
             f"rank() OVER (PARTITION BY {_IN_PANE} ORDER BY ts_ms) - 1L AS hi",
             f"count(1) {earlier} {hint_ms + 1} PRECEDING) AS near",
             f"if(marker IS NULL, 0L, coalesce(max(CASE WHEN kind = 'EVENT' THEN place END) {marked}, 0L)) AS reach",
         )
-        .withColumns({"day": day_of_ms(F.col("pane_end")), "labelled": F.col("label") != ""})
+        .withColumns({"day": day_of_ms(F.col("pane_end")), "labelled": F.col("label") != "", "copies": F.lit(1).cast("bigint")})
         .select(*_STEP)
     )
 
 
+def alike(prepared: DataFrame) -> DataFrame:
+    """What :func:`steps` returned, with one pane for all of a project that are counted the same, and how many they are as ``copies``.
+
+    Rows are compared by what counting asks of them: only goals and actions look back, and only local goals as far as the hint.
+    A pane is known by two 64-bit hashes of its rows, each with its place and day, so it is nowhere held as one value. Rows are
+    grouped whole, so a pane of any length that is like no other passes as it is.
+    """
+    seen = ", ".join(_LOOK)
+    hashed = [f"bit_xor(xxhash64({seed}{seen})) OVER (PARTITION BY {_IN_PANE}) AS {name}" for name, seed in (("_one", ""), ("_two", "'two', "))]
+    asked = prepared.selectExpr(*_PANE, *[f"{_ASKED.get(name, name)} AS {name}" for name in _LOOK], "copies")
+    rows = asked.selectExpr("project_id", *_LOOK, "copies", *hashed)
+    return (
+        rows.groupBy("project_id", "_one", "_two", *_LOOK)
+        .agg(F.sum("copies").alias("copies"))
+        .selectExpr("project_id", "hex(_one) AS session_id", "_two AS session_start", "-1L AS pane", *_LOOK, "copies")
+    )
+
+
 def sliced_steps(rows: DataFrame, hint_ms: int, slot_rows: int) -> DataFrame:
     """The same as :func:`steps`, for sessions that are too long to be sorted in one task."""
     rows = written(_tokens(rows), "long")
@@ -89,14 +115,14 @@ def sliced_steps(rows: DataFrame, hint_ms: int, slot_rows: int) -> DataFrame:
     reach = before(marks, looking, marked, {"reach": "pos"}, slot_rows, "max").withColumnRenamed("pos", "hi")
 
     seen = placed.join(near, [*_PANE, "ts_ms"], "left").join(reach, [*marked, "hi"], "left").join(ends, _PANE)
-    return seen.withColumns({"day": day_of_ms(F.col("pane_end")), "labelled": F.col("label") != ""}).selectExpr(
+    return seen.withColumns({"day": day_of_ms(F.col("pane_end")), "labelled": F.col("label") != "", "copies": F.lit(1).cast("bigint")}).selectExpr(
         *[f"coalesce({name}, 0L) AS {name}" if name in ("near", "reach") else name for name in _STEP]
     )
 
 
 def _weights(rows: DataFrame, goal: str, action: str, *parts: tuple[str, str]) -> DataFrame:
-    """Places of a key and their weights, as pairs of SQL expressions. Nothing comes before place 0, so it has no weight."""
-    structs = ", ".join(f"struct({place} AS pos, cast({weight} AS bigint) AS weight)" for place, weight in parts)
+    """Places of a key and their weights in all copies, as pairs of SQL expressions. Nothing comes before place 0, so it has no weight."""
+    structs = ", ".join(f"struct({place} AS pos, {weight} * copies AS weight)" for place, weight in parts)
     return rows.selectExpr(*_PANE, "day", f"{goal} AS goal", f"{action} AS action", f"inline(array({structs}))").where("pos > 0 AND weight <> 0")
 
 
@@ -131,7 +157,7 @@ def _followed(prepared: DataFrame, slot_rows: int | None) -> DataFrame:
         ("gone", goal, 2, "near + 1"),
         ("marked", f"{goal} AND labelled", 3, "near + 1"),
     ]
-    own = ["kind", "x", "day", "place", "hi", "near", "reach", "labelled"]
+    own = ["kind", "x", "day", "place", "hi", "near", "reach", "labelled", "copies"]
     blank = [f"cast(NULL AS {dict(prepared.dtypes)[name]}) AS {name}" for name in own]
     entries = ", ".join(f"if({test}, struct({line} AS line, {pos} AS pos), NULL)" for test, line, pos in on)
     counted = [f"if(local {is_local}= true AND labelled {is_cut}= true, 1L, 0L) AS {name}" for name, is_local, is_cut in _COUNTED]
@@ -167,20 +193,23 @@ def _followed(prepared: DataFrame, slot_rows: int | None) -> DataFrame:
         F.expr(f"greatest(0L, if(labelled, least({at('earlier', 'free_2')}, {at('marked', 'free_3')}), {at('earlier', 'free_2')}) - {at('gone', 'free_2')}) AS from_near"),
     )
     return found.where("if(kind = 'ACT', later, from_near) > 0").selectExpr(
-        *[*_PANE, "day", "hi", "reach", "near"],
+        *[*_PANE, "day", "copies", "hi", "reach", "near"],
         *["if(kind = 'ACT', token, x) AS goal", "if(kind = 'ACT', x, token) AS act"],
         *[f"if(kind = 'ACT', {name}, NULL) AS {name}" for name in ("later", "seen", "from_marker")],
         "if(kind = 'GOAL', from_near, NULL) AS from_near",
     )
 
 
-def leaf_counts(prepared: DataFrame, settings: SessionSettings, families: frozenset[str] = FAMILIES) -> DataFrame:
-    """What :func:`steps` returned to ``(project_id, day, goal, action, leaf, n)``, without the ``[TE]`` sums."""
+def leaf_counts(prepared: DataFrame, settings: SessionSettings, families: frozenset[str] = FAMILIES, stored: bool = False) -> DataFrame:
+    """What :func:`steps` or :func:`alike` returned to ``(project_id, day, goal, action, leaf, n)``, without the ``[TE]`` sums.
+
+    :param stored: ``prepared`` is a table already and need not be written
+    """
     every, none, whole = f"'{ALL}'", f"'{NO_ACTION}'", f"'{SESSION_TOTAL}'"
     slot_rows = None
     if families - {EVENT}:
         # read several times, so sessions are scanned and written once
-        prepared = written(prepared, "steps")
+        prepared = prepared if stored else written(prepared, "steps")
         longest = prepared.agg(F.max("place")).first()[0] or 0
         if settings.hot_keys is not None and longest >= settings.hot_keys.slot_rows:
             slot_rows = settings.hot_keys.slot_rows
@@ -190,17 +219,17 @@ def leaf_counts(prepared: DataFrame, settings: SessionSettings, families: frozen
     parts = []
     if leaves:
         opened = f"explode(concat({', '.join(leaves)})) AS leaf"
-        parts.append(prepared.selectExpr("project_id", "day", f"{every} AS goal", f"{none} AS action", opened, "1L AS n"))
+        parts.append(prepared.selectExpr("project_id", "day", f"{every} AS goal", f"{none} AS action", opened, "copies AS n"))
     if not families - {EVENT}:
         return _summed(parts)
 
     goals, acts = prepared.where("kind = 'GOAL'"), prepared.where("kind = 'ACT'")
-    many = [*_PANE, "day", "x"]
+    many = [*_PANE, "day", "copies", "x"]
     weights: list[DataFrame] = []
     sums: list[DataFrame] = []
     if families & {SESSION, GOAL}:
         counted = goals.groupBy(*many).agg(F.count(F.lit(1)).alias("many"))
-        once, by_trait = ("1L" if SESSION in families else "0L"), ("many" if GOAL in families else "0L")
+        once, by_trait = ("copies" if SESSION in families else "0L"), ("many * copies" if GOAL in families else "0L")
         sums.append(counted.selectExpr(*_PANE, "day", "x AS goal", f"{none} AS action", f"{once} AS total", f"{by_trait} AS by_trait"))
     if GOAL in families:
         looking = goals.selectExpr("*", "greatest(reach, if(local, near, 0L)) AS lo").where("lo < hi")
@@ -208,12 +237,12 @@ def leaf_counts(prepared: DataFrame, settings: SessionSettings, families: frozen
     if ACTION in families:
         weights.append(_weights(acts.where("reach < hi"), every, "x", ("hi", "1"), ("reach", "-1")))
         counted = acts.groupBy(*many).agg(F.count(F.lit(1)).alias("many"))
-        sums.append(counted.selectExpr(*_PANE, "day", f"{every} AS goal", "x AS action", "many AS total", "many AS by_trait"))
+        sums.append(counted.selectExpr(*_PANE, "day", f"{every} AS goal", "x AS action", "many * copies AS total", "many * copies AS by_trait"))
     if GOAL_ACTION in families:
         pairs = written(_followed(prepared, slot_rows), "pairs")
         weights.append(_weights(pairs, "goal", "act", ("hi", "seen"), ("reach", "-from_marker"), ("near", "-from_near")))
-        counted = pairs.where("later > 0").groupBy(*_PANE, "day", "goal", "act").agg(F.count(F.lit(1)).alias("many"), F.sum("later").alias("later"))
-        sums.append(counted.selectExpr(*_PANE, "day", "goal", "act AS action", "many AS total", "later AS by_trait"))
+        counted = pairs.where("later > 0").groupBy(*_PANE, "day", "copies", "goal", "act").agg(F.count(F.lit(1)).alias("many"), F.sum("later").alias("later"))
+        sums.append(counted.selectExpr(*_PANE, "day", "goal", "act AS action", "many * copies AS total", "later * copies AS by_trait"))
     # one row per pane and key; read for totals and for attributes
     together = written(_union(sums), "together") if sums else None
     if families & {SESSION, ACTION, GOAL_ACTION}:

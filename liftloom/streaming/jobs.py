@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from liftloom.config import SessionSettings
-from liftloom.operators.conversion import leaf_counts, steps
+from liftloom.operators.conversion import alike, leaf_counts, steps
 from liftloom.operators.counts import with_event_totals
 from liftloom.session import dropped_after, shared_folder, written
 from liftloom.sources import fixtures
@@ -30,13 +30,13 @@ def start_counts(events: DataFrame, settings: SessionSettings, path: str, checkp
     """
 
     def write(ended: DataFrame, batch_id: int) -> None:
-        # the state is read once; a micro-batch in which no session ends leaves no increment, and none leaves anything else
-        with dropped_after(ended.sparkSession):
-            ended = written(ended, "ended")
-            if ended.isEmpty():
+        # the state is read once, and its sessions are scanned where it lies; a micro-batch in which no session ends leaves no increment,
+        # and none leaves anything else. A stream runs without adaptive execution, so what follows is left to the session that started it
+        with dropped_after(events.sparkSession):
+            prepared = written(alike(steps(rows_of(ended, settings), int(settings.local_hint_ms))), "steps", by=events.sparkSession)
+            if prepared.isEmpty():
                 return
-            prepared = steps(rows_of(ended, settings), int(settings.local_hint_ms))
-            write_increment(with_event_totals(leaf_counts(prepared, settings)), path, batch_id)
+            write_increment(with_event_totals(leaf_counts(prepared, settings, stored=True)), path, batch_id)
 
     return _start(ended_rows(events, settings), write, checkpoint, drain)
 

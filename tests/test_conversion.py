@@ -11,6 +11,7 @@ from liftloom.operators import chains, conversion, scans
 from liftloom.operators.conversion import FAMILIES, GOAL, SESSION
 from liftloom.operators.counts import daily_counts, keyed
 from liftloom.operators.scans import before
+from liftloom.operators.sessions import session_rows
 from liftloom.session import written
 
 DAY = 1_704_067_200_000
@@ -50,6 +51,31 @@ def test_worked_session(make_events):
     assert {str(r.day) for r in rows} == {"2024-01-01"}
 
 
+def test_panes_that_look_alike_are_one(spark, make_events):
+    """Only panes with the same rows in all that counting knows are taken together, and counts stay as they were."""
+    worked = [(DAY + t, *rest) for t, *rest in WORKED]
+    changed = [
+        worked,
+        worked,
+        [(t + 500, *rest) for t, *rest in worked],  # other times, the same order
+        [(t + 86_400_000, *rest) for t, *rest in worked],  # another day
+        [*worked[:-1], (*worked[-1][:4], "")],  # not local
+        [*worked[:-1], (*worked[-1][:3], "L2", "local")],  # a label
+        [*worked[:7], (worked[6][0], *worked[7][1:]), worked[8]],  # a goal at the time of the row before
+        worked[:-1],
+        [(t + (60_000 if t > DAY + 4000 else 0), *rest) for t, *rest in worked],  # as many rows further back than the hint
+        [*worked[:-1], (worked[-1][0] + 60_000, *worked[-1][1:])],  # more of them
+    ]
+    events = make_events([(*row, f"s{n}", "standard", project) for n, rows in enumerate(changed) for project in ("p", "q") for row in rows])
+    prepared = conversion.steps(session_rows(events, SessionSettings()), SessionSettings().local_hint_ms)
+    together = written(conversion.alike(prepared), "alike")
+    panes = together.groupBy("project_id", "session_id", "session_start", "pane").agg({"place": "count", "copies": "max"}).collect()
+    assert sorted(r["max(copies)"] for r in panes) == [1] * 12 + [4] * 2
+    for families in (FAMILIES, frozenset({SESSION}), frozenset({GOAL})):
+        expected = conversion.leaf_counts(prepared, SessionSettings(), families)
+        assert sorted(map(tuple, conversion.leaf_counts(together, SessionSettings(), families).collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_families_can_be_asked_for_alone(make_events):
     events = make_events([(DAY + t, *rest) for t, *rest in WORKED])
     only = counted(daily_counts(events, SessionSettings(), frozenset({SESSION})))

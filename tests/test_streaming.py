@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftloom.config import SessionSettings
+from liftloom.operators import conversion
 from liftloom.operators.counts import daily_counts
 from liftloom.operators.sessions import sessions
 from liftloom.session import dropped_after, shared_folder, written
@@ -88,6 +89,31 @@ def test_sessions_and_late_rows(spark, make_events, tmp_path):
     assert spark.read.parquet(f"{out}/batch_id=*").where("session_id = 'late' AND n_events > 1").count() == 0
 
 
+def test_sessions_that_look_alike_are_counted_once(spark, make_events, tmp_path, monkeypatch):
+    """Copies of sessions add nothing to the rows that a micro-batch counts from, and all of them are counted."""
+    settings, one = SessionSettings(), history(200)
+    found = []
+    for copies in (1, 4):
+        sizes = {}
+
+        def recorded(df, name, **more):
+            table = written(df, name, **more)
+            sizes[name] = sizes.get(name, 0) + table.count()
+            return table
+
+        monkeypatch.setattr(jobs, "written", recorded)
+        monkeypatch.setattr(conversion, "written", recorded)
+        queue, out = str(tmp_path / f"queue{copies}"), str(tmp_path / f"out{copies}")
+        pulses.publish(make_events([(*row[:5], f"{row[5]}-{k}", *row[6:]) for row in one for k in range(copies)]), queue)
+        pulses.publish(last_bell(make_events), queue)
+        incoming = pulses.from_messages(pulses.stream_messages(spark, queue, files_per_batch=100)).where("sound").drop("sound", "raw")
+        jobs.start_counts(incoming, settings, out, str(tmp_path / f"checkpoint{copies}"), drain=True).awaitTermination()
+        found.append((sizes, as_set(counts_store.read_increments(spark, out).where("project_id <> 'bell'"))))
+    (once, counted), (often, counted_often) = found
+    assert often == once and min(once[name] for name in ("weights", "together", "pairs")) > 0
+    assert counted_often == [(*row[:-1], 4 * row[-1]) for row in counted]
+
+
 def test_micro_batches_leave_only_increments(spark):
     """Tables written inside a block are gone after it, also after an error; a drained stream leaves none."""
     shared = Path(shared_folder(spark))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from liftloom.config import SessionSettings
 from liftloom.functions.tokens import ALL, EVENT_TOTAL, NO_ACTION, SESSION_TOTAL, rec_key
-from liftloom.operators.conversion import FAMILIES, leaf_counts, sliced_steps, steps
+from liftloom.operators.conversion import EVENT, FAMILIES, alike, leaf_counts, sliced_steps, steps
 from liftloom.operators.scans import before
 from liftloom.operators.sessions import SESSION_KEYS, session_rows
 from liftloom.session import written
@@ -30,10 +30,12 @@ def daily_counts(
 ) -> DataFrame:
     """Canonical events to one count per (project, day, key)."""
     hint_ms = int(settings.local_hint_ms)
+    # events alone are one sum, for which panes need not be compared
+    merged = alike if families - {EVENT} else lambda part: part
     prepared = session_rows(
         events,
         settings,
-        then=lambda part: steps(part, hint_ms),
+        then=lambda part: merged(steps(part, hint_ms)),
         then_sliced=lambda part: sliced_steps(part, hint_ms, settings.hot_keys.slot_rows),
     )
     return with_event_totals(leaf_counts(prepared, settings, families))

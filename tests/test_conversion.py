@@ -76,6 +76,23 @@ def test_panes_that_look_alike_are_one(spark, make_events):
         assert sorted(map(tuple, conversion.leaf_counts(together, SessionSettings(), families).collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_copies_add_no_rows_to_count_from(make_events, monkeypatch):
+    found = []
+    for copies in (1, 4):
+        sizes = {}
+
+        def recorded(df, name, **more):
+            table = written(df, name, **more)
+            sizes[name] = sizes.get(name, 0) + table.count()
+            return table
+
+        monkeypatch.setattr(conversion, "written", recorded)
+        events = make_events([(DAY + t, *rest, f"s{k}", "standard", "p") for t, *rest in WORKED for k in range(copies)])
+        assert counted(daily_counts(events, SessionSettings())) == {key: copies * n for key, n in EXPECTED.items()}
+        found.append(sizes)
+    assert found[0] == found[1] and found[0]["steps"] == len(WORKED)
+
+
 def test_families_can_be_asked_for_alone(make_events):
     events = make_events([(DAY + t, *rest) for t, *rest in WORKED])
     only = counted(daily_counts(events, SessionSettings(), frozenset({SESSION})))
